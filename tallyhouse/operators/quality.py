@@ -165,6 +165,9 @@ FILE_NAMES = {
     "Attendance": r"^zk_attendance_logs_\d{8}\.csv$",
     "Government / Compliance": r"^gosi_compliance_status_\d{8}\.csv$",
     "Employee Relations / Case Management": r"^er_sharepoint_log_\d{8}\.csv$",
+    "Recruitment / Workforce Planning": r"^lever_recruitment_reqs_\d{8}\.csv$",
+    "Talent / Performance / Learning": r"^successfactors_talent_\d{8}\.xlsx$",
+    "Data Quality / Command Center Metadata": r"^command_center_audit_\d{8}\.csv$",
 }
 
 
