@@ -49,7 +49,9 @@ def module_registry(wh: Warehouse) -> DataFrame:
 def _define_feed(name: str, key: str, label: str, route: str, source: str) -> None:
     @view(name)
     def feed(wh: Warehouse) -> DataFrame:
-        issues = wh.view("data_quality" if key == "data-quality" else source)
+        # The modules' issues are read by counts, alerts, health and the overview:
+        # they are stored once per refresh and the eight rule sets run only once.
+        issues = wh.settle("data_quality" if key == "data-quality" else source)
         return conform(issues, key, label, source, route)
 
 
@@ -194,6 +196,7 @@ def module_health(wh: Warehouse) -> DataFrame:
 @view("command_center_overview_data")
 def overview_data(wh: Warehouse) -> DataFrame:
     """Headline numbers of all modules in one row."""
+    # The feeds come first, so that the KPI rows count stored issues.
     issues = wh.view("base_command_center_exception_sources").agg(F.count(F.lit(1)).alias("total_active_exceptions"))
     healthy = wh.view("mart_command_center_module_health").agg(tally(F.col("status") == "Healthy").alias("modules_healthy"))
     latest = wh.view("base_command_center_data_freshness").agg(F.max("max_source_date").alias("latest_source_business_date"))

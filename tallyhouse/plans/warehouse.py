@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.plans.params import Month, Rules
+from tallyhouse.session import pin
 from tallyhouse.sources.derived_hr import derive
 from tallyhouse.sources.intake import empty
 from tallyhouse.sources.schemas import SCHEMAS
@@ -38,6 +39,7 @@ class Warehouse:
         self.rules = rules or Rules()
         self._tables = tables
         self._views: dict[str, DataFrame] = {}
+        self._settled: set[str] = set()
 
     @classmethod
     def over_trade_data(cls, spark: SparkSession, folder: str, rules: Rules | None = None) -> "Warehouse":
@@ -66,6 +68,13 @@ class Warehouse:
         self._views[name] = self.view(name).persist()
         return self._views[name]
 
+    def settle(self, name: str) -> DataFrame:
+        """Checkpoint a view once; every later plan of this warehouse reads the stored rows."""
+        if name not in self._settled:
+            self._views[name] = pin(self.view(name))
+            self._settled.add(name)
+        return self._views[name]
+
     def publish(self, names: list[str] | None = None) -> None:
         """Create or replace a temporary SQL view per warehouse view."""
         for name in names or list(VIEWS):
