@@ -104,7 +104,7 @@ SELECT attendance_date, CASE WHEN user_id % 15 = 14 THEN 'X' || user_id ELSE 'E'
   'Site ' || (user_id % 6) AS project
 FROM (
   SELECT user_id, CAST(ts AS DATE) AS attendance_date, count(*) AS punches,
-    min(CASE WHEN event_type <> 'error' THEN ts END) AS check_in,
+    min(CASE WHEN event_type IN ('view', 'click', 'signup') THEN ts END) AS check_in,
     max(CASE WHEN event_type IN ('click', 'signup', 'purchase') THEN ts END) AS check_out
   FROM {events} GROUP BY user_id, CAST(ts AS DATE)
 ) days
