@@ -98,16 +98,19 @@ def d4(t: Trade) -> DataFrame:
 
 @query(
     "d5_lateness",
-    """SELECT event_id, late, greatest(late - CASE event_type WHEN 'view' THEN 30 ELSE 0 END, 0) AS net_late FROM (
-  SELECT event_id, event_type, greatest(date_diff('minute', b, ts) - 600, 0) AS late FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL)""",
+    """SELECT user_id, day, late, greatest(late - CASE WHEN n > 2 THEN 120 ELSE 0 END, 0) AS net_late, early FROM (
+  SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, greatest(date_diff('minute', CAST(ts AS DATE) + INTERVAL 8 HOUR, min(ts)) - 15, 0) AS late,
+    CASE WHEN max(ts) < CAST(ts AS DATE) + INTERVAL 17 HOUR THEN date_diff('minute', max(ts), CAST(ts AS DATE) + INTERVAL 17 HOUR) ELSE 0 END AS early FROM events GROUP BY user_id, CAST(ts AS DATE))""",
 )
 def d5(t: Trade) -> DataFrame:
-    """Minutes beyond a threshold since the user's event before, and net of an excuse."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = t.events.select("event_id", "event_type", "ts", before.alias("before")).where("before is not null")
-    late = tm.late_minutes("before", "ts", 600)
-    excused = F.when(F.col("event_type") == "view", 30).otherwise(0)
-    return rows.select("event_id", late.alias("late"), floor_zero(late - excused).alias("net_late"))
+    """First and last event of a user's day against fixed hours: late, net of an excuse, and early leave."""
+    days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    midnight = F.col("day").cast("timestamp_ntz")
+    start, end = midnight + F.expr("interval 8 hours"), midnight + F.expr("interval 17 hours")
+    late = tm.late_minutes(start, "first", 15)
+    early = F.when(F.col("last") < end, minute_boundaries("last", end)).otherwise(F.lit(0).cast("bigint"))
+    excused = F.when(F.col("n") > 2, 120).otherwise(0)
+    return days.select("user_id", "day", late.alias("late"), floor_zero(late - excused).alias("net_late"), early.alias("early"))
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.catalog.people_sql import QUERIES, statement
 from tallyhouse.plans.all import VIEWS, Warehouse
+from tallyhouse.plans.checks import CHECKS
+from tallyhouse.plans.reads import SUMMARIES, read
 from tallyhouse.session import tune
 
 # Views over literals only; they have no data to run on and are covered by tests.
@@ -34,9 +36,25 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _checks(domain: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: CHECKS[domain](warehouse(spark, folder))
+
+
+def _reading(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: read(warehouse(spark, folder), path)
+
+
+def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: _query(name) for name in VIEWS if name not in LITERAL}
+    found.update({f"read_{module}_summary": _reading(f"{module}/summary") for module in SUMMARIES})
+    found["read_payroll_variance"] = _reading("payroll/variance")
+    found.update({f"checks_{domain}": _checks(domain) for domain in CHECKS})
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in VIEWS if name not in LITERAL}
+    return _all()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(name) for name in VIEWS if name in QUERIES and name not in LITERAL}
+    return {name: statement(name) for name in _all() if name in QUERIES}

@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import string
 
+from tallyhouse.operators.kpi import KPIS
 from tallyhouse.plans import texts
+from tallyhouse.plans.reads import SUMMARIES
 from tallyhouse.sources import derived_hr
 from tallyhouse.sources.trade import TABLES
 
@@ -685,6 +687,147 @@ Q["command_center_overview_data"] = "SELECT * FROM overview"
 Q["mart_command_center_overview"] = "SELECT * FROM overview"
 
 
+# ---------------------------------------------------------------- reads
+Q["read_payroll_variance"] = "SELECT * FROM mart_payroll_variance_employees ORDER BY abs(change_amount) DESC, employee_id, curr_amount LIMIT 100"
+
+
+def _status(status, value: str, judged: str | None) -> str:
+    v = judged or value
+    tests = {">=": "{v} >= {l}", ">": "{v} > {l}", "<": "{v} < {l}", "abs>": "abs({v}) > {l}"}
+    steps = " ".join(f"WHEN {tests[c].format(v=v, l=limit)} THEN '{label}'" for c, limit, label in status.steps)
+    return f"CASE {steps} ELSE '{status.otherwise}' END" if steps else f"'{status.otherwise}'"
+
+
+for _module, _source in SUMMARIES.items():
+    Q[f"read_{_module}_summary"] = " UNION ALL ".join(
+        f"SELECT {quote(k.key)} AS key, {quote(k.label)} AS label, round(CAST(coalesce({k.column or k.key}, 0) AS DOUBLE) * {k.scale}, 2) AS value, {quote(k.unit)} AS unit, "
+        f"{_status(k.status, 'coalesce(' + (k.column or k.key) + ', 0)', k.status.judged)} AS status FROM {_source}"
+        for k in KPIS[_module]
+    )
+
+
+# ---------------------------------------------------------------- checks
+def v(view: str, expr: str, where: str = "TRUE") -> str:
+    return f"(SELECT {expr} FROM {view} WHERE {where})"
+
+
+def _pct(num: str, den: str, zero: int) -> str:
+    return f"(CASE WHEN {den} = 0 THEN {zero} ELSE round(CAST({num} AS DOUBLE) * 100 / {den}, 2) END)"
+
+
+_HC = v("mart_workforce_kpis", "active_headcount")
+_SUMS = "sum(saudi_headcount + non_saudi_headcount + employees_missing_nationality)"
+_K1, _K2, _K3, _K4 = "mart_payroll_kpis", "mart_attendance_kpis", "mart_compliance_kpis", "mart_er_kpis"
+_K5, _K6, _K7 = "mart_recruitment_kpis", "mart_talent_kpis", "overview"
+_REV = "base_performance_reviews_current"
+_JUDGED = "sla_status IN ('Compliant', 'Breached')"
+
+
+def _without(issue: str, expr: str) -> str:
+    return v(_C, f"round(coalesce(sum({expr}), 0), 2)", f"employee_id NOT IN (SELECT entity_id FROM mart_payroll_exceptions WHERE issue_type = '{issue}')")
+
+
+CHECKS_SQL: dict[str, list[tuple[str, str, str, float]]] = {
+    "workforce": [(f"Distribution total: {c}", _HC, v("mart_workforce_distribution", "sum(headcount)", f"category = '{c}'"), 0) for c, _, _ in _DIMENSIONS]
+    + [("Contract expiry bucket total", _HC, v("mart_workforce_contract_expiry", 'expired + "0_30" + "31_60" + "61_90" + "90_plus" + missing_date'), 0)],
+    "payroll": [
+        ("Gross pay equals payroll cost", v(_K1, "total_payroll_cost"), v(_C, MONEY("gross_pay")), 0.01),
+        ("Components equal gross pay outside exceptions", "0", _without("Payroll Component Mismatch", f"gross_pay - ({_COMP})"), 0.01),
+        ("Net equals gross minus deductions outside exceptions", "0", _without("Net Pay Mismatch", "net_pay - (gross_pay - deductions)"), 0.01),
+        ("Project payroll total", v(_K1, "total_payroll_cost"), v("mart_payroll_by_project", MONEY("total_payroll_cost")), 0.01),
+        ("Department payroll total", v(_K1, "total_payroll_cost"), v("mart_payroll_by_department", MONEY("total_payroll_cost")), 0.01),
+        ("Employees paid", v(_K1, "employees_paid"), v(_C, "count(DISTINCT employee_id)"), 0),
+        ("Payroll exception count", v(_K1, "payroll_exception_count"), v("mart_payroll_exceptions", "count(*)"), 0),
+    ],
+    "attendance": [
+        ("Expected workdays", v("base_expected_attendance", "count(*)"), v("base_expected_attendance", "count(calendar_date)"), 0),
+        ("Absence days", v(_K2, "absence_days"), v(_X, "count(*)", "attendance_date IS NULL OR absence_days = 1"), 0.01),
+        ("Late minutes", v(_K2, "late_minutes"), v(_R, "sum(calculated_late_minutes)"), 0.01),
+        ("Net late minutes", "0", v(_R, "count(*)", "calculated_net_late_minutes <> greatest(calculated_late_minutes - coalesce(excused_late_minutes, 0), 0)"), 0),
+        ("Missing punches", v(_K2, "missing_punch_count"), v("mart_attendance_exceptions", "count(*)", "issue_type IN ('Missing Check-in', 'Missing Check-out')"), 0),
+        ("Approved overtime hours", v(_K2, "overtime_hours"), v(_O, "sum(attendance_ot_hours)"), 0.01),
+        ("Payroll overtime cost", v(_K2, "overtime_cost"), v(_O, MONEY("payroll_ot_cost")), 0.01),
+        ("Attendance exception count", v(_K2, "attendance_exception_count"), v("mart_attendance_exceptions", "count(*)"), 0),
+    ],
+    "compliance": [
+        ("Nationality groups cover active headcount", _HC, v(_K3, "saudi_headcount + non_saudi_headcount + employees_missing_nationality"), 0),
+        ("Saudization %", v(_K3, "saudization_pct"), v(_K3, "round(100.0 * saudi_headcount / (saudi_headcount + non_saudi_headcount), 2)"), 0.01),
+        ("Project headcount total", _HC, v("mart_saudization_by_project", _SUMS), 0),
+        ("Department headcount total", _HC, v("mart_saudization_by_department", _SUMS), 0),
+        ("Iqama bucket total", v(_K3, "non_saudi_headcount"), v("mart_document_expiry", "sum(iqama_count)"), 0),
+        ("Work permit bucket total", v(_K3, "non_saudi_headcount"), v("mart_document_expiry", "sum(work_permit_count)"), 0),
+        ("GOSI status total", _HC, v("mart_gosi_status", "sum(employee_count)"), 0),
+        ("WPS status total", _HC, v("mart_wps_status", "sum(headcount)"), 0),
+        ("Compliance exception count", v(_K3, "compliance_exception_count"), v("mart_compliance_exceptions", "count(*)"), 0),
+    ],
+    "cases": [
+        ("Total open cases", v(_K4, "total_open_er_cases"), v(_K, "count(*)", _OPEN), 0),
+        ("Closed cases this month", v(_K4, "closed_cases_this_month"), v(_K, "count(*)", "closed_date BETWEEN ms AND me"), 0),
+        ("New cases this month", v(_K4, "new_cases_this_month"), v(_K, "count(*)", "created_date BETWEEN ms AND me"), 0),
+        ("Case type total", v(_K, "count(*)"), v("mart_er_case_type_distribution", "sum(case_count)"), 0),
+        ("Case status total", v(_K, "count(*)"), v("mart_er_case_status_distribution", "sum(case_count)"), 0),
+        ("Project case total", v(_K, "count(*)"), v("mart_er_cases_by_project", "sum(total_cases)"), 0),
+        ("Department case total", v(_K, "count(*)"), v("mart_er_cases_by_department", "sum(total_cases)"), 0),
+        ("SLA compliance %", v(_K4, "sla_compliance_pct"), _pct(v(_K, "count(*)", "sla_status = 'Compliant'"), v(_K, "count(*)", _JUDGED), 100), 0.01),
+        ("Overdue cases", v(_K4, "overdue_cases"), v(_K, "count(*)", f"{_OPEN} AND effective_target_due_date < me"), 0),
+        ("Case exception count", v(_K4, "er_exception_count"), v("mart_er_exceptions", "count(*)"), 0),
+        ("Aging bucket total", v(_K4, "total_open_er_cases"), v("mart_er_aging_buckets", "sum(case_count)"), 0),
+    ],
+    "recruitment": [
+        ("Open requisitions", v(_K5, "open_requisitions"), v("base_recruitment_requisitions_current", "count(*)", _ROPEN), 0),
+        ("Approved vacancies", v(_K5, "approved_vacancies"), v("base_vacancy_population", "coalesce(sum(quantity), 0)"), 0),
+        ("Candidates in pipeline", v(_K5, "candidates_in_pipeline"), v("base_candidate_pipeline_current", "count(*)"), 0),
+        ("Interviews scheduled", v(_K5, "interviews_scheduled"), v("base_interview_activity_current", "count(*)"), 0),
+        ("Offers extended", v(_K5, "offers_extended"), v("base_offer_activity_current", "count(*)"), 0),
+        ("Offer acceptance %", v(_K5, "offer_acceptance_pct"), _pct(v("base_offer_activity_current", "count(*)", "offer_status = 'Accepted'"),
+            v("base_offer_activity_current", "count(*)", "offer_status IN ('Accepted', 'Rejected', 'Declined')"), 100), 0.01),
+        ("Hires this month", v(_K5, "hires_this_month"), v("base_onboarding_current", "count(*)"), 0),
+        ("Average time to fill", v(_K5, "average_time_to_fill"), v("hires", "coalesce(round(avg(days), 1), 0)"), 0.01),
+        ("Overdue requisitions", v(_K5, "overdue_requisitions"), v("base_recruitment_requisitions_current, hire_m", "count(*)", f"{_ROPEN} AND effective_target_hire_date < e"), 0),
+        ("Workforce plan fulfillment %", v(_K5, "workforce_plan_fulfillment_pct"), _pct(v("base_workforce_plan_current p JOIN base_active_workforce w ON p.project = w.project AND p.department = w.department", "count(*)"),
+            v("base_workforce_plan_current", "sum(planned_headcount)"), 0), 0.01),
+        ("Project requisition total", v("base_recruitment_requisitions_current", "count(*)"), v("mart_recruitment_by_project", "sum(total_requisitions)"), 0),
+        ("Department requisition total", v("base_recruitment_requisitions_current", "count(*)"), v("mart_recruitment_by_department", "sum(total_requisitions)"), 0),
+        ("Recruitment exception count", v(_K5, "recruitment_exception_count"), v("mart_recruitment_exceptions", "count(*)"), 0),
+    ],
+    "talent": [
+        ("Employees reviewed", v(_K6, "employees_reviewed"), v(_REV, "count(DISTINCT employee_id)"), 0),
+        ("Review completion %", v(_K6, "review_completion_pct"), _pct(v(_REV, "count(DISTINCT employee_id)"), v("base_talent_employee_population", "count(*)"), 0), 0.1),
+        ("Average performance rating", v(_K6, "average_performance_rating"), v(_REV, "round(sum(rating) / count(rating), 2)"), 0.01),
+        ("Performance distribution total", v(_REV, "count(*)"), v("mart_performance_distribution", "sum(employee_count)"), 0),
+        ("High performers", v(_K6, "high_performers"), v(_REV, "count(DISTINCT employee_id)", _HIGH), 0),
+        ("Low performers", v(_K6, "low_performers"), v(_REV, "count(DISTINCT employee_id)", _LOW), 0),
+        ("Goal completion %", v(_K6, "goal_completion_pct"), v("base_performance_goals_current", _pct(_DONE, _ELIG, 0)), 0.1),
+        ("Training completion %", v(_K6, "training_completion_pct"), v("base_learning_enrollments_current", _pct(_DONE, _ELIG, 0)), 0.1),
+        ("Average training hours", v(_K6, "average_training_hours"), v("learn", "round(round(sum(duration_hours), 2) / count(DISTINCT employee_id), 2)", "status = 'Completed'"), 0.1),
+        ("Critical roles covered %", v(_K6, "critical_roles_covered_pct"), _pct(v(_SP, "count(DISTINCT critical_role_id)", _VALID), v(_SP, "count(DISTINCT critical_role_id)"), 100), 0.1),
+        ("Ready successors", v(_K6, "ready_successors"), v(_SP, f"count(DISTINCT {_SUC})", f"readiness = 'Ready Now' AND {_SUC} IN (SELECT employee_id FROM base_talent_employee_population)"), 0),
+        ("Reviewed by project total", v(_REV, "count(*)"), v("mart_performance_by_project", "sum(reviewed_count)"), 0),
+        ("Talent exception count", v(_K6, "talent_exception_count"), v("mart_talent_exceptions", "count(*)"), 0),
+    ],
+    "command_center": [
+        ("Overview active headcount", _HC, v(_K7, "active_headcount"), 0),
+        ("Overview payroll cost", v(_K1, "total_payroll_cost"), v(_K7, "payroll_cost"), 0.01),
+        ("Overview attendance compliance", v(_K2, "attendance_compliance_pct"), v(_K7, "attendance_compliance_pct"), 0.001),
+        ("Overview saudization %", v(_K3, "saudization_pct"), v(_K7, "saudization_pct"), 0.001),
+        ("Overview open cases", v(_K4, "total_open_er_cases"), v(_K7, "open_er_cases"), 0),
+        ("Overview open requisitions", v(_K5, "open_requisitions"), v(_K7, "open_requisitions"), 0),
+        ("Overview review completion %", v(_K6, "review_completion_pct"), v(_K7, "review_completion_pct"), 0.001),
+        ("Overview total exceptions", v("base_command_center_exception_sources", "count(*)"), v(_K7, "total_active_exceptions"), 0),
+        ("Module registry count", "9", v("registry", "count(*)"), 0),
+        ("Data freshness rows", "9", v("freshness_rows", "count(*)"), 0),
+    ],
+}
+for _domain, _list in CHECKS_SQL.items():
+    Q[f"checks_{_domain}"] = (
+        "SELECT check_name, expected, actual, round(abs(expected - actual), 6) AS difference, tolerance, abs(expected - actual) <= tolerance + 0.000000001 AS passed FROM ("
+        + " UNION ALL ".join(
+            f"SELECT {quote(n)} AS check_name, CAST({e} AS DOUBLE) AS expected, CAST({a} AS DOUBLE) AS actual, CAST({t} AS DOUBLE) AS tolerance" for n, e, a, t in _list
+        )
+        + ")"
+    )
+
+
 def statement(name: str) -> str:
     """The query with everything it refers to as common table expressions in front."""
     ordered: list[str] = []

@@ -26,20 +26,6 @@ def presence_status(left: Column, right: Column, both: str, left_only: str, righ
     )
 
 
-def check(row: DataFrame, name: str, expected: Column | str, actual: Column | str, tolerance: float = 0.0) -> DataFrame:
-    """Compare two numbers of a one-row (or per-group) frame."""
-    want, got = as_col(expected).cast("double"), as_col(actual).cast("double")
-    gap = F.abs(want - got)
-    return row.select(
-        F.lit(name).alias("check_name"),
-        want.alias("expected"),
-        got.alias("actual"),
-        F.round(gap, 6).alias("difference"),
-        F.lit(float(tolerance)).alias("tolerance"),
-        F.coalesce(gap <= tolerance + 1e-9, want.isNull() & got.isNull()).alias("passed"),
-    )
-
-
 def checks_of(row: DataFrame, specs: list[tuple[str, Column | str, Column | str, float]]) -> DataFrame:
     """Several checks over the same one-row frame in one pass."""
     entries = []

@@ -41,20 +41,21 @@ def with_member_flag(df: DataFrame, column: str, keys: DataFrame, flag: str) ->
     name = keys.columns[0]
     distinct = keys.where(F.col(name).isNotNull()).select(F.col(name).alias("_key")).distinct()
     return (
-        df.join(distinct, df[column] == distinct["_key"], "left")
+        df.join(distinct, F.col(column) == F.col("_key"), "left")
         .withColumn(flag, F.col("_key").isNotNull())
         .drop("_key")
     )
 
 
 def keep_members(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """``column IN (keys)``."""
-    return df.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(column) == F.col("_key"), "left_semi")
+    """``column IN (keys)``; the keys are made distinct first, so a key repeated many times is sent once per task."""
+    known = keys.select(F.col(keys.columns[0]).alias("_key")).distinct()
+    return df.join(known, F.col(column) == F.col("_key"), "left_semi")
 
 
 def drop_members(df: DataFrame, column: str, keys: DataFrame, null_passes: bool = False) -> DataFrame:
     """``column NOT IN (keys)`` over the non-NULL keys, with an explicit rule for a NULL column."""
-    known = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null")
+    known = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null").distinct()
     left = df if null_passes else df.where(F.col(column).isNotNull())
     return left.join(known, F.col(column) == F.col("_key"), "left_anti")
 

@@ -196,23 +196,28 @@ def module_health(wh: Warehouse) -> DataFrame:
 @view("command_center_overview_data")
 def overview_data(wh: Warehouse) -> DataFrame:
     """Headline numbers of all modules in one row."""
-    # The feeds come first, so that the KPI rows count stored issues.
+    # Feeds and KPI rows are stored first: the row below then reads a handful of
+    # small stored frames instead of re-planning every module.
     issues = wh.view("base_command_center_exception_sources").agg(F.count(F.lit(1)).alias("total_active_exceptions"))
     healthy = wh.view("mart_command_center_module_health").agg(tally(F.col("status") == "Healthy").alias("modules_healthy"))
     latest = wh.view("base_command_center_data_freshness").agg(F.max("max_source_date").alias("latest_source_business_date"))
+
+    def kpi(view: str, column: str, name: str | None = None) -> DataFrame:
+        return wh.settle(view).select(F.col(column).alias(name or column))
+
     row = side_by_side(
-        wh.view("mart_workforce_kpis").select("active_headcount"),
-        wh.view("mart_payroll_kpis").select(F.col("total_payroll_cost").alias("payroll_cost")),
-        wh.view("mart_attendance_kpis").select("attendance_compliance_pct"),
-        wh.view("mart_compliance_kpis").select("saudization_pct"),
-        wh.view("mart_er_kpis").select(F.col("total_open_er_cases").alias("open_er_cases")),
-        wh.view("mart_recruitment_kpis").select("open_requisitions"),
-        wh.view("mart_talent_kpis").select("review_completion_pct"),
+        kpi("mart_workforce_kpis", "active_headcount"),
+        kpi("mart_payroll_kpis", "total_payroll_cost", "payroll_cost"),
+        kpi("mart_attendance_kpis", "attendance_compliance_pct"),
+        kpi("mart_compliance_kpis", "saudization_pct"),
+        kpi("mart_er_kpis", "total_open_er_cases", "open_er_cases"),
+        kpi("mart_recruitment_kpis", "open_requisitions"),
+        kpi("mart_talent_kpis", "review_completion_pct"),
         issues,
         healthy,
         wh.view("base_command_center_report_context").select(F.col("last_refresh_timestamp").alias("last_data_refresh")),
         latest,
-        wh.view("mart_data_quality_summary").select("data_quality_score"),
+        kpi("mart_data_quality_summary", "data_quality_score"),
     )
     whole = ("active_headcount", "open_er_cases", "open_requisitions", "total_active_exceptions", "modules_healthy")
     return row.select(*[F.col(c).cast("bigint").alias(c) if c in whole else F.col(c) for c in row.columns])
