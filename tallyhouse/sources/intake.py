@@ -73,12 +73,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def load_tables(spark: SparkSession, folder: str, production: bool = False, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
     """Typed tables found in ``folder``; a missing one is skipped unless production needs it."""
-    found: dict[str, DataFrame] = {}
-    for name in names:
-        path = f"{folder}/{name}.parquet"
-        if exists(spark, path):
-            found[name] = spark.read.parquet(path)
-        if production and name in CORE_TABLES and (name not in found or found[name].isEmpty()):
+    found = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names if exists(spark, f"{folder}/{n}.parquet")}
+    for name in CORE_TABLES if production else ():
+        if name not in found or found[name].isEmpty():
             raise IntakeError(f"core source '{name}' is missing or empty in {folder}")
     return found
 
