@@ -15,7 +15,7 @@ def surrogate_id(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
     Rows are range-partitioned on the order columns plus a random salt (the salt
     lets many equal rows spread over partitions), sorted inside each partition
-    and checkpointed, which fixes the partition of every row. The position in
+    and stored, which fixes the partition of every row. The position in
     the partition plus the row count of the partitions before it is the number.
     Only one count per partition is gathered to compute the offsets.
     """

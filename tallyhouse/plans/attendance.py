@@ -219,6 +219,7 @@ def _measures() -> dict[str, Column]:
 
 @view("mart_attendance_kpis")
 def attendance_kpis(wh: Warehouse) -> DataFrame:
+    wh.settle("base_expected_attendance")  # read by the KPI row and by the rules
     early = F.when(
         F.col("actual_check_out") < F.col("scheduled_end"), minute_boundaries("actual_check_out", "scheduled_end")
     ).otherwise(F.lit(0).cast("bigint"))

@@ -157,6 +157,7 @@ def _month_sums(df: DataFrame) -> DataFrame:
 
 @view("mart_payroll_kpis")
 def payroll_kpis(wh: Warehouse) -> DataFrame:
+    wh.settle("base_payroll_current")  # read by the KPI row and by the rules
     current = wh.view("base_payroll_current").agg(
         total("gross_pay").alias("total_payroll_cost"),
         total("basic_salary").alias("basic_salary_cost"),
@@ -265,6 +266,7 @@ def payroll_variance_employees(wh: Warehouse) -> DataFrame:
 
 @view("mart_payroll_reconciliation")
 def payroll_reconciliation(wh: Warehouse) -> DataFrame:
+    wh.settle("base_payroll_current")
     totals = wh.view("base_payroll_current").agg(
         total("gross_pay").alias("total_gross_payroll"),
         total("basic_salary").alias("basic_salary_sum"),

@@ -125,6 +125,12 @@ def _linked(wh: Warehouse, records: DataFrame) -> DataFrame:
     return records.join(candidates, "candidate_id").join(current, "requisition_id")
 
 
+def _store_shared(wh: Warehouse) -> None:
+    """Frames that most branches of the KPI row and the rules read are stored once."""
+    for name in ("base_candidate_canonical", "base_recruitment_requisitions_current", "base_candidate_pipeline_current"):
+        wh.settle(name)
+
+
 def _in_month(wh: Warehouse, column: str) -> Column:
     return F.to_date(column).between(F.lit(wh.hiring_month.start), F.lit(wh.hiring_month.end))
 
@@ -165,6 +171,7 @@ def _plan_with_actual(wh: Warehouse) -> DataFrame:
 
 @view("mart_recruitment_exceptions")
 def recruitment_exceptions(wh: Warehouse) -> DataFrame:
+    _store_shared(wh)
     end = F.lit(wh.hiring_month.end)
 
     def rule(issue, when, **slots):
@@ -261,6 +268,7 @@ def _hires(wh: Warehouse) -> DataFrame:
 
 @view("mart_recruitment_kpis")
 def recruitment_kpis(wh: Warehouse) -> DataFrame:
+    _store_shared(wh)
     end = F.lit(wh.hiring_month.end)
     # Actual headcount on planned pairs; a repeated plan row counts its people again, as the plan total does.
     fulfilled = _plan_with_actual(wh).agg(whole("planned_headcount").alias("planned"), whole("actual_headcount").alias("actual"))

@@ -49,6 +49,12 @@ def talent_population(wh: Warehouse) -> DataFrame:
     )
 
 
+def _store_shared(wh: Warehouse) -> None:
+    """Frames that most branches of the KPI row and the rules read are stored once."""
+    for name in ("base_talent_employee_population", "base_performance_reviews_current", "base_succession_plans_current"):
+        wh.settle(name)
+
+
 def _ids(wh: Warehouse) -> DataFrame:
     return wh.view("base_talent_employee_population").select("employee_id")
 
@@ -127,6 +133,7 @@ def career_paths_current(wh: Warehouse) -> DataFrame:
 
 @view("mart_talent_exceptions")
 def talent_exceptions(wh: Warehouse) -> DataFrame:
+    _store_shared(wh)
     low, high = wh.rules.min_rating, wh.rules.max_rating
     ids = _ids(wh)
 
@@ -264,6 +271,7 @@ def _done_hours() -> Column:
 
 @view("mart_talent_kpis")
 def talent_kpis(wh: Warehouse) -> DataFrame:
+    _store_shared(wh)
     category = F.col("performance_category")
     roles = _plans_with_flag(wh)
     row = side_by_side(

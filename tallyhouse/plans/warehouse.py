@@ -69,7 +69,11 @@ class Warehouse:
         return self._views[name]
 
     def settle(self, name: str) -> DataFrame:
-        """Checkpoint a view once; every later plan of this warehouse reads the stored rows."""
+        """Store a view once; every later plan of this warehouse reads the stored rows.
+
+        Used for frames that several branches of one result read, such as the
+        canonical candidates of the recruitment KPIs.
+        """
         if name not in self._settled:
             self._views[name] = pin(self.view(name))
             self._settled.add(name)

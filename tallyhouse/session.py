@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name under the shared folder of the cluster.
+
+    The cluster names that folder in ``spark.checkpoint.dir``; a private folder
+    is made only where the setting is absent, which is the case in tests.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-tallyhouse-")
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+    """Store ``df`` as a table in the shared folder and read it from there.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a private
-    folder is made only where that is unset, which is the case in tests.
+    The lineage is cut and survives lost executors. Unlike a checkpoint, the
+    stored table keeps its size and lets later plans read only the columns they need.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-tallyhouse-"))
-    return df.checkpoint()
+    path = scratch_dir(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.session import scratch_dir  # noqa: F401
 from tallyhouse.sources.schemas import CORE_TABLES, SCHEMAS, columns
 
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
@@ -19,14 +18,6 @@ class IntakeError(RuntimeError):
     """A source a production refresh needs is missing or empty."""
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder of the cluster, or a private one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"spark-{purpose}-")
-
-
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """CSV with a header and a declared schema; an empty field is NULL."""
     return spark.read.schema(ddl).option("header", True).option("nullValue", "").csv(path)
