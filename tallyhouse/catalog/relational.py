@@ -281,7 +281,7 @@ def p10(t: Trade) -> DataFrame:
         F.datediff(day, F.lit("2023-12-25").cast("date")).cast("bigint").alias("age"),
         F.date_format("ts", "EEEE").alias("weekday"),
         F.date_format("ts", "yyyy-MM").alias("period"),
-        minute_boundaries(day.cast("timestamp"), "ts").alias("minute"),
+        minute_boundaries(day.cast("timestamp_ntz"), "ts").alias("minute"),
     )
 
 
@@ -425,7 +425,7 @@ def j10(t: Trade) -> DataFrame:
 @query("j11_scalar_subquery", "SELECT o_orderkey, o_orderdate FROM orders WHERE date_trunc('month', o_orderdate) = (SELECT max(date_trunc('month', o_orderdate)) FROM orders)")
 def j11(t: Trade) -> DataFrame:
     latest = t.orders.agg(F.max("o_orderdate")).first()[0].replace(day=1)
-    return t.orders.where(F.col("o_orderdate") >= F.lit(latest).cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
+    return t.orders.where(F.col("o_orderdate") >= F.lit(latest.strftime("%Y-%m-%d")).cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
 
 
 @query(

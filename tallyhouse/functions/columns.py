@@ -80,10 +80,13 @@ def say(template: str, **parts: Column | str) -> Column:
 
 
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
-    """Minutes between two timestamps, counting minute boundaries crossed."""
+    """Minutes between two timestamps, counting minute boundaries crossed.
+
+    Built from days, hours and minutes, so the session time zone plays no part.
+    """
+    start, end = as_col(start), as_col(end)
     return (
-        F.floor(F.unix_micros(as_col(end).cast("timestamp")) / 60_000_000)
-        - F.floor(F.unix_micros(as_col(start).cast("timestamp")) / 60_000_000)
+        F.datediff(end, start) * 1440 + (F.hour(end) - F.hour(start)) * 60 + (F.minute(end) - F.minute(start))
     ).cast("bigint")
 
 

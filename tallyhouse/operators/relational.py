@@ -60,6 +60,18 @@ def drop_members(df: DataFrame, column: str, keys: DataFrame, null_passes: bool
     return left.join(known, F.col(column) == F.col("_key"), "left_anti")
 
 
+def full_join_unique(unique: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Full outer join of a frame with one row per key and a frame with any number.
+
+    A skewed full outer join cannot be split, so it is put together from a left
+    join, which can, and the keys only the unique side has.
+    """
+    matched = rows.join(unique, key, "left")
+    alone = unique.where(F.col(key).isNotNull()).join(rows.select(key).distinct(), key, "left_anti")
+    no_key = unique.where(F.col(key).isNull())
+    return matched.unionByName(alone.unionByName(no_key), allowMissingColumns=True)
+
+
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """Put one-row frames next to each other as one row.
 

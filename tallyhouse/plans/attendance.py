@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import floor_zero, minute_boundaries, money_text, tally, total, whole
 from tallyhouse.operators.reconcile import presence_status
-from tallyhouse.operators.relational import add_group_total, side_by_side
+from tallyhouse.operators.relational import add_group_total, full_join_unique, side_by_side
 from tallyhouse.operators.rules import flag_rows, stack
 from tallyhouse.operators.temporal import expand_days, late_minutes
 from tallyhouse.plans.texts import ATTENDANCE
@@ -114,7 +114,7 @@ def attendance_payroll_overtime(wh: Warehouse) -> DataFrame:
     people = wh.view("base_employees_deduplicated").select("employee_id", "employee_name", "department", "project")
     hours_, cost = F.coalesce("hours", F.lit(0.0)), F.coalesce("cost", F.lit(0.0))
     return (
-        hours.join(paid, "employee_id", "full")
+        full_join_unique(hours, paid, "employee_id")
         .join(people, "employee_id", "left")
         .select(
             "employee_id",

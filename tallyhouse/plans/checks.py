@@ -34,8 +34,7 @@ def _rows(wh: Warehouse, view: str, name: str, where: Column | None = None) -> D
 def workforce(wh: Warehouse) -> DataFrame:
     hc = wh.view("mart_workforce_kpis").select("active_headcount")
     categories = wh.view("mart_workforce_distribution").groupBy("category").agg(F.sum("headcount").alias("n"))
-    # One row on the right side.
-    per_category = categories.join(F.broadcast(hc), F.lit(True))
+    per_category = categories.withColumn("active_headcount", hc.scalar())
     named = per_category.select(F.concat(F.lit("Distribution total: "), "category").alias("check_name"), "active_headcount", "n")
     distribution = named.select(
         "check_name",

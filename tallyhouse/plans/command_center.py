@@ -110,8 +110,8 @@ def freshness(wh: Warehouse) -> DataFrame:
     default_source = (
         F.when(module == "executive", "mart_exec_kpis").when(module == "data-quality", "data_quality").otherwise("derived")
     )
-    # The registry and the source list are nine and seven rows; the rest is one row.
-    rows = registry.join(F.broadcast(sources), "module_key", "left").join(F.broadcast(any_stale), F.lit(True))
+    # The registry and the source list are nine and seven rows.
+    rows = registry.join(F.broadcast(sources), "module_key", "left").withColumn("_any", any_stale.scalar())
     return rows.select(
         "module_key",
         "module_label",

@@ -457,9 +457,8 @@ def talent_review_trends(wh: Warehouse) -> DataFrame:
         .groupBy(F.col("review_period").alias("period"))
         .agg(F.count("employee_id").alias("completed_reviews"), F.round(F.avg("rating"), 2).alias("avg_rating"))
     )
-    # One row on the right side.
     return (
-        periods.join(F.broadcast(people), F.lit(True))
+        periods.withColumn("total_reviewed", people.scalar())
         .select("period", "total_reviewed", "completed_reviews", percent("completed_reviews", "total_reviewed").alias("completion_pct"), "avg_rating")
         .orderBy("period")
     )

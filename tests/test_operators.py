@@ -127,6 +127,14 @@ def test_side_by_side_survives_an_empty_frame(spark):
     assert "Cartesian" not in rel.side_by_side(one, none)._jdf.queryExecution().toString()
 
 
+def test_full_join_unique_equals_a_full_join(spark):
+    unique = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, u int")
+    rows = spark.createDataFrame([("a", 10), ("a", 11), ("c", 12), (None, 13)], "k string, v int")
+    got = Counter((r.k, r.u, r.v) for r in rel.full_join_unique(unique, rows, "k").collect())
+    want = Counter((r.k, r.u, r.v) for r in unique.join(rows, "k", "full").collect())
+    assert got == want
+
+
 def test_group_total_gives_zero_for_null_groups(spark):
     groups = spark.createDataFrame([("a",), (None,)], "k string")
     facts = spark.createDataFrame([("a", 1.5), (None, 9.0)], "k string, v double")
