@@ -65,6 +65,9 @@ for _key, _label, _route, _, _, _source in MODULES:
 
 @view("base_command_center_exception_sources")
 def exception_sources(wh: Warehouse) -> DataFrame:
+    # Every module's rules read the two employee populations.
+    wh.settle_all(["base_active_workforce", "base_employees_deduplicated"])
+    wh.settle_all([s for *_, s in MODULES if s and s != "mart_data_quality_exceptions"] + ["data_quality"])
     return stack(*[wh.view(name) for name in FEEDS]).withColumn("severity", normal_severity("severity"))
 
 
@@ -193,6 +196,12 @@ def module_health(wh: Warehouse) -> DataFrame:
     return rows.withColumn("status", status)
 
 
+KPI_VIEWS = (
+    "mart_workforce_kpis", "mart_payroll_kpis", "mart_attendance_kpis", "mart_compliance_kpis", "mart_er_kpis", "mart_recruitment_kpis",
+    "mart_talent_kpis", "mart_data_quality_summary",
+)
+
+
 @view("command_center_overview_data")
 def overview_data(wh: Warehouse) -> DataFrame:
     """Headline numbers of all modules in one row."""
@@ -202,6 +211,8 @@ def overview_data(wh: Warehouse) -> DataFrame:
     healthy = wh.view("mart_command_center_module_health").agg(tally(F.col("status") == "Healthy").alias("modules_healthy"))
     latest = wh.view("base_command_center_data_freshness").agg(F.max("max_source_date").alias("latest_source_business_date"))
 
+    wh.settle_all(KPI_VIEWS)
+
     def kpi(view: str, column: str, name: str | None = None) -> DataFrame:
         return wh.settle(view).select(F.col(column).alias(name or column))
 

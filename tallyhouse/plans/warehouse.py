@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ class Warehouse:
         self._tables = tables
         self._views: dict[str, DataFrame] = {}
         self._settled: set[str] = set()
+        self._locks: dict[str, Lock] = {}
 
     @classmethod
     def over_trade_data(cls, spark: SparkSession, folder: str, rules: Rules | None = None) -> "Warehouse":
@@ -74,11 +77,17 @@ class Warehouse:
         Used for frames that several branches of one result read, such as the
         canonical candidates of the recruitment KPIs.
         """
-        if name not in self._settled:
-            self._views[name] = pin(self.view(name))
-            self._settled.add(name)
+        with self._locks.setdefault(name, Lock()):
+            if name not in self._settled:
+                self._views[name] = pin(self.view(name))
+                self._settled.add(name)
         return self._views[name]
 
+    def settle_all(self, names: Sequence[str], at_once: int = 4) -> None:
+        """Store independent views side by side, so that short jobs share the executors."""
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(self.settle, names))
+
     def publish(self, names: list[str] | None = None) -> None:
         """Create or replace a temporary SQL view per warehouse view."""
         for name in names or list(VIEWS):
