@@ -25,6 +25,8 @@ def build_session(name: str = "tallyhouse", cores: str = "*", partitions: int |
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python line of every column call costs more than planning a wide rule set.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
