@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.catalog.registry import Catalog, Trade
-from tallyhouse.functions import floor_zero, is_blank, minute_boundaries, money_text, overlaps, percent, ratio, say, tally, total
+from tallyhouse.functions import floor_zero, minute_boundaries, money_text, overlaps, percent, ratio, say, tally, total
 from tallyhouse.functions.columns import expiry_bucket
 from tallyhouse.operators import privacy, quality, rules
 from tallyhouse.operators import relational as rel
@@ -16,7 +16,7 @@ from tallyhouse.operators import temporal as tm
 from tallyhouse.operators.kpi import NEUTRAL, Kpi, Status, above, at_least, kpi_list
 from tallyhouse.operators.reconcile import checks_of, presence_status
 from tallyhouse.plans.command_center import health
-from tallyhouse.streaming.audit import ACTION_SEVERITY, audit_records
+from tallyhouse.streaming.audit import audit_records
 
 catalog = Catalog()
 query = catalog.query
@@ -542,7 +542,7 @@ def g1(t: Trade) -> DataFrame:
 )
 def g2(t: Trade) -> DataFrame:
     """Rows are routed to one folder per disposition and counted from there."""
-    from tallyhouse.sources.intake import scratch_dir
+    from tallyhouse.session import scratch_dir
 
     path = scratch_dir(t.spark, "routed")
     quality.route(_delivered(t), _order_checks(t), path)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.catalog.registry import Catalog, Trade
-from tallyhouse.functions import any_text, is_blank, minute_boundaries, money_text, percent, ratio, say, tally, total
+from tallyhouse.functions import is_blank, minute_boundaries, money_text, percent, ratio, say, tally, total
 from tallyhouse.operators import relational as rel
 from tallyhouse.operators.identity import surrogate_id
 from tallyhouse.operators.rules import Rule, flag_rows
 from tallyhouse.operators.tables import insert_missing, update_by_key, write_snapshot
+from tallyhouse.session import scratch_dir
 from tallyhouse.sources import intake
 
 catalog = Catalog()
@@ -22,7 +23,7 @@ CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
 # ------------------------------------------------------------ sources, sinks, tables
 @query("s1_csv_source", "SELECT * FROM customer")
 def csv_source(t: Trade) -> DataFrame:
-    path = intake.scratch_dir(t.spark, "csv")
+    path = scratch_dir(t.spark, "csv")
     t.customer.write.mode("overwrite").option("header", True).csv(path)
     return intake.read_csv(t.spark, path, CUSTOMER)
 
@@ -32,7 +33,7 @@ def csv_source(t: Trade) -> DataFrame:
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
 )
 def text_layer(t: Trade) -> DataFrame:
-    path = intake.scratch_dir(t.spark, "bronze")
+    path = scratch_dir(t.spark, "bronze")
     intake.write_text_layer(t.customer, path)
     return t.spark.read.parquet(path)
 
@@ -79,7 +80,7 @@ def empty_result(t: Trade) -> DataFrame:
 
 @query("s7_issue_sink", _NEGATIVE.format(limit=0))
 def issue_sink(t: Trade) -> DataFrame:
-    path = intake.scratch_dir(t.spark, "gold")
+    path = scratch_dir(t.spark, "gold")
     _negative_balance(t).write.mode("overwrite").parquet(path)
     return t.spark.read.parquet(path)
 
@@ -125,7 +126,7 @@ def s10(t: Trade) -> DataFrame:
         t.customer.agg(F.count(F.lit(1)).alias("customers")),
         t.events.agg(F.count(F.lit(1)).alias("events")),
     )
-    path = intake.scratch_dir(t.spark, "snapshot")
+    path = scratch_dir(t.spark, "snapshot")
     write_snapshot(row, path)
     return t.spark.read.parquet(path)
 

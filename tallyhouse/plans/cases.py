@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import is_blank, percent, tally
 from tallyhouse.operators.identity import surrogate_id
 from tallyhouse.operators.relational import side_by_side, with_repeat_flag
-from tallyhouse.operators.rules import flag_rows, stack
+from tallyhouse.operators.rules import flag_rows
 from tallyhouse.operators.temporal import aging_band, aging_days, sla_status
 from tallyhouse.plans.compliance import employee_class
 from tallyhouse.plans.params import OPEN_CASE

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.session import scratch_dir  # noqa: F401
 from tallyhouse.sources.schemas import CORE_TABLES, SCHEMAS, columns
 
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
