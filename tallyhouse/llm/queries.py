@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import packing, token_counts, token_files
+from tallyhouse.llm import decontaminate, line_dedup, packing, token_counts, token_files
 from tallyhouse.session import scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -50,6 +50,18 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path, separator = scratch_dir(spark, "flat-tokens"), 50256
     token_counts.write_flat(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), separator)
@@ -63,11 +75,22 @@ def op8_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.with_bitmaps(table(spark, folder, "documents"))
+    kept = line_dedup.kept_text(F.col("text"), F.col("keep_words"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_decontaminate": op3_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: Checking SQL where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+}
