@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, line_dedup, packing, token_counts, token_files
+from tallyhouse.llm import decontaminate, line_dedup, minhash_forest, packing, token_counts, token_files
 from tallyhouse.session import scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -75,6 +75,10 @@ def op8_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_forest.links(table(spark, folder, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.with_bitmaps(table(spark, folder, "documents"))
     kept = line_dedup.kept_text(F.col("text"), F.col("keep_words"))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_minhash_forest": op9_minhash_forest,
     "op10_line_dedup": op10_line_dedup,
 }
 
