@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, line_dedup, minhash_forest, packing, token_counts, token_files
+from tallyhouse.llm import decontaminate, line_dedup, minhash_forest, packing, suffix_dedup, token_counts, token_files
 from tallyhouse.session import scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -62,6 +62,11 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path, separator = scratch_dir(spark, "flat-tokens"), 50256
     token_counts.write_flat(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), separator)
@@ -88,6 +93,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_minhash_forest": op9_minhash_forest,

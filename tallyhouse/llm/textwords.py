@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -62,8 +64,21 @@ def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(first, offsets)
 
 
+def lots(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cut texts into neighbouring lots (first, end) of about ``limit`` bytes, so that arrays over their bytes stay small."""
+    first = 0
+    while first < len(offsets) - 1:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        yield first, end
+        first = end
+
+
 def shingle_sets(text: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of ``size`` words in a row; fewer words are one shingle, none no shingle."""
+    return [own for a, b in lots(offsets) for own in _sets(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
+
+
+def _sets(text: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     words, at = word_hashes(text, offsets)
     multipliers = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     rows = np.zeros(max(len(words) - size + 1, 0), dtype=np.uint64)
