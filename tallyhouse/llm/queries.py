@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, line_dedup, minhash_forest, packing, suffix_dedup, token_counts, token_files
+from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_forest, packing, suffix_dedup, token_counts, token_files
 from tallyhouse.session import scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -50,6 +50,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op2_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_crf.identify(table(spark, folder, "documents"))
+    return found.select("doc_id", language_crf.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -92,6 +97,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_language_crf": op2_language_crf,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_counts": op7_token_counts,
