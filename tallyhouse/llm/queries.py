@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_forest, packing, suffix_dedup, token_counts, token_files
+from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_forest, packing, reshard, suffix_dedup, token_counts, token_files
 from tallyhouse.session import scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -72,6 +72,26 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
+    """From 32 shards by source, which are very uneven, to 40 of equal bytes."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32)).cast("int").alias("old"))
+    resharded, changed = reshard.reshard(documents, "old", 40)
+    path = scratch_dir(spark, "shards")
+    reshard.rewrite(resharded, changed, path)
+    rows = reshard.read_shards(spark, path, resharded.schema).unionByName(resharded.where(~F.col("_shard").isin(changed)))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + reshard.OVERHEAD).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("_old").alias("old_shard"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path, separator = scratch_dir(spark, "flat-tokens"), 50256
     token_counts.write_flat(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), separator)
@@ -100,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_crf": op2_language_crf,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_reshard": op6_reshard,
     "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_minhash_forest": op9_minhash_forest,
