@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_forest, packing, reshard, suffix_dedup, token_counts, token_files
-from tallyhouse.session import scratch_dir, tune
+from tallyhouse.llm import decontaminate, embedding_graph, language_crf, line_dedup, minhash_forest, packing, reshard, suffix_dedup, token_counts, token_files
+from tallyhouse.session import pin, scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
 BATCH_ROWS = "1000"
@@ -72,6 +72,12 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_embedding_graph(spark: SparkSession, folder: str) -> DataFrame:
+    found, rows = embedding_graph.links(table(spark, folder, "embeddings"))
+    found = pin(found)
+    return found.withColumn("audited_recall", F.lit(embedding_graph.audit(rows, found)))
+
+
 def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
     """From 32 shards by source, which are very uneven, to 40 of equal bytes."""
     documents = table(spark, folder, "documents").select("doc_id", "text", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32)).cast("int").alias("old"))
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_crf": op2_language_crf,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_embedding_graph": op5_embedding_graph,
     "op6_reshard": op6_reshard,
     "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
