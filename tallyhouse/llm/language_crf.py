@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tallyhouse.llm.tokens import texts_of
 
@@ -263,15 +264,22 @@ def training_sample(documents: DataFrame, per_language: int = DOCS_PER_LANGUAGE)
     return [tuple(r) for r in labelled.where(chance < share[F.col("lang")]).select("lang", "text").collect()]
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, n_words, n_switches for each document.
+PREDICTION = [("lang_pred", StringType()), ("score", DoubleType()), ("n_words", LongType()), ("n_switches", LongType())]
+
+
+def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id unless given) and lang_pred, score, n_words, n_switches for each document.
+
+    A kept column that has the name of a result is left out.
 
     ``lang_pred`` has the largest sum of word marginals and ``score`` is their
     mean (0 to 1); ties go to the first name. A text that is null or has no
     letters, and any text if nothing was learned, is ``und`` with score 0.
     ``n_switches`` counts neighbouring words labelled differently.
     """
-    shape = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
+    kept = [c for c in keep or ["doc_id"] if c not in dict(PREDICTION)]
+    rows = documents.select(F.col("text").alias("_text"), *kept)
+    schema = StructType([*rows.schema.fields[1:], *[StructField(n, t) for n, t in PREDICTION]])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = model.languages
@@ -294,7 +302,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 for (row, _), b, s, n, t in zip(lot, best, sums, lengths, turns):
                     out[row] = (names[b], min(1.0, float(s[b] / n)), int(n), int(t))
 
-            for row, text in enumerate(texts_of(batch.column(1))):
+            for row, text in enumerate(texts_of(batch.column(0))):
                 words = words_of(text)
                 if words and names:
                     lot.append((row, words))
@@ -305,11 +313,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             if lot:
                 flush()
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "n_words", "n_switches"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], schema.names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, shape)
+    return rows.mapInArrow(label, schema)
 
 
-def identify(documents: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+def identify(documents: DataFrame, per_language: int = DOCS_PER_LANGUAGE, keep: list[str] | None = None) -> DataFrame:
     """Fit on the documents' own labels (those not held out) and predict all of them."""
-    return predict(documents, fit(training_sample(documents, per_language)))
+    return predict(documents, fit(training_sample(documents, per_language)), keep)
