@@ -91,8 +91,10 @@ def _candidates(lengths: Sequence[int], window: int, gram: int) -> Column:
             return _each(F.size(exact) - (n - 1), lambda i: i)
 
         long = let(gram_hashes(lower, gram), lambda g: tried(F.filter(numbers(window), lambda s: F.arrays_overlap(F.slice(g, s, span), matched)), window))
-        short = [tried(F.filter(numbers(n), lambda s, n=n: F.array_contains(matched, F.xxhash64(F.lit(n), F.slice(lower, s, n)))), n) for n in lengths]
-        return F.concat(long, *short)
+        def whole(n: int) -> Column:
+            return tried(F.filter(numbers(n), lambda s: F.array_contains(matched, F.xxhash64(F.lit(n), F.slice(lower, s, n)))), n)
+
+        return F.concat(long, *[whole(n) for n in lengths])
 
     return let(words(F.lower("text")), lambda lower: let(words(ascii_lower(F.col("text"))), lambda exact: windows(lower, exact)))
 
