@@ -140,7 +140,7 @@ def d7(t: Trade) -> DataFrame:
         F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(1.0).alias("u")
     )
     status = presence_status(F.coalesce("r", F.lit(0.0)), F.coalesce("u", F.lit(0.0)), "Both", "Returned only", "Urgent only", "None")
-    return returned.join(urgent, "k", "full").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("orders"))
+    return rel.full_join_unique(returned, urgent, "k").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("orders"))
 
 
 @query(
@@ -376,14 +376,14 @@ def d20(t: Trade) -> DataFrame:
 @query(
     "d21_monthly_snapshot",
     """WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
-  m AS (SELECT c.*, CAST(unnest(generate_series(greatest(date_trunc('month', s), TIMESTAMP '1999-01-01'), least(date_trunc('month', e), TIMESTAMP '1999-12-01'), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM c)
+  m AS (SELECT c.*, CAST(unnest(generate_series(date_trunc('month', s), date_trunc('month', e), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM c)
 SELECT strftime(month_start, '%Y-%m') AS snapshot_month, c_custkey, c_mktsegment, c_nationkey, c_acctbal, CASE WHEN e <= last_day(month_start) THEN 'Ended' ELSE 'Active' END AS status FROM m""",
 )
 def d21(t: Trade) -> DataFrame:
     """One row per customer and month between its first and last order."""
     life = t.orders.groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("s"), F.to_date(F.max("o_orderdate")).alias("e"))
     people = t.customer.join(life, F.col("o_custkey") == F.col("c_custkey"))
-    months = tm.entity_months(people, "c_custkey", F.col("s"), F.col("e"), date(1999, 1, 1), date(1999, 12, 31))
+    months = tm.entity_months(people, "c_custkey", F.col("s"), F.col("e"))
     status = F.when(F.col("e") <= F.last_day("month_start"), "Ended").otherwise("Active")
     return months.select(F.date_format("month_start", "yyyy-MM").alias("snapshot_month"), "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal", status.alias("status"))
 
@@ -614,6 +614,7 @@ def g5(t: Trade) -> DataFrame:
 @query(
     "g6_masking",
     """SELECT p_partkey, substr(p_name, 1, 4) || repeat('*', greatest(length(p_name) - 4, 0)) AS left_shown, repeat('*', greatest(length(p_name) - 4, 0)) || right(p_name, 4) AS right_shown,
+  CASE WHEN length(split_part(p_name, ' ', 2)) <= 4 THEN repeat('*', length(split_part(p_name, ' ', 2))) ELSE substr(split_part(p_name, ' ', 2), 1, 4) || repeat('*', length(split_part(p_name, ' ', 2)) - 4) END AS short_part,
   upper(substr(p_name, 1, 1)) || '.' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || '. (' || p_partkey || ')' AS pseudonym, '[REDACTED_FINANCIAL_DETAIL]' AS price FROM part""",
 )
 def g6(t: Trade) -> DataFrame:
@@ -621,6 +622,7 @@ def g6(t: Trade) -> DataFrame:
         "p_partkey",
         privacy.mask_part("p_name").alias("left_shown"),
         privacy.mask_part("p_name", keep="right").alias("right_shown"),
+        privacy.mask_part(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("short_part"),
         privacy.pseudonym("p_name", "p_partkey").alias("pseudonym"),
         F.lit(privacy.FULL_REDACTION).alias("price"),
     )
@@ -682,11 +684,17 @@ def g8(t: Trade) -> DataFrame:
 
 @query(
     "g9_pattern_scan",
-    r"""SELECT * FROM (SELECT doc_id, 'national_id' AS pattern, len(regexp_extract_all(text, '\b[12]\d{9}\b')) AS hits FROM documents UNION ALL SELECT doc_id, 'iban', len(regexp_extract_all(text, '(?i)\bSA\d{22}\b')) FROM documents
-UNION ALL SELECT doc_id, 'email', count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) AS x FROM documents) WHERE NOT regexp_matches(x, '@(example\.com|synthetic\.local)') GROUP BY doc_id) WHERE hits > 0""",
+    r"""WITH texts AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 1 THEN ' write to x@example.com.evil.org' WHEN 2 THEN ' write to y@example.com.' WHEN 3 THEN ' z@example.community.org' WHEN 4 THEN ' w@synthetic.local, v@else.net' ELSE '' END AS text FROM documents)
+SELECT * FROM (SELECT doc_id, 'national_id' AS pattern, len(regexp_extract_all(text, '\b[12]\d{9}\b')) AS hits FROM texts UNION ALL SELECT doc_id, 'iban', len(regexp_extract_all(text, '(?i)\bSA\d{22}\b')) FROM texts
+UNION ALL SELECT doc_id, 'email', count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS x FROM texts) WHERE NOT regexp_matches(x, '@(example\.com|synthetic\.local)$') GROUP BY doc_id) WHERE hits > 0""",
 )
 def g9(t: Trade) -> DataFrame:
-    return privacy.scan_text(t.documents, "doc_id", "text")
+    """Every text gets an address: allowed ones, and some that only begin like an allowed one."""
+    added = {1: " write to x@example.com.evil.org", 2: " write to y@example.com.", 3: " z@example.community.org", 4: " w@synthetic.local, v@else.net"}
+    kind, tail = F.col("doc_id") % 5, F.lit("")
+    for n, words in added.items():
+        tail = F.when(kind == n, words).otherwise(tail)
+    return privacy.scan_text(t.documents.withColumn("text", F.concat("text", tail)), "doc_id", "text")
 
 
 @query(

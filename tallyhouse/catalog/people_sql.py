@@ -58,7 +58,7 @@ def sentence(template: str, slots: dict[str, str]) -> str:
         if literal:
             parts.append(quote(literal))
         if slot:
-            parts.append(f"CAST({slots.get(slot, slot)} AS VARCHAR)")
+            parts.append(f"coalesce(CAST({slots.get(slot, slot)} AS VARCHAR), 'N/A')")
     return " || ".join(parts)
 
 
@@ -96,9 +96,9 @@ QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY joining_date DESC N
 Q["base_employees_deduplicated"] = """SELECT * FROM employees
 QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY CASE status WHEN 'Active' THEN 0 ELSE 1 END, joining_date DESC NULLS LAST, contract_end_date DESC NULLS LAST, employee_name) = 1"""
 Q["permits"] = "SELECT employee_id, iqama_expiry FROM compliance, com_m WHERE period = label"
-Q["headcounts"] = """SELECT strftime(last_day(s - to_months(CAST(b AS INT))), '%Y-%m') AS month,
-  (SELECT count(DISTINCT employee_id) FROM employees WHERE joining_date <= last_day(s - to_months(CAST(b AS INT))) AND (termination_date IS NULL OR termination_date > last_day(s - to_months(CAST(b AS INT))))) AS active_headcount
-FROM pay_m, (SELECT unnest([1, 2]) AS b)
+Q["headcounts"] = """SELECT payroll_period AS month,
+  (SELECT count(DISTINCT employee_id) FROM employees WHERE joining_date <= d AND (termination_date IS NULL OR termination_date > d)) AS active_headcount
+FROM (SELECT DISTINCT payroll_period, last_day(CAST(payroll_period || '-01' AS DATE)) AS d FROM payroll, pay_m WHERE payroll_period < label)
 UNION ALL SELECT label, (SELECT count(*) FROM base_active_workforce) FROM pay_m"""
 Q["mart_workforce_headcount_trend"] = "SELECT month, active_headcount FROM headcounts"
 Q["mart_exec_trends"] = f"""SELECT h.month, h.active_headcount, coalesce(p.c, 0) AS payroll_cost FROM headcounts h
@@ -190,8 +190,9 @@ _PAY = """SELECT p.*, coalesce(w.project, 'Missing Project') AS emp_project, coa
 FROM pay_m, payroll p LEFT JOIN base_active_workforce w ON w.employee_id = p.employee_id WHERE payroll_period = """
 Q["base_payroll_current"] = _PAY + "label"
 Q["base_payroll_previous"] = _PAY + "prev"
-Q["before_pay"] = """SELECT employee_id, round(sum(gross_pay), 2) AS prev_gross, round(sum(basic_salary), 2) AS prev_basic
-FROM base_payroll_previous GROUP BY employee_id"""
+Q["pay_change"] = """SELECT n.employee_id, n.employee_name, n.gross AS curr_gross, n.basic AS curr_basic, p.gross AS prev_gross, p.basic AS prev_basic
+FROM (SELECT employee_id, max(employee_name) AS employee_name, round(sum(gross_pay), 2) AS gross, round(sum(basic_salary), 2) AS basic FROM base_payroll_current GROUP BY employee_id) n
+LEFT JOIN (SELECT employee_id, round(sum(gross_pay), 2) AS gross, round(sum(basic_salary), 2) AS basic FROM base_payroll_previous GROUP BY employee_id) p ON n.employee_id = p.employee_id"""
 _COMP = "basic_salary + housing_allowance + transport_allowance + other_allowances + overtime_amount"
 _C = "base_payroll_current"
 _G, _N = cents("gross_pay"), cents("net_pay")
@@ -205,9 +206,9 @@ Q["mart_payroll_exceptions"] = issues(texts.PAYROLL, [
     ("Missing Project", _C, f"{EMPTY('project')} OR emp_project = 'Missing Project'", _ID, _NM),
     ("Overtime Cost Without Hours", _C + " c", """overtime_amount > 0 AND coalesce((SELECT sum(overtime_hours) FROM attendance a, pay_m
       WHERE a.employee_id = c.employee_id AND attendance_date BETWEEN s AND e), 0) = 0""", _ID, _NM, {"overtime": cents("overtime_amount")}),
-    ("Large Payroll Variance", _C + " JOIN before_pay USING (employee_id)",
-     "abs(gross_pay - prev_gross) > 2000 OR (prev_basic > 0 AND abs(basic_salary - prev_basic) / prev_basic > 0.1)", _ID, _NM,
-     {"change": cents("gross_pay - prev_gross"), "basic_pct": cents("abs(basic_salary - prev_basic) / nullif(prev_basic, 0) * 100")}),
+    ("Large Payroll Variance", "pay_change",
+     "abs(curr_gross - prev_gross) > 2000 OR (prev_basic > 0 AND abs(curr_basic - prev_basic) / prev_basic > 0.1)", _ID, _NM,
+     {"change": cents("curr_gross - prev_gross"), "basic_pct": cents("abs(curr_basic - prev_basic) / nullif(prev_basic, 0) * 100")}),
     ("Duplicate Payroll Record", "(SELECT employee_id, payroll_period, any_value(employee_name) AS nm, count(*) AS n FROM base_payroll_current GROUP BY 1, 2)",
      "n > 1", _ID, "coalesce(nm, 'Unknown Employee')"),
     ("Payroll Component Mismatch", _C, f"abs(gross_pay - ({_COMP})) > 0.01", _ID, _NM, {"gross": _G, "components": cents(_COMP)}),
@@ -234,10 +235,10 @@ Q["mart_payroll_variance_components"] = "SELECT component, prev_amount, curr_amo
     "CASE WHEN prev_amount = 0 THEN 0 ELSE round((curr_amount - prev_amount) / prev_amount, 6) END AS change_pct FROM (" + " UNION ALL ".join(
         f"SELECT '{v}' AS component, (SELECT {MONEY(k)} FROM base_payroll_previous) AS prev_amount, (SELECT {MONEY(k)} FROM base_payroll_current) AS curr_amount"
         for k, v in _LABELS.items()) + ")"
-Q["mart_payroll_variance_employees"] = """SELECT employee_id, employee_name, coalesce(prev_gross, 0) AS prev_amount, gross_pay AS curr_amount,
-  round(gross_pay - coalesce(prev_gross, 0), 2) AS change_amount,
-  CASE WHEN coalesce(prev_gross, 0) = 0 THEN 0 ELSE round((gross_pay - prev_gross) / prev_gross, 6) END AS change_pct
-FROM base_payroll_current LEFT JOIN before_pay USING (employee_id)"""
+Q["mart_payroll_variance_employees"] = """SELECT employee_id, employee_name, coalesce(prev_gross, 0) AS prev_amount, curr_gross AS curr_amount,
+  round(curr_gross - coalesce(prev_gross, 0), 2) AS change_amount,
+  CASE WHEN coalesce(prev_gross, 0) = 0 THEN 0 ELSE round((curr_gross - prev_gross) / prev_gross, 6) END AS change_pct
+FROM pay_change"""
 Q["mart_payroll_reconciliation"] = f"""WITH t AS (SELECT {MONEY('gross_pay')} AS total_gross_payroll, {MONEY('basic_salary')} AS basic_salary_sum, {MONEY('housing_allowance')} AS housing_allowance_sum,
     {MONEY('transport_allowance')} AS transport_allowance_sum, {MONEY('other_allowances')} AS other_allowances_sum, {MONEY('overtime_amount')} AS overtime_sum,
     {MONEY('deductions')} AS deductions_sum, {MONEY('net_pay')} AS net_payroll, count(DISTINCT employee_id) AS employees_paid_count, {MONEY(_COMP)} AS sum_displayed_components
@@ -372,7 +373,7 @@ FROM (SELECT {_POP} FROM base_active_workforce),
      count(*) FILTER (iqama_bucket = 'expired') AS iqamas_expired, count(*) FILTER (work_permit_bucket = 'expired') AS work_permits_expired FROM base_document_expiry),
   (SELECT count(*) FILTER (gosi_status IS DISTINCT FROM 'Registered') AS gosi_missing_count, count(*) FILTER (mudad_status IS DISTINCT FROM 'Compliant') AS wps_exception_count FROM base_compliance_current)"""
 Q["mart_saudization_summary"] = f"""SELECT period, saudi_headcount, non_saudi_headcount, employees_missing_nationality, {_QUOTA} FROM (
-  SELECT strftime(d, '%Y-%m') AS period, {_POP} FROM base_employees_deduplicated, (SELECT last_day(s - to_months(CAST(b AS INT))) AS d FROM com_m, (SELECT unnest([1, 2]) AS b))
+  SELECT strftime(d, '%Y-%m') AS period, {_POP} FROM base_employees_deduplicated, (SELECT DISTINCT last_day(CAST(period || '-01' AS DATE)) AS d FROM compliance, com_m WHERE period < label)
   WHERE joining_date <= d AND (termination_date IS NULL OR termination_date > d) GROUP BY 1
   UNION ALL SELECT any_value(label), {_POP} FROM base_active_workforce, com_m)"""
 for _k in ("project", "department"):

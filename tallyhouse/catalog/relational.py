@@ -252,14 +252,15 @@ def p8(t: Trade) -> DataFrame:
 
 @query(
     "p9_guarded_math",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round(l_extendedprice / nullif(l_quantity - 1, 0), 4) AS unit, CASE WHEN l_tax = 0 THEN 0 ELSE l_discount / l_tax END AS share,
-  abs(l_discount - l_tax) AS gap, greatest(l_discount - 0.05, 0) AS excess FROM lineitem WHERE l_quantity <= 3""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice / nullif(l_quantity - 1, 0) AS unit, round(l_extendedprice, 0) AS rounded, CASE WHEN l_tax = 0 THEN 0 ELSE l_discount / l_tax END AS share,
+  abs(l_discount - l_tax) AS gap, greatest(l_discount - 0.05, 0) AS excess FROM lineitem""",
 )
 def p9(t: Trade) -> DataFrame:
     q = F.col("l_quantity")
-    return t.lineitem.where(q <= 3).select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-        F.round(F.col("l_extendedprice") / F.nullif(q - 1, F.lit(0.0)), 4).alias("unit"),
+        (F.col("l_extendedprice") / F.nullif(q - 1, F.lit(0.0))).alias("unit"),
+        F.round("l_extendedprice", 0).alias("rounded"),
         ratio("l_discount", "l_tax").alias("share"),
         F.abs(F.col("l_discount") - F.col("l_tax")).alias("gap"),
         F.greatest(F.col("l_discount") - 0.05, F.lit(0.0)).alias("excess"),
@@ -323,10 +324,9 @@ FROM (SELECT l_orderkey, count(*) AS returned FROM lineitem WHERE l_returnflag =
 def j3(t: Trade) -> DataFrame:
     returned = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
-    return returned.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "full").select(
-        F.coalesce("l_orderkey", "o_orderkey").alias("order_key"),
-        F.coalesce("n", F.lit(0)).alias("returned"),
-        F.col("o_orderkey").isNotNull().alias("urgent"),
+    keyed = urgent.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("urgent"))
+    return rel.full_join_unique(returned, keyed, "l_orderkey").select(
+        F.col("l_orderkey").alias("order_key"), F.coalesce("n", F.lit(0)).alias("returned"), F.coalesce("urgent", F.lit(False)).alias("urgent")
     )
 
 
@@ -346,17 +346,15 @@ def j4(t: Trade) -> DataFrame:
 
 @query(
     "j5_range_days",
-    """SELECT d AS day, count(*) AS open_orders FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 3 AS e FROM orders WHERE o_orderstatus = 'O') o
-JOIN (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d) c ON d BETWEEN s AND e GROUP BY 1""",
+    """SELECT d AS day, count(*) AS open_orders FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 3 AS e FROM orders) o
+JOIN (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders) + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS DATE) AS d) c ON d BETWEEN s AND e GROUP BY 1""",
 )
 def j5(t: Trade) -> DataFrame:
-    """Calendar days an order is open, generated from the row and clipped to the window."""
+    """Calendar days an order is open, generated from the row."""
     from tallyhouse.operators.temporal import expand_days
 
     start = F.col("o_orderdate").cast("date")
-    first = F.greatest(start, F.lit("1996-01-01").cast("date"))
-    last = F.least(F.date_add(start, 3), F.lit("1996-12-31").cast("date"))
-    days = expand_days(t.orders.where("o_orderstatus = 'O'").select("o_orderdate"), first, last, "day")
+    days = expand_days(t.orders.select("o_orderdate"), start, F.date_add(start, 3), "day")
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("open_orders"))
 
 
@@ -425,8 +423,8 @@ def j10(t: Trade) -> DataFrame:
 
 @query("j11_scalar_subquery", "SELECT o_orderkey, o_orderdate FROM orders WHERE date_trunc('month', o_orderdate) = (SELECT max(date_trunc('month', o_orderdate)) FROM orders)")
 def j11(t: Trade) -> DataFrame:
-    latest = t.orders.agg(F.max("o_orderdate")).first()[0].replace(day=1)
-    return t.orders.where(F.col("o_orderdate") >= F.lit(latest.strftime("%Y-%m-%d")).cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
+    month = F.date_trunc("month", "o_orderdate")
+    return t.orders.where(month == t.orders.agg(F.max(month)).scalar()).select("o_orderkey", "o_orderdate")
 
 
 @query(

@@ -69,13 +69,13 @@ def money_text(value: Column | str) -> Column:
 
 
 def say(template: str, **parts: Column | str) -> Column:
-    """Fill ``{name}`` slots of a sentence with columns; NULL in any part gives NULL."""
+    """Fill ``{name}`` slots of a sentence with columns; a NULL part reads ``N/A``, so no sentence is lost."""
     pieces: list[Column] = []
     for literal, slot, _, _ in string.Formatter().parse(template):
         if literal:
             pieces.append(F.lit(literal))
         if slot:
-            pieces.append(as_col(parts.get(slot, slot)).cast("string"))
+            pieces.append(F.coalesce(as_col(parts.get(slot, slot)).cast("string"), F.lit("N/A")))
     return F.concat(*pieces) if len(pieces) > 1 else pieces[0]
 
 

@@ -12,13 +12,12 @@ from tallyhouse.operators.identity import surrogate_id
 
 # Replacement texts (fixed values).
 FULL_REDACTION = "[REDACTED_FINANCIAL_DETAIL]"
-LEGAL_REDACTION = "[RESTRICTED_LEGAL_NARRATIVE]"
 
 # Sensitive patterns looked for in free text (fixed values).
 PATTERNS = {
     "national_id": r"\b[12]\d{9}\b",
     "iban": r"(?i)\bSA\d{22}\b",
-    "email": r"\b[A-Za-z0-9._%+-]+@(?!example\.com|synthetic\.local)[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@(?!(?:example\.com|synthetic\.local)(?![A-Za-z0-9-]|\.[A-Za-z0-9]))[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
 }
 
 # Entities blanked inside narratives (fixed values).
@@ -32,13 +31,11 @@ MIN_GROUP = 5
 
 
 def mask_part(value: Column | str, visible: int = 4, pad: str = "*", keep: str = "left") -> Column:
-    """Keep some characters at one end and pad over the rest."""
+    """Keep some characters at one end and pad over the rest; a value no longer than the visible part is hidden whole."""
     text = as_col(value).cast("string")
-    hidden = F.greatest(F.length(text) - visible, F.lit(0))
-    stars = F.repeat(F.lit(pad), hidden)
-    if keep == "left":
-        return F.concat(F.left(text, F.lit(visible)), stars)
-    return F.concat(stars, F.right(text, F.lit(visible)))
+    stars = F.repeat(F.lit(pad), F.length(text) - visible)
+    shown = F.concat(F.left(text, F.lit(visible)), stars) if keep == "left" else F.concat(stars, F.right(text, F.lit(visible)))
+    return F.when(F.length(text) > visible, shown).otherwise(F.repeat(F.lit(pad), F.length(text)))
 
 
 def pseudonym(name: Column | str, identity: Column | str) -> Column:

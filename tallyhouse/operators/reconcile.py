@@ -50,8 +50,8 @@ def all_checks(*frames: DataFrame) -> DataFrame:
 
 
 def require(results: DataFrame) -> None:
-    """Fail the build if any check failed; only failed checks reach the driver."""
-    failed = results.where(~F.col("passed")).limit(100).collect()
+    """Fail the build if any check failed, naming every failed one (a row for each check, not for each record)."""
+    failed = results.where(~F.coalesce("passed", F.lit(False))).collect()
     if failed:
         lines = "; ".join(f"{r.check_name}: expected {r.expected}, got {r.actual}" for r in failed)
-        raise ReconciliationError(lines)
+        raise ReconciliationError(f"{len(failed)} checks failed: {lines}")

@@ -77,9 +77,16 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
 
     The frames are stacked with NULL in foreign columns and folded by ``max``:
     no nested-loop join, and an empty frame gives NULL instead of losing the row.
+    Frames may not share a column name, and none may have more than one row.
     """
+    names = [c for f in frames for c in f.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns occur in several frames: {sorted({c for c in names if names.count(c) > 1})}")
+    frames = [f.withColumn(f"_rows{i}", F.lit(1)) for i, f in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    single = F.greatest(*[F.coalesce(F.sum(f"_rows{i}"), F.lit(0)) for i in range(len(frames))], F.lit(0)) <= 1
+    folded = [F.when(single, F.max(c)).otherwise(F.raise_error(F.lit("a frame has more than one row"))).alias(c) for c in names]
+    return stacked.agg(*folded)
 
 
 def stacked_counts(df: DataFrame, dimensions: dict[str, Column], measure: Column, name: str) -> DataFrame:

@@ -81,10 +81,15 @@ def aging_band(days: Column) -> Column:
     return chain.otherwise("30_plus_days")
 
 
-def entity_months(df: DataFrame, key: str, start: Column, end: Column, first: date, last: date) -> DataFrame:
-    """One row per entity and month in which it is alive, bounded by a report window."""
-    from_month = F.greatest(F.trunc(start, "month"), F.trunc(F.lit(first), "month"))
-    to_month = F.least(F.trunc(F.coalesce(end, F.lit(last)), "month"), F.trunc(F.lit(last), "month"))
+def entity_months(df: DataFrame, key: str, start: Column, end: Column, first: date | None = None, last: date | None = None) -> DataFrame:
+    """One row per entity and month in which it is alive; a caller may bound it by a report window.
+
+    Without ``last`` an entity that has no end counts up to the current month.
+    """
+    until = F.lit(last) if last else F.current_date()
+    from_month, to_month = F.trunc(start, "month"), F.trunc(F.coalesce(end, until), "month")
+    from_month = F.greatest(from_month, F.trunc(F.lit(first), "month")) if first else from_month
+    to_month = F.least(to_month, F.trunc(F.lit(last), "month")) if last else to_month
     return df.where(from_month <= to_month).withColumn(
         "month_start", F.explode(F.sequence(from_month, to_month, F.expr("interval 1 month")))
     )

@@ -248,7 +248,8 @@ def attendance_kpis(wh: Warehouse) -> DataFrame:
 def attendance_trend(wh: Warehouse) -> DataFrame:
     """KPIs of the last months that have clock records, each against its own calendar."""
     month = wh.attendance_month
-    first = month.back(wh.rules.trend_months - 1).start
+    earlier = wh.months_before("attendance", "attendance_date", month)
+    first = (earlier[0] if earlier else month).start
     present = (
         wh.table("attendance")
         .where(F.col("attendance_date").between(F.lit(first), F.lit(month.end)))

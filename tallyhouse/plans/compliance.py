@@ -194,9 +194,9 @@ def compliance_kpis(wh: Warehouse) -> DataFrame:
 def saudization_summary(wh: Warehouse) -> DataFrame:
     """Quota of the last periods: as-of populations for earlier month ends, the active workforce now."""
     month = wh.compliance_month
-    ends = [month.back(n).end for n in range(wh.rules.trend_months - 1, 0, -1)]
+    ends = [m.end for m in wh.months_before("compliance", "period", month)]
     alive = F.filter(
-        F.array(*[F.lit(d) for d in ends]),
+        F.array(*[F.lit(d) for d in ends]).cast("array<date>"),
         lambda d: (F.col("joining_date") <= d) & (F.col("termination_date").isNull() | (F.col("termination_date") > d)),
     )
     past = wh.view("base_employees_deduplicated").select("nationality", "is_saudi", F.explode(alive).alias("d"))

@@ -54,7 +54,7 @@ class Rules:
     quality_checks: int = 8
     variance_amount: float = 2000.0
     variance_share: float = 0.10
-    trend_months: int = 3
+    trend_months: int | None = None  # all months the source has, unless a caller asks for the last few
     default_month: str = "2026-06"
     report_month: str | None = None
     talent_month: str | None = None

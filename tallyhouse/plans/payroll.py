@@ -67,16 +67,20 @@ def payroll_previous(wh: Warehouse) -> DataFrame:
     return _period(wh, wh.payroll_month.back(1))
 
 
-def _previous_by_employee(wh: Warehouse) -> DataFrame:
-    """Last month's pay with one row per employee.
+def _pay_by_employee(wh: Warehouse) -> DataFrame:
+    """Total pay of the month and of the month before, one row per employee paid in the month.
 
-    Collapsing repeated lines before the join keeps the comparison linear: a
-    repeated line on both sides would otherwise be paired with every other.
+    Both months are collapsed before they are compared, so several lines of one
+    employee are neither paired with each other nor held against a total.
     """
-    month = wh.payroll_month.back(1)
-    return wh.table("payroll").where(F.col("payroll_period") == month.label).groupBy("employee_id").agg(
-        F.round(F.sum("gross_pay"), 2).alias("prev_gross"), F.round(F.sum("basic_salary"), 2).alias("prev_basic")
-    )
+    def totals(rows: DataFrame, prefix: str, *more) -> DataFrame:
+        return rows.groupBy("employee_id").agg(
+            F.round(F.sum("gross_pay"), 2).alias(f"{prefix}_gross"), F.round(F.sum("basic_salary"), 2).alias(f"{prefix}_basic"), *more
+        )
+
+    earlier = wh.table("payroll").where(F.col("payroll_period") == wh.payroll_month.back(1).label)
+    now = totals(wh.view("base_payroll_current"), "curr", F.max("employee_name").alias("employee_name"))
+    return now.join(totals(earlier, "prev"), "employee_id", "left")
 
 
 @view("mart_payroll_exceptions")
@@ -94,9 +98,9 @@ def payroll_exceptions(wh: Warehouse) -> DataFrame:
         .groupBy("employee_id")
         .agg(F.sum("overtime_hours").alias("ot_hours"))
     )
-    rows = current.join(hours, "employee_id", "left").join(_previous_by_employee(wh), "employee_id", "left")
-    gross_change = F.col("gross_pay") - F.col("prev_gross")
-    basic_share = F.abs(F.col("basic_salary") - F.col("prev_basic")) / F.nullif(F.col("prev_basic"), F.lit(0.0))
+    rows = current.join(hours, "employee_id", "left")
+    gross_change = F.col("curr_gross") - F.col("prev_gross")
+    basic_share = F.abs(F.col("curr_basic") - F.col("prev_basic")) / F.nullif(F.col("prev_basic"), F.lit(0.0))
     large = (F.abs(gross_change) > wh.rules.variance_amount) | (
         (F.col("prev_basic") > 0) & (basic_share > wh.rules.variance_share)
     )
@@ -124,7 +128,6 @@ def payroll_exceptions(wh: Warehouse) -> DataFrame:
                     (F.col("overtime_amount") > 0) & (F.coalesce("ot_hours", F.lit(0.0)) == 0),
                     overtime=money_text("overtime_amount"),
                 ),
-                rule("Large Payroll Variance", large, change=money_text(gross_change), basic_pct=money_text(basic_share * 100)),
                 rule(
                     "Payroll Component Mismatch",
                     F.abs(F.col("gross_pay") - _components()) > 0.01,
@@ -141,6 +144,12 @@ def payroll_exceptions(wh: Warehouse) -> DataFrame:
             "employee_id",
             "employee_name",
         ),
+        flag_rows(
+            _pay_by_employee(wh),
+            [rule("Large Payroll Variance", large, change=money_text(gross_change), basic_pct=money_text(basic_share * 100))],
+            "employee_id",
+            "employee_name",
+        ),
         flag_rows(unpaid, [rule("Active Employee Missing Payroll", F.lit(True))], "employee_id", "employee_name"),
         flag_rows(
             repeated,
@@ -253,12 +262,13 @@ def payroll_variance_components(wh: Warehouse) -> DataFrame:
 
 @view("mart_payroll_variance_employees")
 def payroll_variance_employees(wh: Warehouse) -> DataFrame:
-    amount, share = change(F.col("gross_pay"), F.col("prev_gross"))
-    return wh.view("base_payroll_current").join(_previous_by_employee(wh), "employee_id", "left").select(
+    """One row per paid employee: the month's total against the total of the month before."""
+    amount, share = change(F.col("curr_gross"), F.col("prev_gross"))
+    return _pay_by_employee(wh).select(
         "employee_id",
         "employee_name",
         F.coalesce("prev_gross", F.lit(0.0)).alias("prev_amount"),
-        F.col("gross_pay").alias("curr_amount"),
+        F.col("curr_gross").alias("curr_amount"),
         F.round(amount, 2).alias("change_amount"),
         F.round(share, 6).alias("change_pct"),
     )

@@ -66,11 +66,6 @@ class Warehouse:
             self._views[name] = VIEWS[name](self)
         return self._views[name]
 
-    def keep(self, name: str) -> DataFrame:
-        """Cache a view that a refresh reads many times."""
-        self._views[name] = self.view(name).persist()
-        return self._views[name]
-
     def settle(self, name: str) -> DataFrame:
         """Store a view once; every later plan of this warehouse reads the stored rows.
 
@@ -97,6 +92,16 @@ class Warehouse:
         value = self.table(table).agg(F.max(column).cast("string").alias("m")).first()["m"]
         return value[:7] if value else None
 
+    def months_before(self, table: str, column: str, month: Month) -> list[Month]:
+        """The months of a source before a report month: one value a month reaches the driver."""
+        label = F.substring(F.col(column).cast("string"), 1, 7).alias("m")
+        found = self.table(table).select(label).where(F.col("m") < month.label).distinct().collect()
+        months = sorted(r["m"] for r in found)
+        if self.rules.trend_months is not None:
+            first = month.back(self.rules.trend_months - 1).label
+            months = [m for m in months if m >= first]
+        return [Month(m) for m in months]
+
     def _month(self, table: str, column: str) -> Month:
         return Month(self.rules.report_month or self._latest(table, column) or self.rules.default_month)
 

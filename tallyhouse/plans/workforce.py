@@ -42,7 +42,7 @@ def employees_deduplicated(wh: Warehouse) -> DataFrame:
 def _headcount_by_month(wh: Warehouse) -> DataFrame:
     """Active headcount of the report month and as-of headcounts of the months before it."""
     month = wh.payroll_month
-    earlier = [month.back(n).end for n in range(wh.rules.trend_months - 1, 0, -1)]
+    earlier = [m.end for m in wh.months_before("payroll", "payroll_period", month)]
     past = as_of_count(wh.table("employees"), "employee_id", "joining_date", "termination_date", earlier, "active_headcount")
     past = past.select(F.date_format("as_of_date", "yyyy-MM").alias("month"), "active_headcount")
     now = wh.view("base_active_workforce").agg(F.count("employee_id").alias("active_headcount"))

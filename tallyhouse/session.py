@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the shared folder of the cluster.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a private folder
-    is made only where the setting is absent, which is the case in tests.
+    The cluster names that folder in ``spark.checkpoint.dir``. A session on one
+    machine may do without it and gets a private folder; on a cluster each
+    executor would write to its own disk, so a missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-tallyhouse-")
     return f"{root}/{purpose}-{uuid.uuid4().hex}"
 

@@ -137,7 +137,8 @@ SELECT 'E' || c.c_custkey AS employee_id, p.period AS period,
   CASE WHEN c.c_nationkey = 22 THEN NULL ELSE {_back('90 - (c.c_custkey * 43) % 400')} END AS iqama_expiry,
   CASE c.c_custkey % 7 WHEN 0 THEN 'Lapsed' WHEN 1 THEN NULL ELSE 'Active' END AS insurance_status
 FROM {{customer}} c JOIN (
-  SELECT n_nationkey, '2023-12' AS period FROM {{nation}}
+  SELECT n_nationkey, '2023-12' AS period FROM {{nation}} UNION ALL SELECT n_nationkey, '2023-11' FROM {{nation}} UNION ALL SELECT n_nationkey, '2023-10' FROM {{nation}}
+  UNION ALL SELECT n_nationkey, '2023-09' FROM {{nation}} UNION ALL SELECT n_nationkey, '2023-08' FROM {{nation}}
   UNION ALL SELECT n_nationkey, '2024-01' FROM {{nation}} WHERE n_nationkey <> 5
 ) p ON c.c_nationkey = p.n_nationkey
 """

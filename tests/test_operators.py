@@ -16,6 +16,8 @@ from tallyhouse.operators import privacy, quality
 from tallyhouse.operators import relational as rel
 from tallyhouse.operators import temporal as tm
 from tallyhouse.operators.identity import surrogate_id
+from tallyhouse.operators.reconcile import ReconciliationError, require
+from tallyhouse.session import scratch_dir
 from tallyhouse.operators.rules import Rule, conform, flag_rows, normal_severity, stack, summarise
 from tallyhouse.operators.tables import insert_missing, update_by_key
 
@@ -45,9 +47,9 @@ def test_minute_boundaries(spark):
     assert values(df.select(floor_zero(minute_boundaries("b", "a")).alias("v"))) == [0]
 
 
-def test_say_is_null_when_a_part_is(spark):
+def test_say_fills_missing_parts(spark):
     df = spark.createDataFrame([("x", 12345678.0), (None, 1.0)], "a string, b double")
-    assert values(df.select(say("{a} has {b}", b=money_text("b")).alias("v"))) == ["x has 12345678.00", None]
+    assert values(df.select(say("{a} has {b}", b=money_text("b")).alias("v"))) == ["x has 12345678.00", "N/A has 1.00"]
 
 
 def test_expiry_bucket_edges(spark):
@@ -300,3 +302,55 @@ def test_file_gate(spark):
 def test_unknown_rule_kind(spark):
     with pytest.raises(ValueError):
         quality.mark_violations(spark.range(1), [quality.Check("x", ("id",), "MAGIC")])
+
+
+# ------------------------------------------------------------ stores, assertions, masks
+class _Cluster:
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.conf = self, self
+        self.master, self.folder = master, folder
+
+    def get(self, key, default=None):
+        return self.folder or default
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(_Cluster(master), "t")
+    assert scratch_dir(_Cluster(master, "s3a://bucket/x/"), "t").startswith("s3a://bucket/x/t-")
+    assert scratch_dir(_Cluster("local[4]"), "t")
+
+
+def test_require_names_every_failed_check(spark):
+    rows = [(f"c{i}", 1.0, 2.0, False if i % 2 else None) for i in range(150)] + [("good", 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "check_name string, expected double, actual double, passed boolean")
+    with pytest.raises(ReconciliationError) as error:
+        require(df)
+    assert str(error.value).startswith("150 checks failed") and "c149" in str(error.value) and "good" not in str(error.value)
+
+
+def test_short_values_are_hidden_whole(spark):
+    df = spark.createDataFrame([("Ali",), ("Omar",), ("Omars",), ("",), (None,)], "n string")
+    assert values(df.select(privacy.mask_part("n").alias("v"))) == ["***", "****", "Omar*", "", None]
+    assert values(df.select(privacy.mask_part("n", keep="right").alias("v"))) == ["***", "****", "*mars", "", None]
+
+
+def test_look_alike_domains_are_reported(spark):
+    texts = ["a@example.com", "a@example.com.", "a@example.com.evil.org", "a@example.community.org", "b@synthetic.local, c@x.net", "a@sub.example.com"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert sorted((r.k, r.hits) for r in privacy.scan_text(df, "k", "t").collect()) == [(2, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_side_by_side_refuses_what_it_would_merge(spark):
+    one = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(ValueError, match="several frames"):
+        rel.side_by_side(one, one)
+    with pytest.raises(Exception, match="more than one row"):
+        rel.side_by_side(spark.createDataFrame([(1,), (7,)], "a int"), spark.createDataFrame([(2,)], "b int")).collect()
+
+
+def test_numbers_do_not_depend_on_the_partitioning(spark):
+    rows = spark.range(400).selectExpr("id % 5 AS k", "id AS payload")
+    first, second = ({r.payload: r.n for r in surrogate_id(rows.repartition(p), ["k"], "n").collect()} for p in (2, 7))
+    assert first == second

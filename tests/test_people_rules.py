@@ -53,7 +53,8 @@ def test_workforce_rules_hit_the_right_people(people):
 
 def test_payroll_rules_hit_the_right_people(people):
     assert issues(people, "mart_payroll_exceptions", "Duplicate Payroll Record") == ["E1"]
-    assert issues(people, "mart_payroll_exceptions", "Large Payroll Variance") == ["E8"]
+    # E1 has a repeated line this month, so its total has doubled.
+    assert issues(people, "mart_payroll_exceptions", "Large Payroll Variance") == ["E1", "E8"]
     assert issues(people, "mart_payroll_exceptions", "Overtime Cost Without Hours") == ["E2"]
     assert issues(people, "mart_payroll_exceptions", "Inactive Employee Payroll") == ["E10", "E9", "E99"]
 
@@ -146,3 +147,22 @@ def test_command_center(people):
     assert alerts == sorted(alerts, key=lambda s: s != "Critical")
     fresh = {r.module_key: r.stale_flag for r in people.view("mart_command_center_data_freshness").collect()}
     assert fresh["attendance"] is False and fresh["er"] is False and len(fresh) == 9
+
+
+def test_equal_lines_in_both_months_are_no_change(spark):
+    from tallyhouse.plans.all import Warehouse
+    from tests.people_fixture import tables
+
+    found = tables(spark)
+    line = found["payroll"].limit(1).drop("payroll_period", "employee_id", "gross_pay", "basic_salary")
+    months = spark.createDataFrame([(m, "E1") for m in ("2024-01", "2024-01", "2023-12", "2023-12")], "payroll_period string, employee_id string")
+    lines = months.join(line.selectExpr("*", "5000D AS gross_pay", "3000D AS basic_salary")).select(found["payroll"].columns)
+    people = Warehouse(spark, {**found, "payroll": lines})
+    assert issues(people, "mart_payroll_exceptions", "Large Payroll Variance") == []
+    (row,) = people.view("mart_payroll_variance_employees").collect()
+    assert (row.prev_amount, row.curr_amount, row.change_amount) == (10000.0, 10000.0, 0.0)
+
+
+def test_trends_cover_all_months_of_the_source(people):
+    paid = {r[0] for r in people.table("payroll").select("payroll_period").distinct().collect()}
+    assert {r.month for r in people.view("mart_exec_trends").collect()} == {m for m in paid if m <= people.payroll_month.label}
