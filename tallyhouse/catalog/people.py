@@ -11,6 +11,7 @@ from tallyhouse.plans.all import VIEWS, Warehouse
 from tallyhouse.plans.checks import CHECKS
 from tallyhouse.plans.reads import SUMMARIES, read
 from tallyhouse.session import tune
+from tallyhouse.sources.intake import stamp
 
 # Views over literals only; they have no data to run on and are covered by tests.
 LITERAL = {"base_command_center_module_registry", "command_center_module_checks"}
@@ -18,13 +19,15 @@ LITERAL = {"base_command_center_module_registry", "command_center_module_checks"
 # Columns holding the time of the run.
 VOLATILE = ("last_refresh_timestamp", "last_data_refresh")
 
-_warehouses: dict[tuple[str, str], Warehouse] = {}
+_warehouses: dict[tuple[str, str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """One warehouse per application and data folder, so queries share its lazy views."""
-    key = (spark.sparkContext.applicationId, folder)
+    """One warehouse per application and state of a data folder, so queries share its views until the data change."""
+    key = (spark.sparkContext.applicationId, folder, stamp(spark, folder))
     if key not in _warehouses:
+        for old in [k for k in _warehouses if k[:2] == key[:2]]:
+            del _warehouses[old]
         _warehouses[key] = Warehouse.over_trade_data(tune(spark), folder)
     return _warehouses[key]
 

@@ -9,10 +9,11 @@ from tallyhouse.catalog.registry import Catalog, Trade
 from tallyhouse.functions import is_blank, minute_boundaries, money_text, percent, ratio, say, tally, total
 from tallyhouse.operators import relational as rel
 from tallyhouse.operators.identity import surrogate_id
-from tallyhouse.operators.rules import Rule, flag_rows
+from tallyhouse.operators.rules import Rule, flag_rows, stack
 from tallyhouse.operators.tables import insert_missing, update_by_key, write_snapshot
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import intake
+from tallyhouse.sources.derived_hr import derive
 
 catalog = Catalog()
 query = catalog.query
@@ -23,11 +24,31 @@ CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
 # ------------------------------------------------------------ sources, sinks, tables
 @query("s1_csv_source", "SELECT * FROM customer")
 def csv_source(t: Trade) -> DataFrame:
+    """The file has its columns in another order than the schema declares."""
     path = scratch_dir(t.spark, "csv")
-    t.customer.write.mode("overwrite").option("header", True).csv(path)
+    t.customer.select("c_mktsegment", "c_acctbal", "c_custkey", "c_name", "c_nationkey").write.option("header", True).csv(path)
     return intake.read_csv(t.spark, path, CUSTOMER)
 
 
+@query(
+    "s5_load_gate",
+    """SELECT 'career_paths' AS name, count(*) AS n FROM customer UNION ALL SELECT 'training_catalog', count(*) FROM supplier
+UNION ALL SELECT 'production needs employees', 1""",
+)
+def load_gate(t: Trade) -> DataFrame:
+    """Two tables were delivered: both load, the others are skipped, and a production load is refused."""
+    path = scratch_dir(t.spark, "silver")
+    for name in ("career_paths", "training_catalog"):
+        derive(t.spark, t.folder, name).write.parquet(f"{path}/{name}.parquet")
+    found = intake.load_tables(t.spark, path)
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in found.items()]
+    try:
+        intake.load_tables(t.spark, path, production=True)
+    except intake.IntakeError as refused:
+        counts.append(t.spark.range(1).select(F.lit(f"production needs {str(refused).split(chr(39))[1]}").alias("name"), F.lit(1).cast("bigint").alias("n")))
+    return stack(*counts)
+
+
 @query(
     "s2_text_layer",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
@@ -81,8 +102,9 @@ def empty_result(t: Trade) -> DataFrame:
 @query("s7_issue_sink", _NEGATIVE.format(limit=0))
 def issue_sink(t: Trade) -> DataFrame:
     path = scratch_dir(t.spark, "gold")
-    _negative_balance(t).write.mode("overwrite").parquet(path)
-    return t.spark.read.parquet(path)
+    issues = _negative_balance(t)
+    intake.write_issues(issues, path)
+    return t.spark.read.parquet(path).toDF(*issues.columns)
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +13,20 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import as_col
 
+# Set while issues are only counted: rows then carry no sentence, name or key.
+_COUNTING: ContextVar[bool] = ContextVar("counting", default=False)
+
+
+@contextmanager
+def counting(on: bool = True) -> Iterator[None]:
+    """Whether frames built inside are only counted."""
+    token = _COUNTING.set(on)
+    try:
+        yield
+    finally:
+        _COUNTING.reset(token)
+
+
 ISSUE_COLUMNS = ("entity_id", "entity_name", "issue_type", "description", "severity", "recommended_action")
 
 
@@ -34,7 +50,12 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule], entity_id: Column | str, ent
     exploded, so N rules cost one read instead of N unioned branches.
     """
     entries = []
+    none = F.lit(None).cast("string")
     for rule in rules:
+        if _COUNTING.get():
+            texts = dict(zip(ISSUE_COLUMNS, (none, none, F.lit(rule.issue_type), none, F.lit(rule.severity), F.lit(rule.action))))
+            entries.append(F.when(rule.when, F.struct(*[text.alias(name) for name, text in texts.items()])))
+            continue
         name = rule.entity_name if rule.entity_name is not None else entity_name
         entry = F.struct(
             as_col(rule.entity_id if rule.entity_id is not None else entity_id).cast("string").alias("entity_id"),
@@ -82,10 +103,16 @@ def normal_severity(severity: Column | str) -> Column:
     return chain.otherwise("Unknown")
 
 
-def summarise(issues: DataFrame) -> DataFrame:
-    """Issue counts per module, severity and type."""
+def count_issues(issues: DataFrame) -> DataFrame:
+    """One row for each rule that fired, with the number n of its issues."""
+    return issues.groupBy("issue_type", "severity", "recommended_action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summarise(issues: DataFrame, number: Column | None = None) -> DataFrame:
+    """Issue counts per module, severity and type; ``number`` is the count a row stands for (one if not given)."""
+    counted = F.count(F.lit(1)) if number is None else F.sum(number)
     return issues.groupBy("module_key", "module_label", "severity", "issue_type").agg(
-        F.count(F.lit(1)).alias("exception_count"),
+        counted.alias("exception_count"),
         F.max("recommended_action").alias("recommended_action"),
         F.max("source_mart").alias("source_mart"),
         F.max("route_path").alias("route_path"),

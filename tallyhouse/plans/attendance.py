@@ -228,7 +228,7 @@ def attendance_kpis(wh: Warehouse) -> DataFrame:
     row = side_by_side(
         wh.view("base_expected_attendance").agg(*[c.alias(n) for n, c in measures.items()]),
         wh.view("base_attendance_payroll_overtime").agg(total("payroll_ot_cost").alias("overtime_cost")),
-        wh.view("mart_attendance_exceptions").agg(F.count(F.lit(1)).alias("attendance_exception_count")),
+        wh.number_of_issues("mart_attendance_exceptions", "attendance_exception_count"),
     )
     return row.select(
         "attendance_compliance_pct",

@@ -199,7 +199,7 @@ def er_kpis(wh: Warehouse) -> DataFrame:
         tally(kind == "Labor Case").alias("labor_cases"),
         tally(F.col("escalated")).alias("escalated_cases"),
     )
-    return side_by_side(cases, wh.view("mart_er_exceptions").agg(F.count(F.lit(1)).alias("er_exception_count")))
+    return side_by_side(cases, wh.number_of_issues("mart_er_exceptions", "er_exception_count"))
 
 
 @view("mart_er_case_trend")

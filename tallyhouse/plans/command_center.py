@@ -71,6 +71,22 @@ def exception_sources(wh: Warehouse) -> DataFrame:
     return stack(*[wh.view(name) for name in FEEDS]).withColumn("severity", normal_severity("severity"))
 
 
+def _counted(wh: Warehouse) -> DataFrame:
+    """All modules' rules with the number n of their issues, in the columns of the feeds."""
+    wh.settle_all(["base_active_workforce", "base_employees_deduplicated"])
+    modules = [(key, label, route, source) for key, label, route, _, _, source in MODULES if source]
+    named = {source: "data_quality" if key == "data-quality" else source for key, _, _, source in modules}
+    counts = wh.issue_counts(list(named.values()))
+    feeds = [
+        counts[named[source]].select(
+            F.lit(key).alias("module_key"), F.lit(label).alias("module_label"), F.lit(source).alias("source_mart"), F.lit(route).alias("route_path"),
+            "issue_type", "recommended_action", normal_severity("severity").alias("severity"), "n",
+        )
+        for key, label, route, source in modules
+    ]
+    return stack(*feeds)
+
+
 @view("base_command_center_data_freshness")
 def data_freshness(wh: Warehouse) -> DataFrame:
     """Latest business date per source; one ``max`` per table."""
@@ -132,8 +148,7 @@ def freshness(wh: Warehouse) -> DataFrame:
 @view("command_center_module_checks")
 def module_checks(wh: Warehouse) -> DataFrame:
     """Check results per module; modules without a result are added as unknown."""
-    known = getattr(wh, "module_checks", None)
-    existing = known if known is not None else empty(wh.spark, MODULE_CHECK_SCHEMA)
+    existing = wh.module_checks if wh.module_checks is not None else empty(wh.spark, MODULE_CHECK_SCHEMA)
     unknown = wh.view("base_command_center_module_registry").select(
         "module_key",
         F.lit("Unknown").alias("api_health_status"),
@@ -148,8 +163,8 @@ def module_checks(wh: Warehouse) -> DataFrame:
 @view("base_command_center_module_status")
 def module_status(wh: Warehouse) -> DataFrame:
     severity = F.col("severity")
-    issues = wh.view("base_command_center_exception_sources").groupBy("module_key").agg(
-        tally(severity == "Critical").alias("critical"), tally(severity == "Warning").alias("warning")
+    issues = _counted(wh).groupBy("module_key").agg(
+        *[F.coalesce(F.sum(F.when(severity == s, F.col("n"))), F.lit(0)).alias(s.lower()) for s in ("Critical", "Warning")]
     )
     stale = wh.view("mart_command_center_data_freshness").select("module_key", F.col("stale_flag").alias("_stale"))
     checks = wh.view("command_center_module_checks")
@@ -207,7 +222,7 @@ def overview_data(wh: Warehouse) -> DataFrame:
     """Headline numbers of all modules in one row."""
     # Feeds and KPI rows are stored first: the row below then reads a handful of
     # small stored frames instead of re-planning every module.
-    issues = wh.view("base_command_center_exception_sources").agg(F.count(F.lit(1)).alias("total_active_exceptions"))
+    issues = _counted(wh).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_active_exceptions"))
     healthy = wh.view("mart_command_center_module_health").agg(tally(F.col("status") == "Healthy").alias("modules_healthy"))
     latest = wh.view("base_command_center_data_freshness").agg(F.max("max_source_date").alias("latest_source_business_date"))
 
@@ -241,14 +256,14 @@ def overview(wh: Warehouse) -> DataFrame:
 
 @view("mart_command_center_exception_summary")
 def exception_summary(wh: Warehouse) -> DataFrame:
-    return summarise(wh.view("base_command_center_exception_sources")).drop("source_mart")
+    return summarise(_counted(wh), F.col("n")).drop("source_mart")
 
 
 @view("mart_command_center_priority_alerts")
 def priority_alerts(wh: Warehouse) -> DataFrame:
     urgent_first = F.when(F.col("severity") == "Critical", 1).otherwise(2)
     return (
-        summarise(wh.view("base_command_center_exception_sources"))
+        summarise(_counted(wh), F.col("n"))
         .select(
             F.concat_ws("_", "module_key", "issue_type").alias("alert_id"),
             "module_key",

@@ -181,7 +181,7 @@ def compliance_kpis(wh: Warehouse) -> DataFrame:
             tally(F.col("gosi_status").isNull() | (F.col("gosi_status") != "Registered")).alias("gosi_missing_count"),
             tally(F.col("mudad_status").isNull() | (F.col("mudad_status") != "Compliant")).alias("wps_exception_count"),
         ),
-        wh.view("mart_compliance_exceptions").agg(F.count(F.lit(1)).alias("compliance_exception_count")),
+        wh.number_of_issues("mart_compliance_exceptions", "compliance_exception_count"),
     )
     return row.select(
         "saudi_headcount", "non_saudi_headcount", "employees_missing_nationality", _quota().alias("saudization_pct"),

@@ -181,7 +181,7 @@ def payroll_kpis(wh: Warehouse) -> DataFrame:
         .where(F.col("payroll_period") == wh.payroll_month.back(1).label)
         .agg(total("gross_pay").alias("previous_cost"))
     )
-    issues = wh.view("mart_payroll_exceptions").agg(F.count(F.lit(1)).alias("payroll_exception_count"))
+    issues = wh.number_of_issues("mart_payroll_exceptions", "payroll_exception_count")
     _, share = change(F.col("total_payroll_cost"), F.col("previous_cost"))
     return side_by_side(current, previous, issues).select(
         "total_payroll_cost",
@@ -290,7 +290,7 @@ def payroll_reconciliation(wh: Warehouse) -> DataFrame:
     )
     projects = wh.view("mart_payroll_by_project").agg(total("total_payroll_cost").alias("project_payroll_total"))
     departments = wh.view("mart_payroll_by_department").agg(total("total_payroll_cost").alias("department_payroll_total"))
-    issues = wh.view("mart_payroll_exceptions").agg(F.count(F.lit(1)).alias("payroll_exception_count"))
+    issues = wh.number_of_issues("mart_payroll_exceptions", "payroll_exception_count")
     shown = F.round(
         F.col("basic_salary_sum") + F.col("housing_allowance_sum") + F.col("transport_allowance_sum")
         + F.col("other_allowances_sum") + F.col("overtime_sum"),

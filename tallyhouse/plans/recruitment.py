@@ -289,7 +289,7 @@ def recruitment_kpis(wh: Warehouse) -> DataFrame:
         wh.view("base_onboarding_current").agg(F.count(F.lit(1)).alias("hires_this_month")),
         _hires(wh).agg(F.coalesce(F.round(F.avg("days_to_fill"), 1), F.lit(0.0)).alias("average_time_to_fill")),
         fulfilled,
-        wh.view("mart_recruitment_exceptions").agg(F.count(F.lit(1)).alias("recruitment_exception_count")),
+        wh.number_of_issues("mart_recruitment_exceptions", "recruitment_exception_count"),
     )
     no_plan = F.when(F.col("actual") == 0, 100.0).otherwise(0.0)
     return row.select(

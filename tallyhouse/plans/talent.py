@@ -294,7 +294,7 @@ def talent_kpis(wh: Warehouse) -> DataFrame:
             F.count(F.lit(1)).alias("roles"), tally(F.col("covered")).alias("covered")
         ),
         roles.where((F.col("readiness") == "Ready Now") & F.col("known")).agg(F.count_distinct("successor_employee_id").alias("ready")),
-        wh.view("mart_talent_exceptions").agg(F.count(F.lit(1)).alias("issues")),
+        wh.number_of_issues("mart_talent_exceptions", "issues"),
     )
     hours = F.when(F.col("trainees") == 0, 0.0).otherwise(F.round(F.col("hours") / F.nullif(F.col("trainees"), F.lit(0)), 2))
     return row.select(

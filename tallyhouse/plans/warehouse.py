@@ -10,6 +10,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.rules import count_issues, counting
 from tallyhouse.plans.params import Month, Rules
 from tallyhouse.session import pin
 from tallyhouse.sources.derived_hr import derive
@@ -42,7 +43,10 @@ class Warehouse:
         self._tables = tables
         self._views: dict[str, DataFrame] = {}
         self._settled: set[str] = set()
+        self._counts: dict[str, DataFrame] = {}
         self._locks: dict[str, Lock] = {}
+        #: Rows of command_center_module_checks; a refresh fills them from its results.
+        self.module_checks: DataFrame | None = None
 
     @classmethod
     def over_trade_data(cls, spark: SparkSession, folder: str, rules: Rules | None = None) -> "Warehouse":
@@ -63,9 +67,29 @@ class Warehouse:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
-            self._views[name] = VIEWS[name](self)
+            with counting(False):
+                self._views[name] = VIEWS[name](self)
         return self._views[name]
 
+    def counted(self, name: str) -> DataFrame:
+        """The rules of an exception view with the number n of their issues; no sentence is built to be counted."""
+        with counting():
+            return count_issues(VIEWS[name](self))
+
+    def number_of_issues(self, name: str, alias: str) -> DataFrame:
+        return self.counted(name).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(alias))
+
+    def issue_counts(self, names: Sequence[str], at_once: int = 4) -> dict[str, DataFrame]:
+        """Counts of several exception views, stored once: a row for each rule."""
+        def store(name: str) -> DataFrame:
+            with self._locks.setdefault(f"counts of {name}", Lock()):
+                if name not in self._counts:
+                    self._counts[name] = pin(self.counted(name))
+            return self._counts[name]
+
+        with ThreadPoolExecutor(at_once) as pool:
+            return dict(zip(names, pool.map(store, names)))
+
     def settle(self, name: str) -> DataFrame:
         """Store a view once; every later plan of this warehouse reads the stored rows.
 
@@ -78,6 +102,13 @@ class Warehouse:
                 self._settled.add(name)
         return self._views[name]
 
+    def forget(self, *names: str) -> None:
+        """Build these views anew when they are read next (all views if none is named)."""
+        for name in names or list(self._views):
+            self._views.pop(name, None)
+            self._counts.pop(name, None)
+            self._settled.discard(name)
+
     def settle_all(self, names: Sequence[str], at_once: int = 4) -> None:
         """Store independent views side by side, so that short jobs share the executors."""
         with ThreadPoolExecutor(at_once) as pool:

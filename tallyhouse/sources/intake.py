@@ -6,8 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tallyhouse.sources.schemas import CORE_TABLES, SCHEMAS, columns
+from tallyhouse.sources.schemas import CORE_TABLES, ISSUE_SCHEMA, PARTITIONS, SCHEMAS, columns
 
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
@@ -17,9 +18,39 @@ class IntakeError(RuntimeError):
     """A source a production refresh needs is missing or empty."""
 
 
+BAD_LINE = "_bad_line"
+
+
+def _lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Declared columns bound by the names in the header, and the text of lines that do not fit it."""
+    declared = StructType.fromDDL(ddl)
+    reader = spark.read.option("header", True).option("nullValue", "")
+    found = reader.csv(path).columns  # reads the first line alone
+    missing, unknown = [c for c in declared.names if c not in found], [c for c in found if c not in declared.names]
+    if missing or unknown:
+        raise IntakeError(f"{path}: missing columns {missing}, unknown columns {unknown}")
+    in_file = StructType([declared[c] for c in found]).add(BAD_LINE, "string")
+    reader = reader.schema(in_file).option("enforceSchema", False).option("columnPruning", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    # A line is told bad by parsing its fields, so they have to be read; nothing of them is added.
+    fields = F.substring(F.concat_ws("", *[F.col(c).cast("string") for c in declared.names]), 1, 0)
+    return reader.csv(path).select(*declared.names, F.concat(BAD_LINE, fields).alias(BAD_LINE))
+
+
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """CSV with a header and a declared schema; an empty field is NULL."""
-    return spark.read.schema(ddl).option("header", True).option("nullValue", "").csv(path)
+    """CSV with a header and a declared schema; an empty field is NULL.
+
+    Columns are found by name, so their order in the file is free; a missing or
+    unknown one is an error, and so is a file of a folder whose header differs.
+    Lines with more or fewer fields than the header are left out here and
+    returned by :func:`bad_lines`.
+    """
+    return _lines(spark, path, ddl).where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+
+
+def bad_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The text of the lines :func:`read_csv` leaves out, to be kept for inspection."""
+    return _lines(spark, path, ddl).where(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("line"))
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -49,11 +80,26 @@ def typed_layer(text: DataFrame, fields: Iterable[tuple[str, str]]) -> DataFrame
 
 
 def refresh_table(spark: SparkSession, name: str, csv_path: str, bronze: str, silver: str) -> None:
-    """CSV file to the text layer and on to the typed layer of one people table."""
-    raw = read_csv(spark, csv_path, ", ".join(f"{c} string" for c, _ in columns(name)))
-    write_text_layer(raw, f"{bronze}/{name}.parquet")
+    """CSV file to the text layer and on to the typed layer of one people table.
+
+    Lines that do not fit the header go to ``{bronze}/{name}_bad_lines``. Tables
+    read by month are partitioned by it and sorted by employee inside.
+    """
+    ddl = ", ".join(f"{c} string" for c, _ in columns(name))
+    write_text_layer(read_csv(spark, csv_path, ddl), f"{bronze}/{name}.parquet")
+    bad_lines(spark, csv_path, ddl).write.mode("overwrite").text(f"{bronze}/{name}_bad_lines")
     text = spark.read.parquet(f"{bronze}/{name}.parquet")
-    typed_layer(text, columns(name)).write.mode("overwrite").parquet(f"{silver}/{name}.parquet")
+    write_typed(typed_layer(text, columns(name)), name, silver)
+
+
+def write_typed(df: DataFrame, name: str, silver: str) -> None:
+    period = PARTITIONS.get(name)
+    if period is None:
+        df.write.mode("overwrite").parquet(f"{silver}/{name}.parquet")
+    else:
+        # The file of a period is cut by employee, so a heavy period spreads over tasks.
+        ordered = df.repartitionByRange(period, "employee_id").sortWithinPartitions(period, "employee_id")
+        ordered.write.mode("overwrite").partitionBy(period).parquet(f"{silver}/{name}.parquet")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -61,9 +107,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def stamp(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what lies in a folder; another text means that its tables were written anew."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
+def read_typed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A typed table with its declared types; those of partition columns are not in the files."""
+    table = spark.read.schema(SCHEMAS[name]) if name in PARTITIONS else spark.read
+    found = table.parquet(f"{folder}/{name}.parquet")
+    known = [c for c, _ in columns(name) if c in found.columns]
+    return found.select(*known, *[c for c in found.columns if c not in known])
+
+
+def write_issues(issues: DataFrame, path: str) -> None:
+    """Replace the issue table: six text columns, also where nothing was found."""
+    names = StructType.fromDDL(ISSUE_SCHEMA).names
+    issues.toDF(*names).select(*[F.col(c).cast("string").alias(c) for c in names]).write.mode("overwrite").parquet(path)
+
+
 def load_tables(spark: SparkSession, folder: str, production: bool = False, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
     """Typed tables found in ``folder``; a missing one is skipped unless production needs it."""
-    found = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names if exists(spark, f"{folder}/{n}.parquet")}
+    found = {n: read_typed(spark, folder, n) for n in names if exists(spark, f"{folder}/{n}.parquet")}
     for name in CORE_TABLES if production else ():
         if name not in found or found[name].isEmpty():
             raise IntakeError(f"core source '{name}' is missing or empty in {folder}")

@@ -41,5 +41,8 @@ MODULE_CHECK_SCHEMA = (
     "module_key string, api_health_status string, reconciliation_status string, required_marts_present boolean, page_render_status string, last_checked_at timestamp"
 )
 
+# Tables whose views read one month or day at a time, and the column that names it.
+PARTITIONS = {"payroll": "payroll_period", "compliance": "period", "attendance": "attendance_date"}
+
 # Tables a production refresh cannot run without.
 CORE_TABLES = ("employees", "payroll", "attendance")

@@ -166,3 +166,11 @@ def test_equal_lines_in_both_months_are_no_change(spark):
 def test_trends_cover_all_months_of_the_source(people):
     paid = {r[0] for r in people.table("payroll").select("payroll_period").distinct().collect()}
     assert {r.month for r in people.view("mart_exec_trends").collect()} == {m for m in paid if m <= people.payroll_month.label}
+
+
+def test_counts_build_no_sentences(people):
+    plan = people.view("mart_command_center_priority_alerts")._jdf.queryExecution().optimizedPlan().toString()
+    counted = people.counted("mart_payroll_exceptions")._jdf.queryExecution().optimizedPlan().toString()
+    assert "negative gross pay" not in plan and "negative gross pay" not in counted
+    told = people.view("mart_payroll_exceptions").groupBy("issue_type").count().collect()
+    assert sorted((r.issue_type, r.n) for r in people.counted("mart_payroll_exceptions").collect()) == sorted((r[0], r[1]) for r in told)
