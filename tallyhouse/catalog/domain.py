@@ -660,14 +660,20 @@ def g6_groups(t: Trade) -> DataFrame:
 
 @query(
     "g7_role_view",
-    """SELECT 'recruitment_manager' AS role, c_custkey, substr(c_name, 1, 4) || repeat('*', length(c_name) - 4) AS employee_name, CAST(NULL AS DOUBLE) AS basic_salary FROM customer
-UNION ALL SELECT 'payroll_manager', c_custkey, substr(c_name, 1, 4) || repeat('*', length(c_name) - 4), c_acctbal FROM customer
-UNION ALL SELECT 'hr_executive', c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT 'project_manager', c_custkey, NULL, NULL FROM customer""",
+    """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Ali' WHEN c_custkey % 3 = 1 THEN 'sara  al-noor' ELSE c_name END AS n,
+  CASE WHEN c_custkey % 3 = 0 THEN 'A.' WHEN c_custkey % 3 = 1 THEN 'S.A.' ELSE 'C.' END || ' (' || c_custkey || ')' AS masked, c_acctbal AS s FROM customer)
+SELECT role, c_custkey, CASE named WHEN 'Full' THEN n WHEN 'Masked' THEN masked END AS employee_name, CASE WHEN paid THEN s END AS basic_salary FROM p, (VALUES
+  ('admin_system', 'Full', true), ('hr_executive', 'Full', true), ('hr_operations_manager', 'Full', false), ('payroll_manager', 'Masked', true),
+  ('employee_relations_manager', 'Full', false), ('recruitment_manager', 'Masked', false), ('talent_manager', 'Masked', false), ('compliance_manager', 'Masked', false),
+  ('project_manager', 'Hidden', false), ('viewer_executive_aggregate_only', 'Hidden', false), ('auditor_read_only', 'Masked', true)) r(role, named, paid)""",
 )
 def g7(t: Trade) -> DataFrame:
-    people = t.customer.select("c_custkey", F.col("c_name").alias("employee_name"), F.col("c_acctbal").alias("basic_salary"))
+    """Every role's view of short, two-part and ordinary names; an unlisted column is seen by nobody."""
+    kind = F.col("c_custkey") % 3
+    name = F.when(kind == 0, "Ali").when(kind == 1, "sara  al-noor").otherwise(F.col("c_name"))
+    people = t.customer.select("c_custkey", name.alias("employee_name"), F.col("c_acctbal").alias("basic_salary"), F.col("c_mktsegment").alias("home_address"))
     shown = None
-    for role in ("recruitment_manager", "payroll_manager", "hr_executive", "project_manager"):
+    for role in privacy.ROLE_FIELDS:
         part = privacy.role_view(people, privacy.ROLE_FIELDS[role], "c_custkey").withColumn("role", F.lit(role))
         shown = part if shown is None else shown.unionByName(part, allowMissingColumns=True)
     return shown.select("role", "c_custkey", "employee_name", "basic_salary")
@@ -682,6 +688,22 @@ def g8(t: Trade) -> DataFrame:
     return privacy.aggregate_only(rows, ["c_nationkey", "c_mktsegment", "debtor"], total("c_acctbal"), "balance")
 
 
+@query(
+    "g8_export_scope",
+    """SELECT 'hr_executive' AS role, c_custkey, c_name AS employee_name, c_acctbal AS basic_salary, NULL AS c_nationkey, NULL AS c_mktsegment, NULL AS group_size, NULL AS basic_salary_total FROM customer
+UNION ALL SELECT 'auditor_read_only', c_custkey, 'C. (' || c_custkey || ')', c_acctbal, NULL, NULL, NULL, NULL FROM customer
+UNION ALL SELECT 'viewer_executive_aggregate_only', NULL, NULL, NULL, c_nationkey, c_mktsegment, count(*), CASE WHEN count(*) >= 5 THEN round(sum(c_acctbal), 2) END FROM customer GROUP BY c_nationkey, c_mktsegment""",
+)
+def g8_export(t: Trade) -> DataFrame:
+    """Full rows, masked rows, totals of groups of five or more, and nothing for the last role."""
+    people = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_name").alias("employee_name"), F.col("c_acctbal").alias("basic_salary"))
+    taken = None
+    for role in ("hr_executive", "auditor_read_only", "viewer_executive_aggregate_only", "project_manager"):
+        part = privacy.export(people, role, "c_custkey", ["c_nationkey", "c_mktsegment"]).withColumn("role", F.lit(role))
+        taken = part if taken is None else taken.unionByName(part, allowMissingColumns=True)
+    return taken.select("role", "c_custkey", "employee_name", "basic_salary", "c_nationkey", "c_mktsegment", "group_size", "basic_salary_total")
+
+
 @query(
     "g9_pattern_scan",
     r"""WITH texts AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 1 THEN ' write to x@example.com.evil.org' WHEN 2 THEN ' write to y@example.com.' WHEN 3 THEN ' z@example.community.org' WHEN 4 THEN ' w@synthetic.local, v@else.net' ELSE '' END AS text FROM documents)

@@ -13,6 +13,8 @@ from tallyhouse.operators.identity import surrogate_id
 # Replacement texts (fixed values).
 FULL_REDACTION = "[REDACTED_FINANCIAL_DETAIL]"
 
+LEGAL_REDACTION = "[RESTRICTED_LEGAL_NARRATIVE]"
+
 # Sensitive patterns looked for in free text (fixed values).
 PATTERNS = {
     "national_id": r"\b[12]\d{9}\b",
@@ -75,7 +77,18 @@ def aggregate_only(df: DataFrame, keys: Sequence[str], measure: Column, name: st
     )
 
 
-# Field visibility by role (fixed values); a field that is not named is fully visible.
+# How a field is masked where a role sees it masked (fixed values): a function of value and key.
+# Person names inside narratives are not recognised; addresses and amounts are.
+FIELD_MASKS = {
+    "national_id_number": lambda value, key: mask_part(value),
+    "employee_name": lambda value, key: pseudonym(value, key),
+    "bank_account_iban": lambda value, key: F.lit(FULL_REDACTION),
+    "gross_salary": lambda value, key: F.lit(None).cast("double"),
+    "disciplinary_cases_description": lambda value, key: redact_entities(value),
+    "investigation_notes": lambda value, key: F.lit(LEGAL_REDACTION),
+}
+
+# Field visibility by role (fixed values); a field that is not named is hidden.
 ROLE_FIELDS: dict[str, dict[str, str]] = {
     "admin_system": {
         "employee_name": "Full", "national_id_number": "Masked", "passport_number": "Hidden", "basic_salary": "Full",
@@ -139,23 +152,64 @@ EXPORT_SCOPE = {
 }
 
 
-def role_view(df: DataFrame, access: dict[str, str], key: str) -> DataFrame:
+# Fields a role may not export besides (fixed values), and those nobody may.
+EXPORT_RESTRICTED = {
+    "admin_system": ("bank_account_iban", "passport_number"),
+    "hr_executive": ("bank_account_iban", "passport_number"),
+    "hr_operations_manager": ("gross_salary", "disciplinary_cases_description"),
+    "payroll_manager": ("disciplinary_cases_description", "successor_employee_key"),
+    "employee_relations_manager": ("gross_salary", "successor_employee_key"),
+    "recruitment_manager": ("gross_salary", "disciplinary_cases_description"),
+    "talent_manager": ("gross_salary", "disciplinary_cases_description"),
+    "compliance_manager": ("gross_salary", "disciplinary_cases_description"),
+    "auditor_read_only": ("bank_account_iban", "passport_number"),
+}
+NEVER_EXPORTED = ("national_id_number", "passport_number", "bank_account_iban")
+
+
+def role_view(df: DataFrame, access: dict[str, str], key: str, public: Sequence[str] = ()) -> DataFrame:
     """The columns a role may see, each shown as its access level says.
 
-    ``Hidden`` and ``Aggregate`` fields are not selected at all, so the scan does not read them.
+    The key and the ``public`` columns are shown; any other column without an
+    access level is hidden. A masked field is masked as its own rule says.
+    ``Hidden`` and ``Aggregate`` fields are not selected at all, so the scan
+    does not read them; totals come from :func:`role_totals`.
     """
     columns = []
     for column in df.columns:
-        level = access.get(column, "Full")
+        level = "Full" if column == key or column in public else access.get(column, "Hidden")
         if level == "Full":
             columns.append(F.col(column))
         elif level == "Masked":
-            columns.append(mask_part(column).alias(column))
+            mask = FIELD_MASKS.get(column, lambda value, _: mask_part(value))
+            columns.append(mask(F.col(column), F.col(key)).alias(column))
         elif level == "Pseudonymized":
             columns.append(pseudonym(column, key).alias(column))
     return df.select(*columns)
 
 
+def role_totals(df: DataFrame, access: dict[str, str], groups: Sequence[str], minimum: int = MIN_GROUP) -> DataFrame:
+    """Totals of the fields a role may see in aggregate or in full, hidden where a group is smaller than ``minimum``."""
+    numbers = [c for c, t in df.dtypes if access.get(c) in ("Aggregate", "Full") and t in ("double", "float", "int", "bigint") or t.startswith("decimal") and access.get(c) in ("Aggregate", "Full")]
+    sums = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_size"), *[F.sum(c).alias(c) for c in numbers])
+    shown = F.col("group_size") >= minimum
+    return sums.select(*groups, "group_size", *[F.when(shown, F.round(c, 2)).alias(f"{c}_total") for c in numbers])
+
+
+def export(df: DataFrame, role: str, key: str, groups: Sequence[str], public: Sequence[str] = ()) -> DataFrame:
+    """What a role may take out: rows, masked rows, totals of large enough groups, or nothing."""
+    scope, access = EXPORT_SCOPE[role], ROLE_FIELDS[role]
+    barred = {*NEVER_EXPORTED, *EXPORT_RESTRICTED.get(role, ())}
+    allowed = {c: level for c, level in access.items() if c not in barred}
+    if scope == "No Export":
+        return df.select(key).where("false")
+    if scope in ("Aggregate Export Only", "Department/Project Export"):
+        return role_totals(df, allowed, groups)
+    if scope == "Masked Export":
+        allowed = {c: "Masked" if level == "Full" and c in FIELD_MASKS else level for c, level in allowed.items()}
+    return role_view(df, allowed, key, public)
+
+
 def scan_text(df: DataFrame, key: str, text: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """Hits per document and sensitive pattern over the whole text."""
     entries = [

@@ -265,7 +265,7 @@ def test_role_views_cover_every_role(spark):
     assert set(privacy.ROLE_FIELDS) == set(privacy.EXPORT_SCOPE)
     shown = {role: privacy.role_view(df, access, "employee_id").first().asDict() for role, access in privacy.ROLE_FIELDS.items()}
     assert shown["admin_system"] == {"employee_id": "E1", "employee_name": "Sara Ali", "basic_salary": 10.0, "successor_employee_key": "E. (E1)"}
-    assert shown["payroll_manager"] == {"employee_id": "E1", "employee_name": "Sara****", "basic_salary": 10.0}
+    assert shown["payroll_manager"] == {"employee_id": "E1", "employee_name": "S.A. (E1)", "basic_salary": 10.0}
     assert shown["viewer_executive_aggregate_only"] == {"employee_id": "E1"}
 
 
@@ -354,3 +354,20 @@ def test_numbers_do_not_depend_on_the_partitioning(spark):
     rows = spark.range(400).selectExpr("id % 5 AS k", "id AS payload")
     first, second = ({r.payload: r.n for r in surrogate_id(rows.repartition(p), ["k"], "n").collect()} for p in (2, 7))
     assert first == second
+
+
+def test_unlisted_columns_are_hidden(spark):
+    df = spark.createDataFrame([("E1", "x", "Ops")], "employee_id string, home_address string, department string")
+    assert privacy.role_view(df, privacy.ROLE_FIELDS["admin_system"], "employee_id", ["department"]).columns == ["employee_id", "department"]
+
+
+def test_export_scopes(spark):
+    rows = [(f"E{i}", "Sara Ali", 10.0, "SA1", "P1", "Ops" if i < 6 else "Small") for i in range(8)]
+    df = spark.createDataFrame(rows, "employee_id string, employee_name string, basic_salary double, bank_account_iban string, passport_number string, department string")
+    for role in privacy.ROLE_FIELDS:
+        taken = privacy.export(df, role, "employee_id", ["department"])
+        assert not {"bank_account_iban", "passport_number", "national_id_number"} & set(taken.columns)
+    totals = privacy.export(df, "viewer_executive_aggregate_only", "employee_id", ["department"]).collect()
+    assert sorted(map(tuple, totals)) == [("Ops", 6, 60.0), ("Small", 2, None)]
+    assert privacy.export(df, "project_manager", "employee_id", ["department"]).count() == 0
+    assert privacy.export(df, "auditor_read_only", "employee_id", ["department"]).first().employee_name == "S.A. (E0)"
