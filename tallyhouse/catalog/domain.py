@@ -24,11 +24,6 @@ query = catalog.query
 ENDS = [date(1999, 12, 31), date(2000, 1, 31), date(2000, 2, 29), date(2000, 3, 31)]
 
 
-def _anchor(frame: DataFrame, column: str) -> date:
-    """Last day of the latest month of a date column: one small aggregate, used as a literal."""
-    return frame.agg(F.last_day(F.max(column)).alias("d")).first()["d"]
-
-
 def _order_life(t: Trade) -> DataFrame:
     """Orders with the date of their last shipment; an order without lines is still open."""
     shipped = t.lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("s"))
