@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import as_col, holds, is_blank
@@ -177,3 +177,14 @@ def gate_files(names: DataFrame, column: str, patterns: dict[str, str] = FILE_NA
     return names.withColumn("source_category", category).withColumn(
         "gate", F.when(category.isNull(), "Quarantine File").otherwise("Accept")
     )
+
+
+def delivered_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Name, size and time of every file below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("delivered_at"))
+
+
+def gate_delivery(spark: SparkSession, folder: str, patterns: dict[str, str] = FILE_NAMES) -> DataFrame:
+    """The gate on the files a source has put into a folder."""
+    return gate_files(delivered_files(spark, folder), "file_name", patterns)

@@ -371,3 +371,10 @@ def test_export_scopes(spark):
     assert sorted(map(tuple, totals)) == [("Ops", 6, 60.0), ("Small", 2, None)]
     assert privacy.export(df, "project_manager", "employee_id", ["department"]).count() == 0
     assert privacy.export(df, "auditor_read_only", "employee_id", ["department"]).first().employee_name == "S.A. (E0)"
+
+
+def test_gate_on_delivered_files(spark, tmp_path):
+    for name in ("zk_attendance_logs_20260601.csv", "notes.txt"):
+        (tmp_path / name).write_text("x" * 7)
+    got = {r.file_name: (r.source_category, r.gate, r.bytes) for r in quality.gate_delivery(spark, str(tmp_path)).collect()}
+    assert got == {"zk_attendance_logs_20260601.csv": ("Attendance", "Accept", 7), "notes.txt": (None, "Quarantine File", 7)}
