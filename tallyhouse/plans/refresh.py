@@ -53,7 +53,10 @@ def refresh(spark: SparkSession, csv_root: str, lake_root: str, rules: Rules | N
     for part in parts[1:]:
         checks = checks.unionByName(part)
     checks = pin(checks)
-    updates = module_results(checks)
+    # Modules without checks of their own: their views could be read, the rest stays unknown.
+    unchecked = wh.view("base_command_center_module_registry").join(checks.select("module_key").distinct(), "module_key", "left_anti")
+    unchecked = unchecked.select("module_key", F.lit("Healthy").alias("api_health_status"), F.lit(True).alias("required_marts_present"))
+    updates = module_results(checks).unionByName(unchecked, allowMissingColumns=True)
     known = insert_missing(intake.empty(spark, MODULE_CHECK_SCHEMA), wh.view("command_center_module_checks"), ["module_key"])
     wh.module_checks = pin(update_by_key(known, updates, ["module_key"]).select(known.columns))
     wh.forget("command_center_module_checks")
