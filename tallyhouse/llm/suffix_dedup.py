@@ -12,9 +12,11 @@ over many tasks; a streaming pass drops anchors that occur once and tells
 
 The bytes of the latter are gathered in blocks. A block's suffix array, made
 by two-stage sorting, puts equal windows next to each other, and the common
-prefixes of neighbours show them. An anchor with more spans than a block holds
-is cut into chunks; the windows that are first in their chunk are then
-compared among chunks by 128 bits of hash.
+prefixes of neighbours show them. The spans of an anchor that has more of them
+than a block holds are cut into pieces of few windows, which are told apart by
+all the bytes those windows share, and go through the same steps. A piece that
+still has too many contents is dealt to several blocks, and the windows that
+are first in their block are compared among blocks by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ LENGTH, GRAM = 100, 32
 SEGMENT = 1 << 20
 #: Spans of one anchor in a chunk; spans of anchors that share a block.
 CHUNK, TOGETHER = 16384, 4096
+#: Windows of a piece of a span whose anchor has more spans than a chunk.
+PIECE = 10
 #: A null doc_id comes before all others.
 NO_ID = -(1 << 63)
 
@@ -180,7 +184,7 @@ def _block(spans: pd.DataFrame, length: int) -> tuple[pd.DataFrame, pd.DataFrame
     own = starts[head]
     digest = (sums[own + length] - sums[own]) * powers("down", len(text))[own]
     twin = sum((mixed(words[own + k] + np.uint64(k)) for k in range(0, length - 7, 8)), words[own + length - 8])
-    firsts = pd.DataFrame({"doc": doc[head], "start": place[head], "d1": mixed(digest).view(np.int64), "d2": mixed(twin).view(np.int64), "anchor": spans["anchor"].to_numpy()[owner[head]]})
+    firsts = pd.DataFrame({"doc": doc[head], "start": place[head], "d1": mixed(digest).view(np.int64), "d2": mixed(twin).view(np.int64)})
     return _runs(cover), firsts
 
 
@@ -203,11 +207,9 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk:
     whole = judged.where("anchor IS NULL").select("doc", "start", "stop")
     open_spans = judged.where("anchor IS NOT NULL")
     lots_of = max(1, -(-open_spans.count() // TOGETHER))
-    many = pin(open_spans.groupBy("anchor").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
-    dealt = open_spans.join(many, "anchor", "left").withColumn("chunked", F.col("chunks").isNotNull())
-    dealt = dealt.withColumn("part", F.when(F.col("chunked"), F.pmod(F.xxhash64("doc", "start"), F.col("chunks"))).otherwise(F.lit(-1)))
-    dealt = dealt.withColumn("lot", F.when(F.col("chunked"), F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(lots_of))))
-    lists = dealt.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "anchor", "part", "lot")).alias("spans"))
+    many = pin(open_spans.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("anchor", F.lit(True).alias("hot")))
+    dealt = open_spans.join(many, "anchor", "left")
+    lists = dealt.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("spans"))
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").join(lists, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,25 +217,68 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk:
             for doc, text, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
                 raw, found = (text.as_py() or "").encode(), spans.as_py()
                 found = [s for s in found if s["stop"] <= len(raw)]
-                columns = [pa.array([doc.as_py()] * len(found), pa.int64()), *[pa.array([s[k] for s in found], t) for k, t in (("start", pa.int32()), ("anchor", pa.int64()), ("part", pa.int64()), ("lot", pa.int64()))]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([raw[s["start"] : s["stop"]] for s in found], pa.binary())], ["doc", "start", "anchor", "part", "lot", "bytes"])
-
-    rows = texts.select("doc", "text", "spans").mapInArrow(cut, "doc long, start int, anchor long, part long, lot long, bytes binary")
+                columns = [pa.array([doc.as_py()] * len(found), pa.int64()), *[pa.array([s[k] for s in found], t) for k, t in (("start", pa.int32()), ("anchor", pa.int64()), ("hot", pa.bool_()))]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([raw[s["start"] : s["stop"]] for s in found], pa.binary())], ["doc", "start", "anchor", "hot", "bytes"])
+
+    rows = texts.select("doc", "text", "spans").mapInArrow(cut, "doc long, start int, anchor long, hot boolean, bytes binary")
+    rows = pin(rows) if many.count() else rows
+    plain = rows.where("hot IS NULL").select("doc", "start", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(lots_of)).alias("lot"), F.lit(-1).cast("long").alias("part"))
+    # Anchors with very many spans are told apart by what surrounds them.
+    pieces = pin(_pieces(rows.where("hot"), length, gram))
+    kept = pieces.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    kept = pin(kept.select("anchor", "content", "f", "n", "bytes"))
+    again = pieces.join(kept.where("n > 1").select("anchor", "content", "f"), ["anchor", "content"]).where(F.struct("doc", "start") != F.col("f"))
+    again = again.select("doc", "start", (F.col("start") + F.length("bytes")).cast("int").alias("stop"))
+    mixed_ones = pin(kept.groupBy("anchor").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1").select("anchor", "chunks"))
+    part = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("f.doc", "f.start"), F.col("chunks"))).otherwise(F.lit(-1)).cast("long")
+    lot = F.when(F.col("chunks") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(lots_of)))
+    close = kept.join(mixed_ones, "anchor").select("f.doc", "f.start", "bytes", lot.alias("lot"), part.alias("part"))
 
     def block(spans: pd.DataFrame) -> pd.DataFrame:
-        spans = spans.drop_duplicates(["doc", "start", "anchor"])
+        spans = spans.drop_duplicates(["doc", "start", "bytes"])
         cover, firsts = _block(spans, length)
         out = cover.assign(d1=np.int64(0), d2=np.int64(0), first=False)
         if spans["part"].iloc[0] >= 0:
-            firsts = firsts.drop(columns="anchor").assign(stop=firsts["start"] + length, first=True)
+            firsts = firsts.assign(stop=firsts["start"] + length, first=True)
             out = pd.concat([out, firsts[out.columns]])
         return out
 
-    found = pin(rows.groupBy("lot", "part").applyInPandas(block, "doc long, start int, stop int, d1 long, d2 long, first boolean"))
+    found = pin(plain.unionByName(close).groupBy("lot", "part").applyInPandas(block, "doc long, start int, stop int, d1 long, d2 long, first boolean"))
     firsts = found.where("first")
     least = pin(firsts.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("m"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "m"))
     late = firsts.join(least, ["d1", "d2"]).where(F.struct("doc", "start") != F.col("m")).select("doc", "start", "stop")
-    return whole.unionByName(found.where("NOT first").select("doc", "start", "stop")).unionByName(late)
+    return whole.unionByName(again).unionByName(found.where("NOT first").select("doc", "start", "stop")).unionByName(late)
+
+
+def _pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Cut spans into pieces of ``PIECE`` windows by their distance from the anchor.
+
+    All windows of a piece have ``length - PIECE + 1`` bytes in common, which
+    make its new anchor; equal windows have equal distances and so meet again.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, start, anchor, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                text = np.frombuffer(raw, dtype=np.uint8)
+                n, windows = len(text), len(text) - length + 1
+                sums = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers("up", n), out=sums[1:])
+                hashes = mixed((sums[gram:] - sums[: n - gram + 1]) * powers("down", n)[: n - gram + 1]).view(np.int64) >> 7
+                place = int(np.flatnonzero(hashes[: length - gram + 1] == anchor)[-1])  # the last one in the first window
+                for number in range(max(0, place - windows + 1) // PIECE, place // PIECE + 1):
+                    top = place - number * PIECE  # the window of this piece with the least distance
+                    first, last = max(0, top - PIECE + 1), min(windows - 1, top)
+                    common = raw[top : top - PIECE + 1 + length]
+                    inside = raw[first : last + length]
+                    name = hashlib.blake2b(b"%d %d " % (anchor, number) + common, digest_size=8).digest()
+                    own = hashlib.blake2b(b"%d " % (top - first) + inside, digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), int.from_bytes(own, "little", signed=True), doc, start + first, inside))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc", "start", "bytes"])
+
+    return rows.select("doc", "start", "anchor", "bytes").mapInArrow(cut, "anchor long, content long, doc long, start int, bytes binary")
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, with_kept: bool = False) -> DataFrame:
