@@ -47,6 +47,7 @@ def numbered(df: DataFrame, order: list[Column], index: str = "row_index", runni
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = stored.groupBy("_task").agg(*ends)  # one row for each task of the sort
     base = tasks.select("_task", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in tasks.columns[1:]])
+    base = F.broadcast(base)  # one row for each task of the sort
     out = stored.join(base, "_task").withColumn(index, F.col(index) + F.col("_rows"))
     if running:
         out = out.withColumn(total, F.col(total) + F.col("_amount"))
