@@ -102,7 +102,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path, separator = scratch_dir(spark, "flat-tokens"), 50256
     token_counts.write_flat(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), separator)
     counted = token_counts.count_tokens(token_counts.flat_blocks(spark, path), separator)
-    return counted.join(token_counts.flat_names(spark, path), ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "start", "n_tokens")
+    return token_counts.named_counts(counted, token_counts.flat_names(spark, path)).select("doc_id", "shard", "ordinal", "start", "n_tokens")
 
 
 def op8_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,7 +28,8 @@ def write_flat(documents: DataFrame, path: str, vocab: str, separator: int, bloc
 
     ``kind=ids`` holds the blocks. ``kind=names`` lists the doc_ids in the
     order of the stream, so that counts can be given names; it says nothing
-    about lengths. Null texts are empty documents.
+    about lengths. Null texts are empty documents. The name of a special id
+    in a text is plain text; a separator inside a document is an error.
     """
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,8 +44,10 @@ def write_flat(documents: DataFrame, path: str, vocab: str, separator: int, bloc
             if names:
                 yield row("names", named, None, names)
                 named += len(names)
-            for raw in encoder(vocab).ids(texts_of(batch.column(1))):
+            for raw in encoder(vocab, plain=True).ids(texts_of(batch.column(1))):
                 ids = np.frombuffer(raw, dtype="<u4")
+                if (ids == separator).any():
+                    raise ValueError("a document holds the separator")
                 if len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("flat files hold ids up to 65535")
                 waiting += [ids.astype("<u2"), end]
@@ -76,6 +79,13 @@ def flat_names(spark: SparkSession, path: str) -> DataFrame:
     return names.select("shard", (F.col("block") + F.col("at")).alias("ordinal"), "doc_id")
 
 
+def named_counts(counted: DataFrame, names: DataFrame) -> DataFrame:
+    """The counts with their doc_id; reading n_tokens fails if a shard has other documents than names."""
+    found = counted.withColumn("_found", F.lit(True)).join(names.withColumn("_named", F.lit(True)), ["shard", "ordinal"], "full")
+    both = F.col("_found").isNotNull() & F.col("_named").isNotNull()
+    return found.withColumn("n_tokens", F.when(both, F.col("n_tokens")).otherwise(F.raise_error(F.lit("documents and names of a shard differ")).cast("long"))).drop("_found", "_named")
+
+
 def count_tokens(blocks: DataFrame, separator: int, across_shards: bool = False) -> DataFrame:
     """One row for each document: shard, ordinal, start, n_tokens (without separator), ended.
 

@@ -36,12 +36,17 @@ TOGETHER = 500_000
 
 
 class PieceEncoder:
-    """``ids(texts)`` yields the little-endian unsigned 32-bit ids of each text as bytes."""
+    """``ids(texts)`` yields the little-endian unsigned 32-bit ids of each text as bytes.
 
-    def __init__(self, path: str):
+    With ``plain`` the name of a special id in a text is encoded like any other
+    text, so no special id comes out.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         ends = [i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]
         self.drops_space = bool(ends)
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
@@ -106,14 +111,14 @@ class PieceEncoder:
             yield self.whole(text) if pieces is None else b"".join(map(self.store.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The encoder of this worker for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = PieceEncoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:

@@ -153,3 +153,21 @@ def test_numbers_are_gapless(llm):
     for r in got:
         assert r.before == total
         total += r.k
+
+
+def test_name_of_the_separator_in_a_text(llm):
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "three four", "five"]
+    path = scratch_dir(llm, "t")
+    token_counts.write_flat(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, BYTES, 50256)
+    counted, names = token_counts.count_tokens(token_counts.flat_blocks(llm, path), 50256), token_counts.flat_names(llm, path)
+    got = {r.doc_id: (r.start, r.n_tokens) for r in token_counts.named_counts(counted, names).collect()}
+    plain, start = PieceEncoder(BYTES, plain=True), 0
+    for i, text in enumerate(texts):
+        ids = plain.library.encode(text, add_special_tokens=False).ids
+        assert 50256 not in ids and plain.library.decode(ids) == text
+        assert got[i] == (start, len(ids))
+        start += len(ids) + 1
+    assert len(got) == len(texts)
+    for left, right in ((counted, names.where("ordinal < 3")), (counted.where("ordinal < 3"), names)):
+        with pytest.raises(Exception, match="documents and names of a shard differ"):
+            token_counts.named_counts(left, right).collect()
