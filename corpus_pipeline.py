@@ -33,9 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in ten documents or more; a document may become empty but stays. n_chars follows the text."""
+    """Drop lines found in ten documents or more; a document may become empty but stays. n_chars follows the text.
+
+    Of documents that would lose half of their text or more, which are mostly
+    copies, the first keeps the line, so that no group loses its text whole.
+    """
     prepared(spark)
-    found = line_dedup.with_bitmaps(docs).withColumn("text", F.when(F.col("text").isNotNull(), line_dedup.kept_text(F.col("text"), F.col("keep_words"))))
+    found = line_dedup.with_bitmaps(docs, spare_copies=True).withColumn("text", F.when(F.col("text").isNotNull(), line_dedup.kept_text(F.col("text"), F.col("keep_words"))))
     length = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", length).select(docs.columns)
 

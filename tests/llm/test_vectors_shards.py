@@ -148,3 +148,15 @@ def test_pipeline_on_hard_and_empty_rows(llm, hard, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = pin(stage(llm, docs, SMALL))
         assert docs.columns[0] == "doc_id"
+
+
+def test_line_stage_keeps_one_of_many_copies(llm):
+    text = "First line of a page.\nSecond line of it.\n\nThird line."
+    near = [f"{text}\nown {i}" for i in range(12)]
+    rows = [(i, t) for i, t in enumerate([text] * 12 + near)] + [(50 + i, "Third line.\n" + " ".join(f"word{i}x{k}" for k in range(20))) for i in range(3)]
+    docs = llm.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](llm, docs.unionByName(docs.where("doc_id = 0")).repartition(4), SMALL).collect()}
+    assert got[0].text == text and got[0].n_chars == len(text)
+    assert all(got[i].text == "" for i in range(1, 12))
+    assert all(got[12 + i].text == f"\nown {i}" for i in range(12))
+    assert all("Third" not in got[50 + i].text for i in range(3))
