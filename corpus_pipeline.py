@@ -17,19 +17,20 @@ from tallyhouse.llm.expressions import text_key
 from tallyhouse.llm.queries import prepared, table, vocabulary
 from tallyhouse.session import pin
 
-#: Documents whose words agree less than this on a language are rejected, and so are those without letters.
+#: Documents whose words are less certain of their languages, in the mean, are rejected, and so are those without letters.
 LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those whose words speak for no language.
 
-    The model learns from the documents' own labels. The null text goes; the
-    empty table stays empty; without any label nothing is known and all go.
+    A text of several languages stays if its words are certain. The model
+    learns from the documents' own labels. The null text goes; the empty table
+    stays empty; without any label nothing is judged and all with letters stay.
     """
     prepared(spark)
     found = language_crf.identify(docs, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return found.where((F.col("n_words") > 0) & ((F.col("certainty") == 0) | (F.col("certainty") >= LEAST_SCORE))).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,18 +264,19 @@ def training_sample(documents: DataFrame, per_language: int = DOCS_PER_LANGUAGE)
     return [tuple(r) for r in labelled.where(chance < share[F.col("lang")]).select("lang", "text").collect()]
 
 
-PREDICTION = [("lang_pred", StringType()), ("score", DoubleType()), ("n_words", LongType()), ("n_switches", LongType())]
+PREDICTION = [("lang_pred", StringType()), ("score", DoubleType()), ("n_words", LongType()), ("n_switches", LongType()), ("certainty", DoubleType())]
 
 
 def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id unless given) and lang_pred, score, n_words, n_switches for each document.
+    """The columns ``keep`` (doc_id unless given) and lang_pred, score, n_words, n_switches, certainty for each document.
 
     A kept column that has the name of a result is left out.
 
     ``lang_pred`` has the largest sum of word marginals and ``score`` is their
     mean (0 to 1); ties go to the first name. A text that is null or has no
     letters, and any text if nothing was learned, is ``und`` with score 0.
-    ``n_switches`` counts neighbouring words labelled differently.
+    ``n_switches`` counts neighbouring words labelled differently; ``certainty``
+    is the mean of each word's largest marginal, whatever its language.
     """
     kept = [c for c in keep or ["doc_id"] if c not in dict(PREDICTION)]
     rows = documents.select(F.col("text").alias("_text"), *kept)
@@ -284,7 +285,7 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = model.languages
         for batch in batches:
-            out = [(UNKNOWN, 0.0, 0, 0)] * batch.num_rows
+            out = [(UNKNOWN, 0.0, 0, 0, 0.0)] * batch.num_rows
             lot: list[tuple[int, list[str]]] = []
             held = 0
 
@@ -296,23 +297,26 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
                 sums = np.add.reduceat(found, start, axis=0)
                 best = sums.argmax(axis=1)
                 labels = found.argmax(axis=1)
+                sure = np.add.reduceat(found.max(axis=1), start)
                 turns = np.append(0, labels[1:] != labels[:-1])
                 turns[start] = 0
                 turns = np.add.reduceat(turns, start)
-                for (row, _), b, s, n, t in zip(lot, best, sums, lengths, turns):
-                    out[row] = (names[b], min(1.0, float(s[b] / n)), int(n), int(t))
+                for (row, _), b, s, n, t, c in zip(lot, best, sums, lengths, turns, sure):
+                    out[row] = (names[b], min(1.0, float(s[b] / n)), int(n), int(t), min(1.0, float(c / n)))
 
             for row, text in enumerate(texts_of(batch.column(0))):
                 words = words_of(text)
                 if words and names:
                     lot.append((row, words))
                     held += len(words)
+                elif words:
+                    out[row] = (UNKNOWN, 0.0, len(words), 0, 0.0)
                 if held >= LOT:
                     flush()
                     lot, held = [], 0
             if lot:
                 flush()
-            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], schema.names)
 
     return rows.mapInArrow(label, schema)

@@ -160,3 +160,16 @@ def test_line_stage_keeps_one_of_many_copies(llm):
     assert all(got[i].text == "" for i in range(1, 12))
     assert all(got[12 + i].text == f"\nown {i}" for i in range(12))
     assert all("Third" not in got[50 + i].text for i in range(3))
+
+
+def test_language_stage_keeps_texts_of_many_languages(llm):
+    docs, stage = llm.read.parquet(f"{SMALL}/documents.parquet"), dict(corpus_pipeline.STAGES)["language_id"]
+    parts = [r.text.split()[:30] for lang in ("de", "en", "es", "fr") for r in docs.where(f"lang = '{lang}' AND n_chars > 300").orderBy("doc_id").limit(1).collect()]
+    assert len(parts) >= 3
+    texts = [" ".join(w for p in chosen for w in p) for chosen in (parts[:3], parts)]
+    rows = [(10**6 + i, t, None, None, len(t)) for i, t in enumerate([*texts, "12 34"])]
+    more = llm.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns)
+    kept = {r.doc_id for r in stage(llm, docs.unionByName(more), SMALL).collect()}
+    assert {10**6, 10**6 + 1} <= kept and 10**6 + 2 not in kept
+    assert {r.doc_id for r in docs.collect()} <= kept
+    assert {r.doc_id for r in stage(llm, more, SMALL).collect()} == {10**6, 10**6 + 1}
