@@ -33,7 +33,7 @@ BUCKETS, LEXICON_COUNT = 1 << 16, 3
 STEPS, TEXTS, WORDS, RUN = 400, 64, 40, 25
 #: Words whose scores a worker keeps; words handled at once; words of a segment.
 STORE, LOT, SEGMENT = 400_000, 200_000, 64
-#: Code points of a word that are looked at: the first and last half of them.
+#: Code points of a word at most; longer runs of letters are several words of the chain.
 WIDTH = 24
 UNKNOWN = "und"
 
@@ -41,16 +41,23 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters; those longer than ``WIDTH`` are cut into parts of about equal length."""
     found = WORD.findall(text.lower())
+    if found and max(map(len, found)) > WIDTH:
+        found = [part for w in found for part in ((w,) if len(w) <= WIDTH else _parts(w))]
     # Superscript digits and their like are no letters.
-    return found if len(found) > 20 else [w for w in found if any(c.isalpha() for c in w)]
+    return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
+
+
+def _parts(word: str) -> list[str]:
+    count = -(-len(word) // WIDTH)
+    edges = [i * len(word) // count for i in range(count + 1)]
+    return [word[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points with a mark before and after each word, and the lengths with marks."""
-    half = WIDTH // 2
-    short = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    plain = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
+    plain = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
     lengths = (plain > 0).sum(axis=1)
     codes = np.zeros((len(words), WIDTH + 2), dtype=np.uint64)
     codes[:, 0] = 1

@@ -279,3 +279,21 @@ def test_languages_of_hard_rows(hard, nothing):
     unlabelled = hard.withColumn("lang", hard["lang"].substr(5, 1).try_cast("int").cast("string"))
     assert {r.lang_pred for r in language_crf.identify(unlabelled).collect()} == {"und"}
     assert language_crf.identify(nothing).count() == 0
+
+
+def test_letters_are_told_at_every_length(llm, model):
+    docs, fitted = model
+    fr = " ".join(docs.where("lang = 'fr' AND n_chars > 300").orderBy("doc_id").first().text.split()[:40])
+    rows = [(1, "² " * 20), (2, "² " * 21), (3, "²½①" * 30), (4, fr), (5, fr + " ²" * 50)]
+    got = {r.doc_id: r for r in language_crf.predict(llm.createDataFrame(rows, "doc_id long, text string"), fitted).collect()}
+    assert all((got[i].lang_pred, got[i].score, got[i].n_words) == ("und", 0.0, 0) for i in (1, 2, 3))
+    assert tuple(got[4])[1:] == tuple(got[5])[1:] and got[4].lang_pred == "fr"
+
+
+def test_all_letters_of_a_long_run_count(llm, model):
+    docs, fitted = model
+    run = {lang: "".join(c for c in docs.where(f"lang = '{lang}' AND n_chars > 600").orderBy("doc_id").first().text.lower() if c.isalpha())[:400] for lang in ("de", "fr")}
+    assert "".join(language_crf.words_of(run["de"])) == run["de"]
+    rows = [(1, run["de"][:12] + run["fr"] + run["de"][-12:]), (2, run["de"][:12] + run["de"] + run["de"][-12:])]
+    got = {r.doc_id: r for r in language_crf.predict(llm.createDataFrame(rows, "doc_id long, text string"), fitted).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred) == ("fr", "de") and got[1].n_words > 10
