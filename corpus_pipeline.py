@@ -48,12 +48,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest doc_id.
 
-    A repeated doc_id stays once. Documents without doc_id or without words are in no group and stay.
+    Rows are told apart by doc_id and text: equal rows stay once, other texts of
+    one doc_id are documents of their own. A null doc_id comes after all others.
+    Documents without words are in no group and stay.
     """
     prepared(spark)
-    kept = minhash_forest.links(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.withColumn("_row", F.xxhash64("doc_id", text_key(F.col("text"))))
+    rows = named.select("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("rank"))
+    found = minhash_forest.links(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id").distinct()
+    kept = found.join(rows, "_row").groupBy("class_id").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row"))
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

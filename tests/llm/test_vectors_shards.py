@@ -173,3 +173,12 @@ def test_language_stage_keeps_texts_of_many_languages(llm):
     assert {10**6, 10**6 + 1} <= kept and 10**6 + 2 not in kept
     assert {r.doc_id for r in docs.collect()} <= kept
     assert {r.doc_id for r in stage(llm, more, SMALL).collect()} == {10**6, 10**6 + 1}
+
+
+def test_jaccard_stage_tells_texts_of_one_id_apart(llm):
+    own = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey", "a b c d e f g h"]
+    rows = [(1, own[0]), (1, own[1]), (1, own[1]), (5, own[1]), (None, own[2]), (None, own[2]), (None, own[3]), (None, own[0]), (9, own[3]), (None, None), (None, "?!")]
+    docs = llm.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](llm, docs, SMALL).collect()
+    want = [(1, own[0]), (1, own[1]), (None, own[2]), (9, own[3]), (None, None), (None, "?!")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
