@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
-
-Every text is a set of word shingles. A forest has ``TREES`` prefix tries over
-MinHash signatures; two texts meet in a tree if their signatures share a
-prefix. Prefixes start at ``DEPTH`` values and are shortened until pairs at the
-threshold meet in some tree with at least the target probability. Texts that
-meet are gathered into candidate groups, and every pair of a group is verified
-on the exact sets, so the forest decides only which groups there are.
+"""N-gram Jaccard join by MinHash banding, which stands for an LSH forest.
+
+Every text is a set of word shingles with ``TREES`` bands of MinHash values;
+two texts meet if all values of a band are equal. No tries are built: a band
+has the most values, at most ``DEPTH``, with which pairs at the threshold meet
+in some band with at least the target probability, and that number follows
+from threshold, target and ``TREES`` alone. Texts that meet are gathered into
+candidate groups, and every pair of a group is verified on the exact sets, so
+the bands decide only which groups there are.
 
 Texts with equal sets are one class and are verified once. A group too large
 for a task is cut into blocks, and each pair of blocks is a task of its own.
