@@ -10,7 +10,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, embedding_graph, language_crf, line_dedup, minhash_forest, packing, reshard, suffix_dedup, token_counts, token_files
+from tallyhouse.llm import (
+    automaton_search,
+    conversation_repair,
+    decontaminate,
+    embedding_graph,
+    language_crf,
+    line_dedup,
+    minhash_forest,
+    packing,
+    piecewise_hash,
+    reshard,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from tallyhouse.session import pin, scratch_dir, tune
 
 #: Rows of an Arrow batch: texts can be long.
@@ -121,6 +135,28 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_automaton_search(spark: SparkSession, folder: str) -> DataFrame:
+    return automaton_search.search(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    repaired, report = conversation_repair.repair(conversation_repair.damaged(conversations))
+    names = conversation_repair.rows_of(conversations)
+    found = names.join(report.drop("conv_id"), "key", "left").join(conversation_repair.digests(repaired), "key", "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_piecewise_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return piecewise_hash.fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language_crf": op2_language_crf,
@@ -132,10 +168,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_line_dedup": op10_line_dedup,
+    "op11_automaton_search": op11_automaton_search,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_piecewise_hash": op13_piecewise_hash,
 }
 
 #: Checking SQL where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_automaton_search": automaton_search.ORACLE_SQL,
 }
