@@ -10,7 +10,8 @@ from tallyhouse.functions import is_blank, minute_boundaries, money_text, percen
 from tallyhouse.operators import relational as rel
 from tallyhouse.operators.identity import surrogate_id
 from tallyhouse.operators.rules import Rule, flag_rows, stack
-from tallyhouse.operators.tables import insert_missing, update_by_key, write_snapshot
+from tallyhouse.operators.search import SearchIndex
+from tallyhouse.operators.tables import KeyedTable, write_snapshot
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import intake
 from tallyhouse.sources.derived_hr import derive
@@ -120,12 +121,17 @@ def view_layer(t: Trade) -> DataFrame:
 
 @query(
     "s9_insert_missing",
-    "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'Checked' ELSE 'Unknown' END AS state FROM customer",
+    "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'Checked' ELSE 'Unknown' END AS state FROM customer UNION ALL SELECT NULL, 'Unknown'",
 )
 def s9(t: Trade) -> DataFrame:
-    existing = t.customer.where("c_acctbal >= 0").select("c_custkey", F.lit("Checked").alias("state"))
-    incoming = t.customer.select("c_custkey", F.lit("Unknown").alias("state"))
-    return insert_missing(existing, incoming, ["c_custkey"])
+    """A stored table, all customers and a NULL key inserted twice: the second time nothing is missing."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), ["c_custkey"])
+    table.create(t.customer.where("c_acctbal >= 0").select("c_custkey", F.lit("Checked").alias("state")))
+    none = t.customer.limit(1).select(F.lit(None).cast("bigint").alias("c_custkey"))
+    incoming = t.customer.select("c_custkey").unionByName(none).withColumn("state", F.lit("Unknown"))
+    table.insert(incoming)
+    table.insert(incoming)
+    return table.read()
 
 
 @query(
@@ -133,8 +139,11 @@ def s9(t: Trade) -> DataFrame:
     "SELECT c_custkey, coalesce(s_name, c_name) AS c_name, coalesce(s_acctbal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
 )
 def s11(t: Trade) -> DataFrame:
-    updates = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
-    return update_by_key(t.customer.select("c_custkey", "c_name", "c_acctbal"), updates, ["c_custkey"])
+    """A stored table updated in place: only the buckets with suppliers' keys are rewritten."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), ["c_custkey"])
+    table.create(t.customer.select("c_custkey", "c_name", "c_acctbal"))
+    table.update(t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal")))
+    return table.read()
 
 
 @query(
@@ -648,6 +657,22 @@ def o4(t: Trade) -> DataFrame:
     return rel.browse(rows, ["c_custkey", "c_name", "c_mktsegment"], "Build", [F.asc("c_name")], page=2)
 
 
+@query(
+    "o4_search_page",
+    """WITH hits AS (SELECT l_orderkey, l_linenumber, o_orderpriority, l_returnflag || ' ' || c_name AS who, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS n
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE contains(lower(concat_ws(' ', o_orderpriority, l_returnflag || ' ' || c_name)), 'n customer#00000001'))
+SELECT l_orderkey, l_linenumber, o_orderpriority, who FROM hits WHERE n BETWEEN 6 AND 10""",
+)
+def o4_search(t: Trade) -> DataFrame:
+    """The second page of a search in line items, found in a trigram index and by the last key of the first page."""
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    rows = rows.select("l_orderkey", "l_linenumber", "o_orderpriority", F.concat("l_returnflag", F.lit(" "), "c_name").alias("who"))
+    index = SearchIndex(t.spark, scratch_dir(t.spark, "search"), ["l_orderkey", "l_linenumber"], ["o_orderpriority", "who"])
+    index.build(rows)
+    last = index.page("N Customer#00000001", size=5).collect()[-1:]  # one page
+    return index.page("N Customer#00000001", after=tuple(last[0][:2]) if last else None, size=5)
+
+
 @query(
     "s_union_all",
     """SELECT 'order:' || o_orderkey AS id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT 'event:' || event_id, value, CAST(ts AS DATE) FROM events

@@ -43,19 +43,19 @@ class Rule:
     entity_name: Column | str | None = None
 
 
-def flag_rows(df: DataFrame, rules: Sequence[Rule], entity_id: Column | str, entity_name: Column | str | None) -> DataFrame:
+def flag_rows(df: DataFrame, rules: Sequence[Rule], entity_id: Column | str, entity_name: Column | str | None, weight: Column | str | None = None) -> DataFrame:
     """Issue rows of every rule that fires, from one scan of ``df``.
 
     Each input row builds an array with one entry per fired rule and is then
-    exploded, so N rules cost one read instead of N unioned branches.
+    exploded, so N rules cost one read instead of N unioned branches. While
+    issues are only counted, the rules are sums of one aggregate instead, and
+    each that fired gives one row with its number ``n``; an input row then
+    stands for ``weight`` issues.
     """
+    if _COUNTING.get():
+        return _numbers(df, rules, weight)
     entries = []
-    none = F.lit(None).cast("string")
     for rule in rules:
-        if _COUNTING.get():
-            texts = dict(zip(ISSUE_COLUMNS, (none, none, F.lit(rule.issue_type), none, F.lit(rule.severity), F.lit(rule.action))))
-            entries.append(F.when(rule.when, F.struct(*[text.alias(name) for name, text in texts.items()])))
-            continue
         name = rule.entity_name if rule.entity_name is not None else entity_name
         entry = F.struct(
             as_col(rule.entity_id if rule.entity_id is not None else entity_id).cast("string").alias("entity_id"),
@@ -70,6 +70,22 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule], entity_id: Column | str, ent
     return df.select(F.inline(fired))
 
 
+def _numbers(df: DataFrame, rules: Sequence[Rule], weight: Column | str | None) -> DataFrame:
+    each = F.lit(1).cast("bigint") if weight is None else as_col(weight).cast("bigint")
+    row = df.agg(*[F.sum(F.when(rule.when, each)).alias(f"_{i}") for i, rule in enumerate(rules)])
+    none = F.lit(None).cast("string")
+    entries = []
+    for i, rule in enumerate(rules):
+        texts = dict(zip(ISSUE_COLUMNS, (none, none, F.lit(rule.issue_type), none, F.lit(rule.severity), F.lit(rule.action))))
+        entries.append(F.struct(*[text.alias(name) for name, text in texts.items()], F.coalesce(f"_{i}", F.lit(0)).alias("n")))
+    return row.select(F.inline(F.array(*entries))).where("n > 0")
+
+
+def is_counting() -> bool:
+    """Whether the frame under construction is only counted."""
+    return _COUNTING.get()
+
+
 def stack(*feeds: DataFrame) -> DataFrame:
     """All issue feeds under one schema."""
     return reduce(lambda a, b: a.unionByName(b), feeds)
@@ -105,7 +121,8 @@ def normal_severity(severity: Column | str) -> Column:
 
 def count_issues(issues: DataFrame) -> DataFrame:
     """One row for each rule that fired, with the number n of its issues."""
-    return issues.groupBy("issue_type", "severity", "recommended_action").agg(F.count(F.lit(1)).alias("n"))
+    number = F.sum("n") if "n" in issues.columns else F.count(F.lit(1))
+    return issues.groupBy("issue_type", "severity", "recommended_action").agg(number.alias("n"))
 
 
 def summarise(issues: DataFrame, number: Column | None = None) -> DataFrame:

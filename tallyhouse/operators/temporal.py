@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import as_col, floor_zero, minute_boundaries, ratio
@@ -14,20 +14,41 @@ from tallyhouse.functions import as_col, floor_zero, minute_boundaries, ratio
 def as_of_count(df: DataFrame, key: str, start: str, end: str, dates: Sequence[date], name: str = "headcount") -> DataFrame:
     """Distinct keys that have started by each date and not ended by it.
 
-    Every row is expanded only to the dates it is alive at, so the work is
-    linear in the matches; a calendar join would be a nested loop.
+    A sweep over the dates: each row becomes the range of date positions it is
+    alive at, equal ranges of a key are one, and what an earlier range of the
+    key covers is cut off. A range adds one where it begins and takes one away
+    behind its end; the running sum of these is the count. No row is made for a
+    key and date, and a key has no more ranges than there are pairs of dates,
+    however many rows it has.
     """
-    calendar = F.array(*[F.lit(d) for d in dates])
-    alive = F.filter(
-        calendar,
-        lambda d: (F.col(start) <= d) & (F.col(end).isNull() | (F.col(end) > d)),
-    )
-    found = df.select(key, F.explode(alive).alias("as_of_date"))
-    counts = found.groupBy("as_of_date").agg(F.count_distinct(key).alias(name))
-    spine = df.sparkSession.createDataFrame([(d,) for d in dates], "as_of_date date")
-    return spine.join(F.broadcast(counts), "as_of_date", "left").select(  # at most one row per date
-        "as_of_date", F.coalesce(F.col(name), F.lit(0)).alias(name)
-    )
+    days = sorted(set(dates))
+    if not days:
+        return df.sparkSession.createDataFrame([], f"as_of_date date, {name} bigint")
+    calendar = F.array(*[F.lit(d) for d in days])
+    first = F.size(F.filter(calendar, lambda d: d < F.col(start)))
+    last = F.when(F.col(end).isNull(), len(days)).otherwise(F.size(F.filter(calendar, lambda d: d < F.col(end)))) - 1
+    ranges = df.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("_key"), first.alias("_first"), last.alias("_last"))
+    ranges = ranges.where("_first <= _last").distinct()
+    before = Window.partitionBy("_key").orderBy("_first", "_last").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = ranges.withColumn("_first", F.greatest("_first", F.coalesce(F.max("_last").over(before) + 1, F.lit(0)))).where("_first <= _last")
+    steps = fresh.select(F.inline(F.array(F.struct(F.col("_first").alias("_at"), F.lit(1).alias("_step")), F.struct((F.col("_last") + 1).alias("_at"), F.lit(-1).alias("_step")))))
+    steps = steps.groupBy("_at").agg(F.sum("_step").alias("_step"))  # at most one row per date
+    spine = df.sparkSession.createDataFrame(list(enumerate(days)), "_at int, as_of_date date")
+    running = F.sum(F.coalesce("_step", F.lit(0))).over(Window.orderBy("_at"))
+    return spine.join(F.broadcast(steps), "_at", "left").select("as_of_date", running.alias(name))
+
+
+def working_days(first: Column, last: Column, weekend: Sequence[str] = ()) -> Column:
+    """Number of days of [first, last] that are no weekend days, by arithmetic on day numbers."""
+    a, b = F.unix_date(first), F.unix_date(last)
+    count = b - a + 1
+    for day in weekend:
+        shift = WEEKDAYS.index(day)  # day 0 of the numbering is a Thursday
+        count = count - (F.floor((b - shift) / 7) - F.floor((a - 1 - shift) / 7))
+    return F.when(a <= b, count).otherwise(0).cast("bigint")
+
+
+WEEKDAYS = ("Thursday", "Friday", "Saturday", "Sunday", "Monday", "Tuesday", "Wednesday")
 
 
 def change(current: Column, previous: Column) -> tuple[Column, Column]:

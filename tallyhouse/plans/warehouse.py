@@ -44,6 +44,7 @@ class Warehouse:
         self._views: dict[str, DataFrame] = {}
         self._settled: set[str] = set()
         self._counts: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {}
         self._locks: dict[str, Lock] = {}
         #: Rows of command_center_module_checks; a refresh fills them from its results.
         self.module_checks: DataFrame | None = None
@@ -102,8 +103,18 @@ class Warehouse:
                 self._settled.add(name)
         return self._views[name]
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that is no view but that several views read, stored once."""
+        with self._locks.setdefault(f"frame {name}", Lock()):
+            if name not in self._frames:
+                with counting(False):
+                    self._frames[name] = pin(build())
+        return self._frames[name]
+
     def forget(self, *names: str) -> None:
         """Build these views anew when they are read next (all views if none is named)."""
+        if not names:
+            self._frames.clear()
         for name in names or list(self._views):
             self._views.pop(name, None)
             self._counts.pop(name, None)

@@ -106,7 +106,7 @@ FROM (
   SELECT user_id, CAST(ts AS DATE) AS attendance_date, count(*) AS punches,
     min(CASE WHEN event_type IN ('view', 'click', 'signup') THEN ts END) AS check_in,
     max(CASE WHEN event_type IN ('click', 'signup', 'purchase') THEN ts END) AS check_out
-  FROM {events} GROUP BY user_id, CAST(ts AS DATE)
+  FROM (SELECT user_id, event_type, ts - INTERVAL '31' DAY * (user_id % 4) AS ts FROM {events}) shifted GROUP BY user_id, CAST(ts AS DATE)
 ) days
 """
 
@@ -145,7 +145,7 @@ FROM {{customer}} c JOIN (
 
 SQL["employee_relations"] = f"""
 SELECT 'C' || CAST(floor(o.o_orderkey / 2) AS BIGINT) AS case_id, 'E' || (o.o_custkey + o.o_orderkey % 3 * 100) AS employee_id,
-  CASE o.o_custkey % 6 WHEN 0 THEN 'Grievance' WHEN 1 THEN 'Labor Case' WHEN 2 THEN 'Disciplinary' WHEN 3 THEN 'Disciplinary' WHEN 4 THEN 'Other' END AS case_type,
+  CASE (o.o_custkey + CAST(substr(o.o_orderpriority, 1, 1) AS INT) - 1) % 6 WHEN 0 THEN 'Grievance' WHEN 1 THEN 'Labor Case' WHEN 2 THEN 'Disciplinary' WHEN 3 THEN 'Disciplinary' WHEN 4 THEN 'Other' END AS case_type,
   CASE o.o_orderstatus WHEN 'O' THEN 'Open' WHEN 'P' THEN CASE WHEN o.o_custkey % 2 = 0 THEN 'In Progress' ELSE 'Pending' END ELSE 'Closed' END AS case_status,
   CASE o.o_orderkey % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' END AS priority,
   {_back('o.o_orderkey % 120')} AS created_date,
@@ -156,7 +156,7 @@ SELECT 'C' || CAST(floor(o.o_orderkey / 2) AS BIGINT) AS case_id, 'E' || (o.o_cu
   CASE WHEN o.o_custkey % 4 = 1 THEN 'Reason ' || o.o_orderpriority WHEN o.o_custkey % 4 = 2 THEN ' ' END AS escalation_reason,
   CASE WHEN o.o_orderkey % 5 <> 0 THEN 'Ref ' || o.o_orderkey END AS legal_reference,
   'N' || o.o_orderkey AS case_number, 'Case of ' || o.o_orderpriority AS description
-FROM {{orders}} o WHERE o.o_orderpriority = '1-URGENT'
+FROM {{orders}} o
 """
 
 SQL["recruitment_requisitions"] = f"""
@@ -190,24 +190,25 @@ SQL["interviews"] = f"""
 SELECT 'I' || l.l_orderkey || '-' || l.l_linenumber AS interview_id, 'K' || l.l_orderkey AS candidate_id,
   CASE WHEN l.l_quantity = 50 THEN NULL ELSE CAST({_back('l.l_partkey % 70 - 2')} AS {{ntz}}) + INTERVAL '23' HOUR END AS interview_date,
   CASE WHEN l.l_quantity = 49 THEN '' WHEN l.l_quantity = 48 THEN NULL ELSE 'E' || l.l_suppkey END AS recruiter_id,
-  CAST(l.l_linenumber AS BIGINT) AS rating, l.l_linestatus AS outcome
-FROM {{lineitem}} l WHERE l.l_returnflag = 'N'
+  CAST(l.l_linenumber AS BIGINT) AS rating, CASE l.l_returnflag WHEN 'N' THEN l.l_linestatus ELSE l.l_returnflag || l.l_linestatus END AS outcome
+FROM {{lineitem}} l
 """
 
 SQL["offers"] = f"""
 SELECT 'O' || o.o_orderkey AS offer_id, 'K' || o.o_orderkey AS candidate_id, {_back('(o.o_custkey + o.o_orderkey) % 70 - 2')} AS offer_date,
   CASE WHEN o.o_custkey % 37 = 0 THEN NULL WHEN o.o_custkey % 37 = 1 THEN 0 ELSE o.o_totalprice END AS salary,
   CASE WHEN o.o_orderstatus = 'F' THEN 'Accepted' WHEN o.o_orderstatus = 'O' THEN 'Pending'
-       WHEN o.o_orderpriority = '2-HIGH' THEN 'Declined' ELSE 'Rejected' END AS outcome_status,
+       WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Declined' WHEN o.o_orderpriority = '5-LOW' THEN 'Expired' ELSE 'Rejected' END AS outcome_status,
   {_back('(o.o_custkey + o.o_orderkey) % 70 - 6')} AS outcome_date
-FROM {{orders}} o WHERE o.o_orderpriority IN ('2-HIGH', '3-MEDIUM')
+FROM {{orders}} o
 """
 
 SQL["onboarding"] = f"""
 SELECT 'B' || o.o_orderkey AS onboarding_id, 'K' || o.o_orderkey AS candidate_id, {_back('(o.o_custkey + o.o_orderkey) % 70 - 9')} AS start_date,
-  CASE WHEN o.o_custkey % 3 = 0 THEN 'Completed' WHEN o.o_custkey % 3 = 1 THEN 'In Progress' ELSE 'Not Started' END AS status,
+  CASE WHEN o.o_orderstatus = 'P' THEN 'Cancelled' WHEN o.o_custkey % 3 = 0 THEN 'Completed'
+       WHEN o.o_custkey % 3 = 1 OR o.o_orderpriority = '1-URGENT' THEN 'In Progress' ELSE 'Not Started' END AS status,
   CASE WHEN o.o_custkey % 11 = 0 THEN NULL WHEN o.o_custkey % 11 = 1 THEN 'U' || o.o_custkey ELSE 'E' || o.o_custkey END AS employee_id
-FROM {{orders}} o WHERE o.o_orderstatus = 'F' AND o.o_orderpriority = '3-MEDIUM'
+FROM {{orders}} o
 """
 
 SQL["workforce_plan"] = """
