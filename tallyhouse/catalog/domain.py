@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from tallyhouse.catalog.registry import Catalog, Trade
 from tallyhouse.functions import floor_zero, minute_boundaries, money_text, overlaps, percent, ratio, say, tally, total
 from tallyhouse.functions.columns import expiry_bucket
-from tallyhouse.operators import privacy, quality, rules
+from tallyhouse.operators import names, privacy, quality, rules
 from tallyhouse.operators import relational as rel
+from tallyhouse.operators import retention, suppression
 from tallyhouse.operators import temporal as tm
 from tallyhouse.operators.kpi import NEUTRAL, Kpi, Status, above, at_least, kpi_list
 from tallyhouse.operators.reconcile import checks_of, presence_status
 from tallyhouse.plans.command_center import health
-from tallyhouse.streaming.audit import audit_records
+from tallyhouse.session import scratch_dir
+from tallyhouse.streaming.audit import AUDIT_SCHEMA, append_stream, audit_records
 
 catalog = Catalog()
 query = catalog.query
@@ -631,6 +633,44 @@ def g6_text(t: Trade) -> DataFrame:
     return t.documents.select("doc_id", F.md5(privacy.redact_entities("text")).alias("digest"))
 
 
+@query(
+    "g6_person_redaction",
+    r"""WITH people AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'Khalid Al-Harbi ' || c_custkey WHEN 1 THEN 'sara al-noor' ELSE 'Omar ' || c_name || ' Bin Said' END AS name FROM customer),
+words AS (SELECT DISTINCT regexp_extract_all(name, '\p{L}[\p{L}\p{M}\p{N}_#]*') AS w FROM people),
+grams AS (SELECT DISTINCT lower(array_to_string(w[i:i + n - 1], ' ')) AS gram FROM words, (VALUES (1), (2), (3)) t(n), unnest(range(1, len(w) - n + 2)) u(i)),
+known AS (SELECT gram FROM grams WHERE contains(gram, ' ') OR length(gram) >= 3),
+texts AS (SELECT doc_id, regexp_replace(regexp_replace(text || CASE doc_id % 5 WHEN 0 THEN ' Disputed 500 SAR with manager Khalid.' WHEN 1 THEN ' Told by Sara Al-Noor, khalid and Al.'
+    WHEN 2 THEN ' Omar Customer#' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ' Bin Said''s case, a@b.com' WHEN 3 THEN ' Khalid Al Harbi Omar' ELSE ' no one' END,
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\d[\d,]*(\.\d+)? ?SAR', '[MONEY]', 'g') AS text FROM documents),
+cut AS (SELECT doc_id, regexp_extract_all(text, '\p{L}[\p{L}\p{M}\p{N}_#]*|[^\p{L}]+') AS ts FROM texts),
+tok AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM cut),
+near AS (SELECT *, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(t, 3) OVER w AS t3, lead(t, 4) OVER w AS t4 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+cand AS (SELECT doc_id, p, p AS z, lower(t) AS g FROM near WHERE regexp_matches(t, '^\p{Lu}')
+  UNION ALL SELECT doc_id, p, p + 2, lower(t || ' ' || t2) FROM near WHERE regexp_matches(t, '^\p{Lu}') AND t2 IS NOT NULL AND regexp_matches(t1, '^[ \t\n''’-]{1,3}$')
+  UNION ALL SELECT doc_id, p, p + 4, lower(t || ' ' || t2 || ' ' || t4) FROM near WHERE regexp_matches(t, '^\p{Lu}') AND t4 IS NOT NULL AND regexp_matches(t1, '^[ \t\n''’-]{1,3}$') AND regexp_matches(t3, '^[ \t\n''’-]{1,3}$')),
+hit AS (SELECT DISTINCT doc_id, p, z FROM cand WHERE g IN (SELECT gram FROM known)),
+covered AS (SELECT t.doc_id, t.p, t.t, bool_or(h.p IS NOT NULL) AS gone, bool_or(h.p < t.p) AS inside FROM tok t LEFT JOIN hit h ON h.doc_id = t.doc_id AND t.p BETWEEN h.p AND h.z GROUP BY ALL),
+shown AS (SELECT doc_id, p, CASE WHEN NOT gone THEN t WHEN coalesce(inside, FALSE) THEN '' ELSE '[PERSON]' END AS t FROM covered)
+SELECT doc_id, md5(string_agg(t, '' ORDER BY p)) AS digest, CAST(count(*) FILTER (t = '[PERSON]') AS INT) AS people FROM shown GROUP BY doc_id""",
+)
+def g6_people(t: Trade) -> DataFrame:
+    """Narratives with names of the master in whole, in part, in other case and in passing."""
+    kind = F.col("c_custkey") % 3
+    name = F.when(kind == 0, F.concat(F.lit("Khalid Al-Harbi "), "c_custkey")).when(kind == 1, "sara al-noor").otherwise(F.concat(F.lit("Omar "), "c_name", F.lit(" Bin Said")))
+    case = F.col("doc_id") % 5
+    told = (
+        F.when(case == 0, " Disputed 500 SAR with manager Khalid.")
+        .when(case == 1, " Told by Sara Al-Noor, khalid and Al.")
+        .when(case == 2, F.concat(F.lit(" Omar Customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" Bin Said's case, a@b.com")))
+        .when(case == 3, " Khalid Al Harbi Omar")
+        .otherwise(" no one")
+    )
+    texts = t.documents.select("doc_id", privacy.redact_entities(F.concat("text", told)).alias("text"))
+    people = t.customer.select(name.alias("name"))
+    found = names.redact_people(texts, "text", people, "name")
+    return found.select("doc_id", F.md5("text").alias("digest"), F.regexp_count("text", F.lit(r"\[PERSON\]")).alias("people"))
+
+
 @query(
     "g6_opaque_tokens",
     """WITH old AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_acctbal < 0), fresh AS (SELECT c_custkey, (SELECT max(n) FROM old) + row_number() OVER (ORDER BY c_custkey) AS n
@@ -683,6 +723,24 @@ def g8(t: Trade) -> DataFrame:
     return privacy.aggregate_only(rows, ["c_nationkey", "c_mktsegment", "debtor"], total("c_acctbal"), "balance")
 
 
+@query(
+    "g8_two_way_table",
+    """WITH rows AS (SELECT 'N' || c_nationkey AS nation, c_mktsegment || CASE WHEN c_acctbal < 0 THEN ' debtor' ELSE '' END AS segment, c_acctbal FROM customer WHERE c_nationkey <> 3 OR c_mktsegment = 'BUILDING'),
+cells AS (SELECT coalesce('=' || nation, 'all') AS r, coalesce('=' || segment, 'all') AS c, nation, segment, count(*) AS n, round(sum(c_acctbal), 2) AS v FROM rows GROUP BY CUBE (nation, segment)),
+best AS (SELECT p.r, p.c, a.c AS c2, b.r AS r2, row_number() OVER (PARTITION BY p.r, p.c ORDER BY (a.c = 'all')::INT + (b.r = 'all')::INT, a.n + b.n + d.n, a.c, b.r) AS k
+  FROM cells p JOIN cells a ON a.r = p.r AND a.c <> p.c JOIN cells b ON b.c = p.c AND b.r <> p.r JOIN cells d ON d.r = b.r AND d.c = a.c WHERE p.n < 5),
+hidden AS (SELECT r, c FROM cells WHERE n < 5 UNION SELECT r, c2 FROM best WHERE k = 1 UNION SELECT r2, c FROM best WHERE k = 1 UNION SELECT r2, c2 FROM best WHERE k = 1)
+SELECT nation, segment, cells.r = 'all' AS nation_total, cells.c = 'all' AS segment_total, n AS group_size, CASE WHEN h.r IS NULL THEN v END AS balance,
+  CASE WHEN n < 5 THEN 'small' WHEN h.r IS NOT NULL THEN 'protecting' ELSE 'shown' END AS state FROM cells LEFT JOIN hidden h ON h.r = cells.r AND h.c = cells.c""",
+)
+def g8_table(t: Trade) -> DataFrame:
+    """A table with totals of both ways, in which small groups do not follow from their totals."""
+    segment = F.concat("c_mktsegment", F.when(F.col("c_acctbal") < 0, " debtor").otherwise(""))
+    rows = t.customer.where("c_nationkey <> 3 OR c_mktsegment = 'BUILDING'")
+    rows = rows.select(F.concat(F.lit("N"), "c_nationkey").alias("nation"), segment.alias("segment"), "c_acctbal")
+    return suppression.protected_table(rows, "nation", "segment", total("c_acctbal"), "balance")
+
+
 @query(
     "g8_export_scope",
     """SELECT 'hr_executive' AS role, c_custkey, c_name AS employee_name, c_acctbal AS basic_salary, NULL AS c_nationkey, NULL AS c_mktsegment, NULL AS group_size, NULL AS basic_salary_total FROM customer
@@ -723,6 +781,20 @@ def g10(t: Trade) -> DataFrame:
     return privacy.retention_due(t.events, F.to_date("ts"), 20, F.lit(date(2024, 1, 31)), held, "user_id").select("event_id", "ts")
 
 
+@query(
+    "g10_purge",
+    """SELECT event_id, ts, user_id FROM events WHERE NOT (date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') > 20 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150))""",
+)
+def g10_purge(t: Trade) -> DataFrame:
+    """What a purge leaves of a stored table: held users stay, old days without any are dropped whole."""
+    path = scratch_dir(t.spark, "retained")
+    rows = t.events.select("event_id", "ts", "user_id", F.to_date("ts").alias("day"))
+    rows.repartitionByRange("day", "event_id").write.partitionBy("day").parquet(path)
+    held = t.events.where("event_type = 'error' and value > 150").select("user_id")
+    retention.purge(t.spark, path, "day", 20, date(2024, 1, 31), held, "user_id")
+    return t.spark.read.parquet(path).drop("day")
+
+
 @query(
     "g11_evidence",
     """WITH r AS (SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderstatus = 'P' THEN 'missing field: reference' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'invalid o_orderpriority' END,
@@ -752,3 +824,23 @@ def g12(t: Trade) -> DataFrame:
         t.events, event_id=F.col("event_id"), timestamp=F.col("ts"), user_identifier_placeholder=F.col("user_id"), action_type=action, module=kind,
         decision=F.when(kind == "error", "deny").otherwise("allow"), retention_period=F.lit(365),
     )
+
+
+@query(
+    "g12_audit_stream",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, ts AS timestamp, event_type AS action_type, CASE WHEN event_type = 'purchase' THEN 'Critical' ELSE 'Low' END AS sensitivity_level, CAST(365 AS INT) AS retention_period
+FROM (SELECT event_id, ts, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE 'view' END AS event_type FROM events)""",
+)
+def g12_stream(t: Trade) -> DataFrame:
+    """Access records as a stream in which many events come twice, some in the same and some in a later delivery."""
+    feed, out, state = (scratch_dir(t.spark, p) for p in ("feed", "audit", "state"))
+    kind = F.when(F.col("event_type") == "purchase", "export_event").otherwise("dashboard_view")
+    records = audit_records(t.events, event_id=F.col("event_id"), timestamp=F.col("ts"), action_type=kind, retention_period=F.lit(365))
+    again = records.where("CAST(event_id AS BIGINT) % 3 = 0")
+    records.unionByName(again).write.parquet(feed)
+    arriving = t.spark.readStream.schema(AUDIT_SCHEMA).parquet(feed)
+    append_stream(arriving, out, state).awaitTermination()
+    again.write.mode("append").parquet(feed)
+    append_stream(arriving, out, state).awaitTermination()
+    action = F.when(F.col("action_type") == "export_event", "purchase").otherwise("view")
+    return t.spark.read.schema(AUDIT_SCHEMA).parquet(out).select("event_id", "timestamp", action.alias("action_type"), "sensitivity_level", "retention_period")

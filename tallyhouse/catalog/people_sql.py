@@ -296,8 +296,15 @@ Q["mart_attendance_kpis"] = f"""SELECT CASE WHEN count(*) = 0 THEN 1 ELSE {_CLEA
   {WHOLE('missing_punch_count')} AS missing_punch_count, round(coalesce(sum(overtime_hours) FILTER (overtime_approved), 0), 2) AS overtime_hours,
   (SELECT {MONEY('payroll_ot_cost')} FROM base_attendance_payroll_overtime) AS overtime_cost,
   (SELECT count(*) FROM mart_attendance_exceptions) AS attendance_exception_count FROM base_expected_attendance"""
-Q["mart_attendance_trend"] = """SELECT label AS month, round(attendance_compliance_pct, 4) AS attendance_compliance_pct, absence_days, CAST(late_minutes AS DOUBLE) AS late_minutes,
-  CAST(net_late_minutes AS DOUBLE) AS net_late_minutes, CAST(missing_punch_count AS DOUBLE) AS missing_punch_count, overtime_hours FROM mart_attendance_kpis, att_m"""
+Q["trend_days"] = """SELECT strftime(d, '%Y-%m') AS month, a.calculated_late_minutes, greatest(a.calculated_late_minutes - coalesce(a.excused_late_minutes, 0), 0) AS calculated_net_late_minutes,
+  a.missing_punch_count, a.overtime_hours, a.overtime_approved, CASE WHEN a.employee_id IS NULL THEN 1.0 ELSE coalesce(a.absence_days, 0) END AS absence_days
+FROM (SELECT CAST(unnest(generate_series(f, e, INTERVAL 1 DAY)) AS DATE) AS d FROM att_m, (SELECT CAST(date_trunc('month', min(attendance_date)) AS DATE) AS f FROM clock_rows)) c
+JOIN base_employees_deduplicated m ON m.status = 'Active' AND d >= m.joining_date AND d <= coalesce(m.termination_date, d) AND dayname(d) <> 'Friday'
+LEFT JOIN clock_rows a ON a.employee_id = m.employee_id AND a.attendance_date = d
+WHERE strftime(d, '%Y-%m') IN (SELECT strftime(attendance_date, '%Y-%m') FROM clock_rows)"""
+Q["mart_attendance_trend"] = f"""SELECT month, round({_CLEAN}, 4) AS attendance_compliance_pct, {MONEY('absence_days')} AS absence_days, CAST({WHOLE('calculated_late_minutes')} AS DOUBLE) AS late_minutes,
+  CAST({WHOLE('calculated_net_late_minutes')} AS DOUBLE) AS net_late_minutes, CAST({WHOLE('missing_punch_count')} AS DOUBLE) AS missing_punch_count,
+  round(coalesce(sum(overtime_hours) FILTER (overtime_approved), 0), 2) AS overtime_hours FROM trend_days GROUP BY month"""
 
 
 def _attendance_by(key: str, default: str, net: str) -> str:
@@ -675,14 +682,16 @@ FROM registry r LEFT JOIN staleness f ON f.module_key = r.module_key, pay_m"""
 Q["mart_command_center_data_freshness"] = "SELECT * FROM freshness_rows"
 _COUNTS = """FROM registry r LEFT JOIN (SELECT module_key, count(*) FILTER (severity = 'Critical') AS c, count(*) FILTER (severity = 'Warning') AS w FROM base_command_center_exception_sources GROUP BY 1) x USING (module_key)
 JOIN freshness_rows f USING (module_key)"""
-Q["base_command_center_module_status"] = f"""SELECT r.module_key, r.module_label, route_path, owner_domain, 'Unknown' AS api_health_status, 'Unknown' AS reconciliation_status, FALSE AS required_marts_present,
-  stale_flag, coalesce(c, 0) AS critical_exception_count, coalesce(w, 0) AS warning_exception_count, primary_kpi_count {_COUNTS}"""
-Q["mart_command_center_module_health"] = "SELECT *, 'Critical' AS status FROM base_command_center_module_status"
+Q["base_command_center_module_status"] = f"""SELECT r.module_key, r.module_label, route_path, owner_domain, 'Healthy' AS api_health_status,
+  CASE WHEN k.ok IS NULL THEN 'Unknown' WHEN k.ok THEN 'Passed' ELSE 'Failed' END AS reconciliation_status, TRUE AS required_marts_present,
+  stale_flag, coalesce(c, 0) AS critical_exception_count, coalesce(w, 0) AS warning_exception_count, primary_kpi_count {_COUNTS} LEFT JOIN module_passed k USING (module_key)"""
+Q["mart_command_center_module_health"] = """SELECT *, CASE WHEN api_health_status = 'Unhealthy' OR NOT required_marts_present OR reconciliation_status = 'Failed' OR critical_exception_count > 0 THEN 'Critical'
+  WHEN reconciliation_status = 'Unknown' THEN 'Unknown' WHEN warning_exception_count > 0 OR stale_flag THEN 'Warning' ELSE 'Healthy' END AS status FROM base_command_center_module_status"""
 Q["overview"] = """SELECT (SELECT active_headcount FROM mart_workforce_kpis) AS active_headcount, (SELECT total_payroll_cost FROM mart_payroll_kpis) AS payroll_cost,
   (SELECT attendance_compliance_pct FROM mart_attendance_kpis) AS attendance_compliance_pct, (SELECT saudization_pct FROM mart_compliance_kpis) AS saudization_pct,
   (SELECT total_open_er_cases FROM mart_er_kpis) AS open_er_cases, (SELECT open_requisitions FROM mart_recruitment_kpis) AS open_requisitions,
   (SELECT review_completion_pct FROM mart_talent_kpis) AS review_completion_pct, (SELECT count(*) FROM base_command_center_exception_sources) AS total_active_exceptions,
-  CAST(0 AS BIGINT) AS modules_healthy, (SELECT max(max_source_date) FROM base_command_center_data_freshness) AS latest_source_business_date,
+  (SELECT count(*) FILTER (status = 'Healthy') FROM mart_command_center_module_health) AS modules_healthy, (SELECT max(max_source_date) FROM base_command_center_data_freshness) AS latest_source_business_date,
   (SELECT data_quality_score FROM mart_exec_kpis) AS data_quality_score"""
 Q["command_center_overview_data"] = "SELECT * FROM overview"
 Q["mart_command_center_overview"] = "SELECT * FROM overview"
@@ -728,6 +737,9 @@ def _without(issue: str, expr: str) -> str:
     return v(_C, f"round(coalesce(sum({expr}), 0), 2)", f"employee_id NOT IN (SELECT entity_id FROM mart_payroll_exceptions WHERE issue_type = '{issue}')")
 
 
+# Workdays of active employees from the calendar alone, without the clock records.
+_CALENDAR = """(SELECT count(*) FROM (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS d FROM att_m) c
+  JOIN base_employees_deduplicated m ON m.status = 'Active' AND d BETWEEN m.joining_date AND coalesce(m.termination_date, d) AND dayname(d) <> 'Friday')"""
 CHECKS_SQL: dict[str, list[tuple[str, str, str, float]]] = {
     "workforce": [(f"Distribution total: {c}", _HC, v("mart_workforce_distribution", "sum(headcount)", f"category = '{c}'"), 0) for c, _, _ in _DIMENSIONS]
     + [("Contract expiry bucket total", _HC, v("mart_workforce_contract_expiry", 'expired + "0_30" + "31_60" + "61_90" + "90_plus" + missing_date'), 0)],
@@ -741,7 +753,7 @@ CHECKS_SQL: dict[str, list[tuple[str, str, str, float]]] = {
         ("Payroll exception count", v(_K1, "payroll_exception_count"), v("mart_payroll_exceptions", "count(*)"), 0),
     ],
     "attendance": [
-        ("Expected workdays", v("base_expected_attendance", "count(*)"), v("base_expected_attendance", "count(calendar_date)"), 0),
+        ("Expected workdays", _CALENDAR, v("base_expected_attendance", "count(*)"), 0),
         ("Absence days", v(_K2, "absence_days"), v(_X, "count(*)", "attendance_date IS NULL OR absence_days = 1"), 0.01),
         ("Late minutes", v(_K2, "late_minutes"), v(_R, "sum(calculated_late_minutes)"), 0.01),
         ("Net late minutes", "0", v(_R, "count(*)", "calculated_net_late_minutes <> greatest(calculated_late_minutes - coalesce(excused_late_minutes, 0), 0)"), 0),
@@ -829,6 +841,17 @@ for _domain, _list in CHECKS_SQL.items():
     )
 
 
+Q["module_passed"] = " UNION ALL ".join(
+    f"SELECT '{ {'cases': 'er'}.get(d, d) }' AS module_key, bool_and(coalesce(passed, expected IS NULL AND actual IS NULL)) AS ok FROM checks_{d}"
+    for d in CHECKS_SQL
+    if d != "command_center"
+)
+_HEADCOUNT_FIELDS = "company, department, project, job_title, job_family, grade, manager_id, cost_center, nationality, is_saudi, basic_salary, contract_type, contract_end_date"
+Q["fact_headcount_snapshot"] = f"""SELECT strftime(m, '%Y-%m') AS snapshot_month, employee_id, CASE WHEN termination_date <= last_day(m) THEN 'Terminated' WHEN status = 'Terminated' THEN 'Active' ELSE status END AS status, {_HEADCOUNT_FIELDS}
+FROM (SELECT d.*, CAST(unnest(generate_series(date_trunc('month', joining_date), date_trunc('month', least(e, coalesce(termination_date, e))), INTERVAL 1 MONTH)) AS DATE) AS m
+  FROM base_employees_deduplicated d, pay_m WHERE joining_date IS NOT NULL) x"""
+
+
 def statement(name: str) -> str:
     """The query with everything it refers to as common table expressions in front."""
     ordered: list[str] = []

@@ -90,6 +90,50 @@ class KeyedTable:
         return touched
 
 
+class MonthTable:
+    """A history partitioned by month, of which a late change rewrites only its own months.
+
+    History keeps what was true in each month; only a change that is dated back
+    alters it, from the month it holds from. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, month: str, key: str):
+        self.spark, self.path, self.month, self.key = spark, path, month, key
+
+    def write(self, rows: DataFrame) -> None:
+        """Put the months that occur in ``rows`` in place of the stored ones; a heavy month is cut by key."""
+        ordered = rows.repartitionByRange(self.month, self.key).sortWithinPartitions(self.month, self.key)
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.month).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """The table; months are text, also where they look like numbers."""
+        stored = self.spark.read.parquet(self.path)
+        return stored.withColumn(self.month, F.col(self.month).cast("string"))
+
+    def correct(self, changes: DataFrame, since: str = "from_month") -> list[str]:
+        """Set the non-NULL values of ``changes`` for their key in every stored month from ``since`` on; the rewritten months are returned.
+
+        Of several changes of a key for a month the one with the latest ``since``
+        holds for each value.
+        """
+        changed = [c for c in changes.columns if c not in (self.key, since)]
+        changes = pin(changes.where(F.col(self.key).isNotNull()))
+        table = self.read()
+        joined = table.join(changes.select(self.key, since), self.key).where(F.col(self.month) >= F.col(since))
+        months = sorted(r[0] for r in joined.select(self.month).distinct().collect())  # a value a month
+        if not months:
+            return []
+        rows = table.where(F.col(self.month).isin(months))
+        latest = [F.max_by(F.col(f"_new_{c}"), F.when(F.col(f"_new_{c}").isNotNull(), F.col(since))).alias(f"_new_{c}") for c in changed]
+        named = changes.select(self.key, since, *[F.col(c).alias(f"_new_{c}") for c in changed])
+        # A change is copied to the months it reaches, of which there are few.
+        reached = F.filter(F.array(*[F.lit(m) for m in months]), lambda m: m >= F.col(since))
+        reach = named.withColumn(self.month, F.explode(reached)).groupBy(self.key, self.month).agg(*latest)
+        fresh = rows.join(reach, [self.key, self.month], "left")
+        self.write(pin(fresh.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in table.columns])))
+        return months
+
+
 def write_snapshot(row: DataFrame, path: str) -> None:
     """Replace a one-row snapshot table."""
     row.coalesce(1).write.mode("overwrite").parquet(path)

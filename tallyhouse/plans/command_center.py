@@ -29,11 +29,13 @@ MODULES = (
 
 @view("base_command_center_report_context")
 def report_context(wh: Warehouse) -> DataFrame:
-    month = wh.payroll_month
-    return wh.spark.range(1).select(
-        F.lit(month.label).alias("report_month"),
-        F.lit(str(month.start)).alias("report_month_start"),
-        F.lit(str(month.end)).alias("report_month_end"),
+    """The report month as the payroll source has it now, unless a month is set."""
+    found = wh.table("payroll").agg(F.substring(F.max("payroll_period"), 1, 7).alias("m"))
+    start = F.to_date(F.concat(F.coalesce(F.lit(wh.rules.report_month), "m", F.lit(wh.rules.default_month)), F.lit("-01")))
+    return found.select(
+        F.date_format(start, "yyyy-MM").alias("report_month"),
+        F.date_format(start, "yyyy-MM-dd").alias("report_month_start"),
+        F.date_format(F.last_day(start), "yyyy-MM-dd").alias("report_month_end"),
         F.current_timestamp().alias("last_refresh_timestamp"),
     )
 
@@ -148,7 +150,8 @@ def freshness(wh: Warehouse) -> DataFrame:
 @view("command_center_module_checks")
 def module_checks(wh: Warehouse) -> DataFrame:
     """Check results per module; modules without a result are added as unknown."""
-    existing = wh.module_checks if wh.module_checks is not None else empty(wh.spark, MODULE_CHECK_SCHEMA)
+    held = wh.module_checks() if callable(wh.module_checks) else wh.module_checks
+    existing = held if held is not None else empty(wh.spark, MODULE_CHECK_SCHEMA)
     unknown = wh.view("base_command_center_module_registry").select(
         "module_key",
         F.lit("Unknown").alias("api_health_status"),

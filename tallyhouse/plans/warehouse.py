@@ -46,8 +46,8 @@ class Warehouse:
         self._counts: dict[str, DataFrame] = {}
         self._frames: dict[str, DataFrame] = {}
         self._locks: dict[str, Lock] = {}
-        #: Rows of command_center_module_checks; a refresh fills them from its results.
-        self.module_checks: DataFrame | None = None
+        #: Rows of command_center_module_checks, or what makes them; a refresh fills them from its results.
+        self.module_checks: DataFrame | Callable[[], DataFrame] | None = None
 
     @classmethod
     def over_trade_data(cls, spark: SparkSession, folder: str, rules: Rules | None = None) -> "Warehouse":

@@ -9,9 +9,11 @@ from tallyhouse.functions import is_empty, ratio, tally, total
 from tallyhouse.functions.columns import EXPIRY_BUCKETS, expiry_bucket
 from tallyhouse.operators.relational import count_entities, latest_record, side_by_side, stacked_counts, with_repeat_flag
 from tallyhouse.operators.rules import flag_rows, stack
-from tallyhouse.operators.temporal import as_of_count
+from tallyhouse.operators.tables import MonthTable
+from tallyhouse.operators.temporal import as_of_count, entity_months
 from tallyhouse.plans.texts import WORKFORCE
 from tallyhouse.plans.warehouse import Warehouse, rule_from, view
+from tallyhouse.session import scratch_dir
 
 
 @view("base_active_workforce")
@@ -254,3 +256,28 @@ def workforce_exceptions(wh: Warehouse) -> DataFrame:
             "employee_name",
         ),
     )
+
+
+# Fields of the monthly snapshot behind month, employee and status (fixed values).
+SNAPSHOT_FIELDS = (
+    "company", "department", "project", "job_title", "job_family", "grade", "manager_id", "cost_center", "nationality", "is_saudi", "basic_salary",
+    "contract_type", "contract_end_date",
+)
+
+
+def headcount_months(wh: Warehouse) -> DataFrame:
+    """Every employee in every month from joining to leaving, up to the report month, with the status of that month."""
+    month = wh.payroll_month
+    people = wh.view("base_employees_deduplicated").where("joining_date IS NOT NULL")
+    left = F.col("termination_date")
+    months = entity_months(people, "employee_id", F.col("joining_date"), left, last=month.end)
+    status = F.when(left <= F.last_day("month_start"), "Terminated").when(F.col("status") == "Terminated", "Active").otherwise(F.col("status"))
+    return months.select(F.date_format("month_start", "yyyy-MM").alias("snapshot_month"), "employee_id", status.alias("status"), *SNAPSHOT_FIELDS)
+
+
+@view("fact_headcount_snapshot")
+def headcount_snapshot(wh: Warehouse) -> DataFrame:
+    """The monthly snapshot as a stored table, partitioned by month."""
+    table = MonthTable(wh.spark, scratch_dir(wh.spark, "headcount"), "snapshot_month", "employee_id")
+    table.write(headcount_months(wh))
+    return table.read().select("snapshot_month", "employee_id", "status", *SNAPSHOT_FIELDS)

@@ -38,10 +38,18 @@ def audit_records(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
-def append_stream(records: DataFrame, path: str, checkpoint: str):
-    """Append a stream of audit records to Parquet; each input is written exactly once."""
+def append_stream(records: DataFrame, path: str, checkpoint: str, repeats_within: str = "7 days"):
+    """Append a stream of audit records to Parquet; an event that is delivered again is not repeated.
+
+    Event ids are kept as state for the given time after they arrived, and one
+    that comes again within it is dropped. The clock is that of arrival, not the
+    event's own, so an event that is reported late is not lost. An event without
+    an id cannot be told from others and is always kept.
+    """
+    arrived = records.withColumn("_arrived", F.current_timestamp()).withColumn("_id", F.coalesce("event_id", F.uuid()))
+    once = arrived.withWatermark("_arrived", repeats_within).dropDuplicatesWithinWatermark(["_id"]).drop("_arrived", "_id")
     return (
-        records.writeStream.outputMode("append")
+        once.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

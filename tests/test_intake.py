@@ -78,7 +78,7 @@ def test_view_layer_can_be_published(people):
 
 
 def test_every_view_is_defined():
-    assert len(VIEWS) == 137
+    assert len(VIEWS) == 138
 
 
 def test_reads_name_existing_views(people):
