@@ -8,8 +8,9 @@ items are joined, and every hit is extended to the word windows around it,
 which are then compared word by word with those of the items. Items shorter
 than a window are looked up whole, by hashes of their own length.
 
-Fingerprints lower-case every letter, the comparison A-Z alone: that can only
-add candidates, never lose one. Everything runs on DataFrame functions.
+Fingerprints and comparison fold the same words, A-Z alone: a fold that looks
+at neighbouring letters, as that of a Greek final sigma, would lose hits.
+Everything runs on DataFrame functions.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    found = benchmark.select(words(F.lower("text")).alias("w")).where(F.size("w") > 0)
+    found = benchmark.select(words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
     whole = F.array(F.xxhash64(F.size("w"), F.col("w")))
     marks = F.when(F.size("w") < window, whole).otherwise(fingerprints(F.col("w"), window, gram))
     return found.select(F.explode(marks).alias("mark")).distinct()
@@ -69,7 +70,7 @@ def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, gram: int
 
 def short_lengths(benchmark: DataFrame, window: int = WINDOW) -> list[int]:
     """The word counts below ``window`` that occur among the items: fewer than ``window`` numbers."""
-    n = F.size(words(F.lower("text")))
+    n = F.size(words(ascii_lower(F.col("text"))))
     return sorted(r[0] for r in benchmark.select(n.alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect())
 
 
@@ -83,20 +84,20 @@ def _candidates(lengths: Sequence[int], window: int, gram: int) -> Column:
     """Extend the matching fingerprints of a row to every word window that holds one: at (from 1), n, words."""
     span, matched = window - gram + 1, F.col("matched")
 
-    def windows(lower: Column, exact: Column) -> Column:
+    def windows(exact: Column) -> Column:
         def tried(starts: Column, n: int) -> Column:
             return F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(exact, s, n), " ").alias("words")))
 
         def numbers(n: int) -> Column:
             return _each(F.size(exact) - (n - 1), lambda i: i)
 
-        long = let(gram_hashes(lower, gram), lambda g: tried(F.filter(numbers(window), lambda s: F.arrays_overlap(F.slice(g, s, span), matched)), window))
+        long = let(gram_hashes(exact, gram), lambda g: tried(F.filter(numbers(window), lambda s: F.arrays_overlap(F.slice(g, s, span), matched)), window))
         def whole(n: int) -> Column:
-            return tried(F.filter(numbers(n), lambda s: F.array_contains(matched, F.xxhash64(F.lit(n), F.slice(lower, s, n)))), n)
+            return tried(F.filter(numbers(n), lambda s: F.array_contains(matched, F.xxhash64(F.lit(n), F.slice(exact, s, n)))), n)
 
         return F.concat(long, *[whole(n) for n in lengths])
 
-    return let(words(F.lower("text")), lambda lower: let(words(ascii_lower(F.col("text"))), lambda exact: windows(lower, exact)))
+    return let(words(ascii_lower(F.col("text"))), windows)
 
 
 def _merged(runs: Column) -> Column:
@@ -127,7 +128,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     marks = pin(
         own.select(
             "doc_id", "text_hash",
-            let(words(F.lower("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _marks(w, lengths, window, gram).alias("marks"))).alias("f"),
+            let(words(ascii_lower(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _marks(w, lengths, window, gram).alias("marks"))).alias("f"),
         ).select("doc_id", "text_hash", "f.n_words", "f.marks")
     )
     targets = pin(benchmark_fingerprints(benchmark, window, gram))
