@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.expressions import text_key
+from tallyhouse.llm.ordering import numbered
 from tallyhouse.llm.suffix_array import common_prefix_reaches, suffix_array, words_at
 from tallyhouse.llm.textwords import lots, mixed, powers, utf8
 from tallyhouse.session import pin
@@ -281,15 +283,33 @@ def _pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("doc", "start", "anchor", "bytes").mapInArrow(cut, "anchor long, content long, doc long, start int, bytes binary")
 
 
+def _ranks(documents: DataFrame) -> DataFrame | None:
+    """Numbers for the pairs of doc_id and text, in order, if a doc_id has more than one text; else its own order serves."""
+    keys = documents.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_hash"))
+    several = keys.groupBy("_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a <> b")
+    if several.isEmpty():
+        return None
+    return pin(numbered(keys.distinct(), [F.col("_id").asc_nulls_first(), F.col("_hash")], index="rank"))
+
+
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, with_kept: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans, kept_sha256 and, if asked, kept (binary).
 
     ``spans`` are the maximal removed runs as (start, end) in bytes of UTF-8,
     end exclusive. Matches never cross documents. Null and empty texts, and
-    texts shorter than ``length``, lose nothing. Rows with one doc_id are
-    taken for one document, so equal rows get equal results and do not repeat
-    each other; a null doc_id comes before all others. Other columns are ignored.
+    texts shorter than ``length``, lose nothing. Rows with one doc_id and
+    text are one document, so equal rows get equal results and do not repeat
+    each other; other texts of a doc_id are documents of their own, ordered by
+    a hash of the text. A null doc_id comes before all others. Other columns are
+    ignored.
     """
+    ranks = _ranks(documents)
+    if ranks is not None:
+        own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("hash"))
+        same = own["doc_id"].eqNullSafe(ranks["_id"]) & (own["hash"] == ranks["_hash"])
+        told = pin(own.join(ranks, same).select(F.col("rank").alias("doc_id"), "text"))
+        found = deduplicated(told, length, gram, chunk, with_kept).withColumnRenamed("doc_id", "rank")
+        return found.join(ranks.select("rank", F.col("_id").alias("doc_id")), "rank").select("doc_id", *[c for c in found.columns if c != "rank"])
     stretches = repeats(documents, length, gram, chunk).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").join(stretches, "doc", "left")
     shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string" + ", kept binary" * with_kept

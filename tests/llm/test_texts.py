@@ -119,6 +119,13 @@ def removed(rows, length):
     return out
 
 
+def test_greek_endings_are_folded_like_their_windows(llm):
+    docs = llm.createDataFrame([(1, "ΟΔΟΣ.Α " * 5), (2, "nothing")], "doc_id long, text string")
+    items = llm.createDataFrame([(7, "ΟΔΟΣ Α " * 5)], "item_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: 10, 2: 0}
+
+
 @pytest.mark.parametrize("chunk", [16384, 2])
 def test_passages(llm, hard, nothing, chunk):
     rows = {r[0]: r[1] for r in hard_rows()}
@@ -131,6 +138,19 @@ def test_passages(llm, hard, nothing, chunk):
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(llm):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared, twice = word(300), word(300)
+    rows = [(5, word(200) + shared + word(100)), (5, word(900)), (1, word(50) + shared), (None, twice + word(80)), (None, word(90) + twice), (7, word(150)), (7, word(150))]
+    rows.append(rows[2])
+    frame = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicated(frame).collect()}
+    assert got[5, 600][0] == 300 and got[5, 900][0] == 0 and got[1, 350][0] == 0
+    assert sorted(got[None, n][0] for n in (380, 390)) == [0, 300]
+    assert got[5, 900][1] == hashlib.sha256(rows[1][1].encode()).hexdigest()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_passages_of_few_letters(llm, seed):
     rng = random.Random(seed)
