@@ -1,11 +1,11 @@
 """Resharding by minimum-cost flow: new shards of nearly equal bytes, moving as few bytes as can be.
 
-From the sizes of the old shards and the capacities of the new ones, a flow
+From the sizes of the old shards and the capacities of the new ones, one flow
 says how many bytes go from each old shard to each new one; a byte that stays
-costs nothing. Documents in the order of their shard and doc_id are then cut
-into contiguous blocks along the flow. A cut falls between documents, so large
-ones would leave shards uneven: documents above a size are placed by a first
-flow, and the smaller rest by a second one that levels the shards.
+costs nothing. Documents are then cut into contiguous blocks along it, large
+ones before small ones: the large ones of a shard fill its own quota first and
+then those of other shards. A cut falls between documents, so what these blocks
+lack or exceed is levelled by the small documents, again by a cheapest flow.
 
 The driver sees sizes of shards and blocks, never rows. Only shards that gain
 or lose rows are written anew.
@@ -145,7 +145,8 @@ def reshard(documents: DataFrame, old_shard: str, shards: int, overhead: int = O
     ordered = numbered(sized, order, index="_index", running="_size", total="_total")
     stones = [bytes_of[o, 0] for o in old]
     costs = moving_costs(old, shards)
-    first = _routes(min_cost_flow(stones, even(sum(stones), shards), costs), old, base[0])
+    whole = min_cost_flow([bytes_of[o, 0] + bytes_of[o, 1] for o in old], even(total, shards), costs)
+    first = _routes(_filled_first(whole, stones, old), old, base[0])
     placed = _placed(ordered.where("_small = 0"), *first)
     filled = [0] * shards
     for r in placed.groupBy("_shard").agg(F.sum("_size").alias("bytes")).collect():
@@ -167,6 +168,16 @@ def reshard(documents: DataFrame, old_shard: str, shards: int, overhead: int = O
     return out.select(*documents.columns, "_size", "_old", "_shard", (F.col("_index") + F.col("_shift")).alias("_slot")), changed
 
 
+def _filled_first(flow: np.ndarray, amounts: Sequence[int], old: Sequence[int]) -> np.ndarray:
+    """Of each row of the flow the part that ``amounts`` fill, the own shard's before the others'."""
+    part = np.zeros_like(flow)
+    for i, (amount, shard) in enumerate(zip(amounts, old)):
+        for to in sorted(np.flatnonzero(flow[i]), key=lambda t: (t != shard, t)):
+            part[i, to] = min(amount, int(flow[i, to]))
+            amount -= int(part[i, to])
+    return part
+
+
 def _placed(ordered: DataFrame, starts: np.ndarray, shards: np.ndarray) -> DataFrame:
     """Give each row the shard of the block that holds its middle byte; there are no more blocks than shards, old and new."""
     middle = F.col("_total") + F.floor(F.col("_size") / 2)
