@@ -27,15 +27,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashed(documents: DataFrame, min_chars: int, with_chars: bool = False) -> DataFrame:
-    """doc_id, text_hash, pos and 96 bits of hash of every line whose key is long enough; if asked, chars of the key and total of all lines without outer blanks."""
-    all_chars = F.aggregate(lines_of(F.col("text")), F.lit(0).cast("long"), lambda n, line: n + F.char_length(F.btrim(line, F.lit(BLANKS))))
-    total = [all_chars.alias("total")] if with_chars else []
-    lines = documents.select("doc_id", text_key(F.col("text")).alias("text_hash"), *total, F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    kept = ["doc_id", "text_hash", "pos", *["total"] * with_chars]
-    keyed = lines.select(*kept, ascii_lower(F.btrim("line", F.lit(BLANKS))).alias("key")).where(F.char_length("key") >= min_chars)
-    chars = [F.char_length("key").alias("chars")] if with_chars else []
-    return keyed.select(*kept, *chars, F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+def _hashed(documents: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, text_hash, pos and 96 bits of hash of every line whose key is long enough."""
+    lines = documents.select("doc_id", text_key(F.col("text")).alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    keyed = lines.select("doc_id", "text_hash", "pos", ascii_lower(F.btrim("line", F.lit(BLANKS))).alias("key")).where(F.char_length("key") >= min_chars)
+    return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
 
 
 def frequent_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -47,10 +43,8 @@ def frequent_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: in
 
 
 def _spared(dropped: DataFrame) -> DataFrame:
-    """Of the documents that would lose half of their text or more, the first occurrence of each key by doc_id and position."""
-    lost = F.sum("chars").over(Window.partitionBy("doc_id", "text_hash"))
-    copies = dropped.withColumn("lost", lost).where("2 * lost >= total")
-    return copies.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("f")).select("f.*")
+    """The first occurrence of each key by doc_id (null first) and position."""
+    return dropped.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("f")).select("f.*")
 
 
 def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, spare_copies: bool = False) -> DataFrame:
@@ -60,13 +54,12 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     line 64 w + i stays; words that are missing keep all their lines.
     Documents with equal doc_id and text share a row. A null doc_id is a
     document like any other; a null text has one empty line and keeps it.
-    With ``spare_copies`` documents that frequent lines make up to half or more
-    are taken for copies of each other: the first of them keeps the line.
+    With ``spare_copies`` the first occurrence of each key stays where it is.
     """
     frequent = pin(frequent_keys(documents, min_chars, min_docs).select("h", "g"))
     bit, word = F.expr("shiftleft(1L, pos % 64)"), F.expr("CAST(pos DIV 64 AS INT)").alias("word")
     if spare_copies:
-        dropped = pin(_hashed(documents, min_chars, with_chars=True).join(frequent, ["h", "g"]).dropDuplicates(["doc_id", "text_hash", "pos"]))
+        dropped = pin(_hashed(documents, min_chars).join(frequent, ["h", "g"]).dropDuplicates(["doc_id", "text_hash", "pos"]))
         marked = dropped.select("doc_id", "text_hash", word, bit.alias("hit"), F.lit(0).cast("long").alias("stays"))
         marked = marked.unionByName(_spared(dropped).select("doc_id", "text_hash", word, F.lit(0).cast("long").alias("hit"), bit.alias("stays")))
         words = marked.groupBy("doc_id", "text_hash", "word").agg(F.bit_or("hit").bitwiseAND(F.bitwise_not(F.bit_or("stays"))).alias("gone")).where("gone <> 0")
