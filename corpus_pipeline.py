@@ -34,15 +34,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in ten documents or more; a document may become empty but stays. n_chars follows the text.
+    """Keep the first occurrence of each line that is found in ten documents or more. n_chars follows the text.
 
-    Of documents that would lose half of their text or more, which are mostly
-    copies, the first keeps the line, so that no group loses its text whole.
+    Documents that lose all their text leave: all of it stands in others.
     """
     prepared(spark)
     found = line_dedup.with_bitmaps(docs, spare_copies=True).withColumn("text", F.when(F.col("text").isNotNull(), line_dedup.kept_text(F.col("text"), F.col("keep_words"))))
     length = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", length).select(docs.columns)
+    emptied = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(line_dedup.BLANKS)) == "")
+    return found.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of ten words of a benchmark item."""
+    """Drop documents that hold a window of ten words of a benchmark item.
+
+    Null and empty texts hold none and stay, repeated rows go or stay together,
+    and without documents or items nothing goes.
+    """
     prepared(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
     hit = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
@@ -69,16 +73,39 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents in sequences of at most 4096 tokens."""
+    """Token pieces of the documents in sequences of at most 4096 tokens.
+
+    Null and empty texts are one piece of the end id, repeated rows are pieces
+    of their own, and without documents there is none. The ids of a piece are
+    those from ``start`` on, ``length`` of them, of its document's text.
+    """
     prepared(spark)
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+def apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage over the columns of ``documents``; others travel in one struct, so that their names cannot meet the stage's own."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in DOCUMENTS]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*DOCUMENTS, F.struct(*more).alias("_carried")), sf_dir)
+        if "_carried" not in out.columns:
+            return out
+        return out.select(*[F.col(c) if c in DOCUMENTS else F.col("_carried")[c].alias(c) for c in docs.columns])
+
+    return run_stage
+
 
+#: Columns of the table; a stage but the last returns them, and others that came along.
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("line_dedup", drop_lines),
-    ("ngram_jaccard", one_of_each),
-    ("decontaminate", drop_contaminated),
+    ("language_id", apart(language_id)),
+    ("line_dedup", apart(drop_lines)),
+    ("ngram_jaccard", apart(one_of_each)),
+    ("decontaminate", apart(drop_contaminated)),
     ("best_two_fit", pack),
 ]
 
