@@ -285,6 +285,9 @@ def _pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _ranks(documents: DataFrame) -> DataFrame | None:
     """Numbers for the pairs of doc_id and text, in order, if a doc_id has more than one text; else its own order serves."""
+    ids = documents.select(F.col("doc_id").cast("long").alias("_id"))
+    if ids.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # reads no text
+        return None
     keys = documents.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_hash"))
     several = keys.groupBy("_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a <> b")
     if several.isEmpty():
