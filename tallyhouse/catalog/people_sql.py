@@ -167,8 +167,7 @@ Q["mart_workforce_exceptions"] = issues(texts.WORKFORCE, [
 _M = "base_employees_deduplicated m USING (employee_id)"
 _UNKNOWN = "coalesce(m.employee_name, 'Unknown')"
 Q["data_quality"] = issues(texts.VALIDATION, [
-    ("Duplicate Employee ID", "(SELECT employee_id, count(*) AS copies, array_to_string(list_sort(list(DISTINCT employee_name)), ', ') AS names FROM employees GROUP BY 1)",
-     "copies > 1", _ID, "names"),
+    ("Duplicate Employee ID", "(SELECT DISTINCT employee_id, employee_name, count(*) OVER (PARTITION BY employee_id) AS copies FROM employees)", "copies > 1", _ID, _NM),
     ("Missing Manager", _E, f"status = 'Active' AND {EMPTY('manager_id')}", _ID, _NM),
     ("Missing Project", _E, f"status = 'Active' AND {EMPTY('project')}", _ID, _NM),
     ("Missing Nationality", _E, EMPTY("nationality"), _ID, _NM),
@@ -661,11 +660,10 @@ Q["mart_command_center_exception_summary"] = f"""SELECT module_key, module_label
 FROM base_command_center_exception_sources GROUP BY 1, 2, 3, 4"""
 Q["mart_command_center_priority_alerts"] = f"""SELECT module_key || '_' || issue_type AS alert_id, module_key, module_label, severity, issue_type, count(*) AS issue_count, {_SUMMARY},
   max(source_mart) AS source_mart, max(route_path) AS route_path FROM base_command_center_exception_sources GROUP BY 2, 3, 4, 5"""
-Q["mart_command_center_filter_options"] = "SELECT label AS report_month, " + ", ".join(
-    f"(SELECT list_sort(list(DISTINCT {c})) FROM employees WHERE {c} IS NOT NULL) AS {a}"
-    for c, a in (("company", "companies"), ("project", "projects"), ("department", "departments"), ("cost_center", "cost_centers"))
-) + ", CAST([] AS VARCHAR[]) AS locations, (SELECT list_sort(list(DISTINCT nationality)) FROM employees WHERE nationality IS NOT NULL) AS nationalities, " \
-    "['attendance', 'compliance', 'data-quality', 'er', 'executive', 'payroll', 'recruitment', 'talent', 'workforce'] AS modules FROM pay_m"
+Q["mart_command_center_filter_options"] = "SELECT label AS report_month, filter, value FROM pay_m, (" + " UNION ALL ".join(
+    [f"SELECT DISTINCT '{f}' AS filter, {c} AS value FROM employees WHERE {c} IS NOT NULL"
+     for c, f in (("company", "companies"), ("project", "projects"), ("department", "departments"), ("cost_center", "cost_centers"), ("nationality", "nationalities"))]
+    + ["SELECT 'modules', module_key FROM registry"]) + ")"
 _MODULES = (("executive", "Executive Summary", "Executive", 8), ("data-quality", "Data Quality", "Data Quality", 7), ("workforce", "Workforce", "Workforce", 5),
             ("payroll", "Payroll & Cost", "Payroll", 5), ("attendance", "Attendance", "Attendance", 5), ("compliance", "Saudization & Compliance", "Compliance", 6),
             ("er", "Employee Relations", "Employee Relations", 6), ("recruitment", "Recruitment & Hiring", "Recruitment", 7), ("talent", "Talent & Succession", "Talent", 11))

@@ -595,10 +595,11 @@ def a10(t: Trade) -> DataFrame:
 
 @query(
     "a11_distinct_arrays",
-    """SELECT (SELECT list_sort(list(DISTINCT o_orderstatus)) FROM orders) AS o_orderstatus, (SELECT list_sort(list(DISTINCT o_orderpriority)) FROM orders) AS o_orderpriority""",
+    "SELECT DISTINCT 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT DISTINCT 'o_orderdate', strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') FROM orders",
 )
 def a11(t: Trade) -> DataFrame:
-    return rel.distinct_values(t.orders, ["o_orderstatus", "o_orderpriority"])
+    """Distinct values as rows, so that their number has no bound."""
+    return rel.distinct_values(t.orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")), ["o_orderstatus", "o_orderpriority", "o_orderdate"])
 
 
 # ------------------------------------------------------------ windows, order, sets

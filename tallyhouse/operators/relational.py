@@ -127,16 +127,12 @@ def browse(df: DataFrame, columns: Sequence[str], needle: str, order: Sequence[C
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sorted distinct non-NULL values of each column as arrays, in one row.
+    """The distinct non-NULL values of each column as rows of ``field`` and ``value``.
 
-    Duplicates are removed by a grouped aggregate first, so only the distinct
-    values reach the final collect.
+    One pass over the table, one row for each value; nothing is gathered in one place.
     """
-    entries = [F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]
-    values = df.select(F.inline(F.array(*entries))).where("v is not null").distinct()
-    return values.agg(
-        *[F.array_sort(F.collect_set(F.when(F.col("k") == c, F.col("v")))).alias(c) for c in columns]
-    )
+    entries = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*entries))).where("value IS NOT NULL").distinct()
 
 
 def count_entities(df: DataFrame, key: str, **conditions: Column) -> DataFrame:

@@ -282,16 +282,15 @@ def priority_alerts(wh: Warehouse) -> DataFrame:
     )
 
 
+# Name of a filter and the employee column with its values (fixed values).
+FILTERS = {"company": "companies", "project": "projects", "department": "departments", "cost_center": "cost_centers", "nationality": "nationalities"}
+
+
 @view("mart_command_center_filter_options")
 def filter_options(wh: Warehouse) -> DataFrame:
-    values = distinct_values(wh.table("employees"), ["company", "project", "department", "cost_center", "nationality"])
-    return values.select(
-        F.lit(wh.payroll_month.label).alias("report_month"),
-        F.col("company").alias("companies"),
-        F.col("project").alias("projects"),
-        F.col("department").alias("departments"),
-        F.col("cost_center").alias("cost_centers"),
-        F.array().cast("array<string>").alias("locations"),
-        F.col("nationality").alias("nationalities"),
-        F.array(*[F.lit(m[0]) for m in sorted(MODULES)]).alias("modules"),
-    )
+    """What can be chosen, a row for each filter and value."""
+    found = distinct_values(wh.table("employees"), list(FILTERS))
+    named = F.create_map(*[F.lit(x) for pair in FILTERS.items() for x in pair])
+    values = found.select(F.element_at(named, F.col("field")).alias("filter"), "value")
+    modules = wh.view("base_command_center_module_registry").select(F.lit("modules").alias("filter"), F.col("module_key").alias("value"))
+    return values.unionByName(modules).select(F.lit(wh.payroll_month.label).alias("report_month"), "filter", "value")

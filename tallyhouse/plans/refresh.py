@@ -66,16 +66,20 @@ def module_check_rows(wh: Warehouse, checks: DataFrame) -> DataFrame:
 def refresh(spark: SparkSession, csv_root: str, lake_root: str, rules: Rules | None = None, strict: bool = True) -> Warehouse:
     """Load every delivered file ``{csv_root}/{table}.csv`` and rebuild all results under ``lake_root``.
 
-    Writes bronze and silver tables, the issue table (``gold/data_quality``),
+    Only new and changed files are read. Writes bronze and silver tables, the
+    totals counted meanwhile (``gold/control_totals``), the issue table (``gold/data_quality``),
     the check results (``gold/checks``) and the module checks
     (``gold/module_checks``), and publishes the views. Missing core tables stop
     the refresh; failed checks do so at the end if ``strict``, after everything
     is written.
     """
     bronze, silver, gold = (f"{lake_root}/{layer}" for layer in ("bronze", "silver", "gold"))
+    totals = []
     for name in SCHEMAS:
         if intake.exists(spark, f"{csv_root}/{name}.csv"):
-            intake.refresh_table(spark, name, f"{csv_root}/{name}.csv", bronze, silver)
+            totals += intake.refresh_table(spark, name, f"{csv_root}/{name}.csv", bronze, silver)
+    if totals:
+        spark.createDataFrame(totals, intake.TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{gold}/control_totals")
     wh = Warehouse(spark, intake.load_tables(spark, silver, production=True), rules)
     intake.write_issues(wh.settle("data_quality"), f"{gold}/data_quality")
     checks = check_results(wh)

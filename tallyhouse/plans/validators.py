@@ -20,22 +20,17 @@ def data_quality(wh: Warehouse) -> DataFrame:
 
     employees = wh.table("employees")
     active = F.col("status") == "Active"
-    # Copies under one name are counted before the names are gathered, so a large
-    # group of copies reaches the last step as one row per distinct name.
-    repeated = (
-        employees.groupBy("employee_id", "employee_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("employee_id")
-        .agg(F.sum("n").alias("copies"), F.array_join(F.array_sort(F.collect_list("employee_name")), ", ").alias("names"))
-        .where("copies > 1")
-    )
+    # A row for each name that a repeated id goes by; names are never gathered, however many there are.
+    by_name = employees.groupBy("employee_id", "employee_name").agg(F.count(F.lit(1)).alias("n"))
+    copies = by_name.groupBy(F.col("employee_id").alias("_id")).agg(F.sum("n").alias("copies")).where("copies > 1")
+    repeated = by_name.join(copies, F.col("employee_id").eqNullSafe(F.col("_id")))
     master = wh.view("base_employees_deduplicated").select("employee_id", "employee_name", "status")
     payroll = wh.table("payroll").select("employee_id", "payroll_period", "gross_pay", "net_pay", "basic_salary")
     punches = wh.table("attendance").where("missing_punch_count > 0").select("employee_id", "attendance_date")
     late = wh.table("hr_requests").where("sla_breached").select("employee_id", "request_id", "request_type", "actual_hours", "sla_hours")
     known = F.coalesce("employee_name", F.lit("Unknown"))
     return stack(
-        flag_rows(repeated, [rule("Duplicate Employee ID", F.lit(True))], "employee_id", "names"),
+        flag_rows(repeated, [rule("Duplicate Employee ID", F.lit(True))], "employee_id", "employee_name"),
         flag_rows(
             employees,
             [

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,11 +18,11 @@ class IntakeError(RuntimeError):
     """A source a production refresh needs is missing or empty."""
 
 
-BAD_LINE = "_bad_line"
+BAD_LINE, FILE = "_bad_line", "_file"
 
 
-def _lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Declared columns bound by the names in the header, and the text of lines that do not fit it."""
+def _lines(spark: SparkSession, path: str | list[str], ddl: str, with_file: bool = False) -> DataFrame:
+    """Declared columns bound by the names in the header, and the text of lines that do not fit it; if asked, the file's name."""
     declared = StructType.fromDDL(ddl)
     reader = spark.read.option("header", True).option("nullValue", "")
     found = reader.csv(path).columns  # reads the first line alone
@@ -34,7 +34,8 @@ def _lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
     # A line is told bad by parsing its fields, so they have to be read; nothing of them is added.
     fields = F.substring(F.concat_ws("", *[F.col(c).cast("string") for c in declared.names]), 1, 0)
-    return reader.csv(path).select(*declared.names, F.concat(BAD_LINE, fields).alias(BAD_LINE))
+    file = [F.col("_metadata.file_name").alias(FILE)] if with_file else []
+    return reader.csv(path).select(*declared.names, F.concat(BAD_LINE, fields).alias(BAD_LINE), *file)
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -79,17 +80,102 @@ def typed_layer(text: DataFrame, fields: Iterable[tuple[str, str]]) -> DataFrame
     return text.select(*known, *extra)
 
 
-def refresh_table(spark: SparkSession, name: str, csv_path: str, bronze: str, silver: str) -> None:
-    """CSV file to the text layer and on to the typed layer of one people table.
+MANIFEST = "name string, length long, modified long, lines long, content string"
+
+
+def delivered(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Length and time of the files of a source, a file or a folder; one small record a file."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return {f.getPath().getName(): (f.getLen(), f.getModificationTime()) for f in found if f.isFile() and f.getPath().getName()[0] not in "._"}
+
+
+def _known(spark: SparkSession, manifest: str) -> dict[str, tuple]:
+    if not exists(spark, manifest):
+        return {}
+    return {r["name"]: tuple(r)[1:] for r in spark.read.schema(MANIFEST).json(manifest).collect()}
+
+
+def _contents(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, str]]:
+    """Number of lines and a hash of all lines, whatever their order, for each file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("name"), F.xxhash64("value").alias("h"), F.crc32(F.col("value").cast("binary")).alias("c"))
+    sums = lines.groupBy("name").agg(F.count("*").alias("n"), F.bit_xor("h").alias("h"), F.sum("c").alias("c"), F.sum(F.shiftrightunsigned("h", 24)).alias("g"))
+    return {r["name"]: (r["n"], f"{r['h']}:{r['c']}:{r['g']}") for r in sums.collect()}
+
+
+def observed(df: DataFrame, totals: dict[str, Column], write: Callable[[DataFrame], None]) -> dict[str, object]:
+    """Write a frame and return totals of its rows that were counted while they were written: no second scan."""
+    seen = Observation()
+    write(df.observe(seen, *[value.alias(name) for name, value in totals.items()]))
+    return seen.get
+
+
+def control_totals(fields: Iterable[tuple[str, str]], present: Iterable[str], typed: bool) -> dict[str, Column]:
+    """Rows, and for each amount the number and the exact sum of its values, in a text layer as they will be cast or in a typed one."""
+    totals = {"rows": F.count(F.lit(1))}
+    for name, kind in fields:
+        if kind == "double" and name in present:
+            value = (F.col(name) if typed else lenient_cast(F.col(name), kind)).cast("decimal(38,6)")
+            totals |= {f"{name} values": F.count(value), f"{name} sum": F.coalesce(F.sum(value), F.lit(0)).cast("string")}
+    return totals
+
+
+TOTALS = "table_name string, total string, text_layer string, typed_layer string, equal boolean"
+
+
+def refresh_table(spark: SparkSession, name: str, csv_path: str, bronze: str, silver: str) -> list[tuple]:
+    """New and changed CSV files to the text layer and on to the typed layer of one people table.
+
+    ``csv_path`` is a file or a folder of files. A manifest keeps length, time
+    and contents of each file: a file with the same length and time is not
+    opened, one that was only touched is hashed but not parsed again, and the
+    text layer keeps a part for each file, of which only those of new or changed
+    files are rewritten. Parts of files that are gone are removed. If nothing
+    changed, nothing is written and the result is empty.
 
     Lines that do not fit the header go to ``{bronze}/{name}_bad_lines``. Tables
-    read by month are partitioned by it and sorted by employee inside.
+    read by month are partitioned by it and sorted by employee inside. Rows and
+    amounts are added up while both layers are written; the totals are returned
+    as rows of table, total, text layer, typed layer, equal.
     """
+    text_path, manifest = f"{bronze}/{name}.parquet", f"{bronze}/_manifests/{name}"
+    found, known = delivered(spark, csv_path), _known(spark, manifest)
+    root = csv_path if csv_path.rstrip("/").rsplit("/", 1)[-1] not in found else csv_path.rstrip("/").rsplit("/", 1)[0]
+    suspect = sorted(n for n in found if n not in known or known[n][:2] != found[n])
+    gone = sorted(set(known) - set(found))
+    if not suspect and not gone:
+        return []
+    contents = _contents(spark, [f"{root}/{n}" for n in suspect]) if suspect else {}
+    contents = {n: contents.get(n, (0, "")) for n in suspect}
+    changed = [n for n in suspect if n not in known or known[n][2:] != contents[n]]
     ddl = ", ".join(f"{c} string" for c, _ in columns(name))
-    write_text_layer(read_csv(spark, csv_path, ddl), f"{bronze}/{name}.parquet")
-    bad_lines(spark, csv_path, ddl).write.mode("overwrite").text(f"{bronze}/{name}_bad_lines")
-    text = spark.read.parquet(f"{bronze}/{name}.parquet")
-    write_typed(typed_layer(text, columns(name)), name, silver)
+    if changed:
+        lines = _lines(spark, [f"{root}/{n}" for n in changed], ddl, with_file=True)
+        good = as_text(lines.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE))
+        good.write.options(partitionOverwriteMode="dynamic").mode("overwrite").partitionBy(FILE).parquet(text_path)
+        bad = lines.where(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("line"), FILE)
+        bad.write.options(partitionOverwriteMode="dynamic").mode("overwrite").partitionBy(FILE).text(f"{bronze}/{name}_bad_lines")
+    for n in gone:
+        _remove(spark, f"{text_path}/{FILE}={n}")
+        _remove(spark, f"{bronze}/{name}_bad_lines/{FILE}={n}")
+    totals: list[tuple] = []
+    if changed or gone:
+        text = spark.read.parquet(text_path).drop(FILE)
+        typed = typed_layer(text, columns(name))
+        both = {f"text {k}": v for k, v in control_totals(columns(name), text.columns, typed=False).items()}
+        # The text side is counted where rows enter the cast, the typed side where they are written.
+        entering = Observation()
+        counted = typed_layer(text.observe(entering, *[v.alias(k) for k, v in both.items()]), columns(name))
+        written = observed(counted, control_totals(columns(name), typed.columns, typed=True), lambda df: write_typed(df, name, silver))
+        totals = [(name, k, str(entering.get[f"text {k}"]), str(v), str(entering.get[f"text {k}"]) == str(v)) for k, v in written.items()]
+    rows = [(n, *found[n], *(contents[n] if n in contents else known[n][2:])) for n in sorted(found)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(manifest)
+    return totals
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def write_typed(df: DataFrame, name: str, silver: str) -> None:
