@@ -1,15 +1,19 @@
-"""N-gram Jaccard join by MinHash banding, which stands for an LSH forest.
-
-Every text is a set of word shingles with ``TREES`` bands of MinHash values;
-two texts meet if all values of a band are equal. No tries are built: a band
-has the most values, at most ``DEPTH``, with which pairs at the threshold meet
-in some band with at least the target probability, and that number follows
-from threshold, target and ``TREES`` alone. Texts that meet are gathered into
-candidate groups, and every pair of a group is verified on the exact sets, so
-the bands decide only which groups there are.
-
-Texts with equal sets are one class and are verified once. A group too large
-for a task is cut into blocks, and each pair of blocks is a task of its own.
+"""N-gram Jaccard join by a MinHash LSH forest.
+
+Every text is a set of word shingles with a label of ``DEPTH`` MinHash values
+in each of ``TREES`` trees. The labels of all trees are sorted, so that a node
+of a prefix trie is a run of neighbours, and only labels that share a long
+enough prefix with a neighbour go on. The join starts with whole labels and
+shortens the matched prefixes level by level. Each level verifies the pairs
+that came together anew on the exact sets, and from the similarities of all
+links found so far estimates the share of links it has found: a link of
+similarity s is met at depth d in some tree with probability
+1 - (1 - s^d)^trees. It stops at the target, and at the latest where even links
+at the very threshold are met with the target probability.
+
+Texts with equal sets are one class and are verified once. Texts that meet are
+dealt in groups; a group too large for a task is cut into blocks, and each pair
+of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -31,54 +35,101 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
 #: Classes and shingles of a block; classes of small groups that share a task.
 BLOCK, BLOCK_SHINGLES, TOGETHER = 512, 1_000_000, 2000
+#: Steps of similarity, from the threshold to 1, in which links are counted.
+STEPS = 20
+#: Up to so many candidates (16 bytes each) are sent to all tasks that look their texts up; beyond, texts and candidates are joined by an exchange.
+SENT = 1_000_000
+
+
+def met(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """The probability with which a pair shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def stop_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with probability ``recall``; at least 1."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and met(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
-def signatures(sets: list[np.ndarray], trees: int, depth: int) -> list[np.ndarray]:
-    """For each set one 64-bit key per tree, of the tree's number and its prefix of ``depth`` MinHash values."""
+def estimated_recall(tally: np.ndarray, threshold: float, depth: int, trees: int = TREES) -> float:
+    """The share of links found at ``depth``, by weighting each found one with the inverse of its probability.
+
+    ``tally`` counts the found links by similarity in equal steps from the
+    threshold to 1; a link has the lower end of its step. One more link at the
+    threshold is assumed, so that nothing found does not pass for all found.
+    """
+    chance = met(threshold + (1 - threshold) * np.arange(len(tally)) / len(tally), depth, trees)
+    return float((tally.sum() + chance[0]) / ((tally / chance).sum() + 1))
+
+
+def labels(sets: list[np.ndarray], trees: int, depth: int) -> list[np.ndarray]:
+    """For each set one label per tree: bytes of the tree's number and ``depth`` MinHash values of 16 bits, most significant first."""
     rng = np.random.default_rng(20)
     shape = (trees * depth, 1)
     odd = rng.integers(0, 1 << 31, shape, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     flip = rng.integers(0, 1 << 32, shape, dtype=np.uint32)
     out = []
     for own in sets:
+        if not len(own):
+            out.append(np.zeros((0, depth + 1), dtype=">u2"))
+            continue
         low = (own >> np.uint64(32)).astype(np.uint32)
         least = np.full(trees * depth, 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, len(low), 2048):
             np.minimum(least, (((low[at : at + 2048] ^ flip) * odd)).min(axis=1), out=least)
-        keys = np.arange(1, trees + 1, dtype=np.uint64)
-        for values in least.reshape(trees, depth).T:
-            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + values)
-        out.append(keys.view(np.int64))
+        values = (mixed(least.astype(np.uint64)) >> np.uint64(48)).reshape(trees, depth)
+        out.append(np.column_stack([np.arange(trees, dtype=np.uint64), values]).astype(">u2"))
     return out
 
 
 def sketches(documents: DataFrame, shingle: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, text_hash, n (shingles), k1 and k2 (of the set), keys (one for each tree; none without shingles)."""
-    shape = "doc_id long, text_hash long, n int, k1 long, k2 long, keys array<long>"
+    """doc_id, text_hash, n (shingles), k1 and k2 (of the set), labels (one for each tree; none without shingles)."""
+    shape = "doc_id long, text_hash long, n int, k1 long, k2 long, labels array<binary>"
+    names = ["doc_id", "text_hash", "n", "k1", "k2", "labels"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*utf8(batch.column(2)), size=shingle)
-            empty = np.zeros(0, dtype=np.int64)
-            keys = [s if len(own) else empty for s, own in zip(signatures(sets, trees, depth), sets)]
-            once = [int(own.sum()) for own in sets]
-            twice = [int(mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum()) for own in sets]
-            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32())]
+            own = labels(sets, trees, depth)
+            ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+            data = pa.py_buffer(b"".join(x.tobytes() for x in own))
+            width = 2 * (depth + 1)
+            flat = pa.Array.from_buffers(pa.binary(), int(ends[-1]), [None, pa.py_buffer(np.arange(ends[-1] + 1, dtype=np.int32) * np.int32(width)), data])
+            once = [int(x.sum()) for x in sets]
+            twice = [int(mixed(x ^ np.uint64(0x5851F42D4C957F2D)).sum()) for x in sets]
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32())]
             columns += [pa.array(np.asarray(x, dtype=np.uint64).view(np.int64)) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k1", "k2", "keys"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")), "text").mapInArrow(sketch, shape)
 
 
-def _linked(sets: list[np.ndarray], threshold: float, sides: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of sets reach the threshold: a boolean matrix, exact. ``sides``: only pairs of unlike sides."""
+def tries(classes: DataFrame, depth: int, least: int) -> DataFrame:
+    """rep, label, shared: the sorted labels that share at least ``least`` values with a neighbour, and how many.
+
+    Equal labels may lie in several tasks. The first and last label of a batch
+    have neighbours out of sight and pass as sharing all.
+    """
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, _ = utf8(batch.column(1))
+            values = text.view(np.uint16).reshape(batch.num_rows, depth + 1)
+            # The number of the tree counts as one value.
+            common = np.logical_and.accumulate(values[1:] == values[:-1], axis=1).sum(axis=1) - 1
+            shared = np.full(batch.num_rows, depth, dtype=np.int32)
+            shared[1:-1] = np.maximum(common[:-1], common[1:])
+            yield batch.append_column("shared", pa.array(shared)).filter(pa.array(shared >= least))
+
+    leaves = classes.select("rep", F.explode("labels").alias("label"))
+    ordered = leaves.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
+    return ordered.mapInArrow(neighbours, "rep long, label binary, shared int")
+
+
+def _linked(sets: list[np.ndarray], threshold: float, *sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sets reach the threshold, a boolean matrix, exact, and their similarities. ``sides``: only pairs unlike in each."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -97,9 +148,9 @@ def _linked(sets: list[np.ndarray], threshold: float, sides: np.ndarray | None =
     union = sizes[:, None] + sizes[None, :] - both
     found = both >= threshold * union - 1e-6
     np.fill_diagonal(found, False)
-    if sides is not None:
-        found &= sides[:, None] != sides[None, :]
-    return found
+    for side in sides:
+        found &= side[:, None] != side[None, :]
+    return found, both / union
 
 
 def _roots(found: np.ndarray) -> np.ndarray:
@@ -126,14 +177,13 @@ def links(documents: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     so are rows without doc_id (class_id null). Rows that repeat a doc_id are
     taken for one document: a repeated row counts as a link of the others.
     """
-    depth = stop_depth(threshold, recall, trees)
-    sketched = pin(sketches(documents, shingle, trees, depth))
+    sketched = pin(sketches(documents, shingle, trees, DEPTH))
     usable = sketched.where("n > 0 AND doc_id IS NOT NULL")
     classes = pin(
-        usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-        .select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "size", "n", "keys")
+        usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+        .select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "size", "n", "labels")
     )
-    verified = pin(_verify(documents, classes, _groups(classes), shingle, threshold))
+    verified, _ = search(documents, classes, shingle, threshold, recall, trees)
     counted = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = classes.join(counted, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
@@ -146,29 +196,65 @@ def links(documents: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _groups(classes: DataFrame) -> DataFrame:
-    """rep and group of the classes that share a tree's prefix with another one."""
-    leaves = classes.select("rep", F.explode("keys").alias("key"))
-    shared = pin(leaves.groupBy("key").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").select("key", "root"))
-    edges = leaves.join(shared, "key").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct()
+def search(documents: DataFrame, classes: DataFrame, shingle: int, threshold: float, recall: float, trees: int) -> tuple[DataFrame, int]:
+    """Verified links (see ``_verify``) between classes of unlike sets, and the depth to which prefixes were shortened."""
+    least = stop_depth(threshold, recall, trees)
+    trie = pin(tries(classes, DEPTH, least))
+    texts = pin(_candidates(documents, classes, trie))
+    before, tally, verified = None, np.zeros(STEPS, dtype=np.int64), None
+    for depth in range(DEPTH, least - 1, -1):
+        groups = pin(_groups(trie, depth))
+        found = pin(_verify(texts, groups, before, shingle, threshold))
+        verified = found if verified is None else verified.unionByName(found)
+        # At most STEPS rows; every pair stands twice in its matrix.
+        for step, n in found.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col")).collect():
+            tally[step] += n // 2
+        if estimated_recall(tally, threshold, depth, trees) >= recall:
+            break
+        before = groups.select("rep", F.col("g").alias("old"))
+    return verified, depth
+
+
+def _candidates(documents: DataFrame, classes: DataFrame, trie: DataFrame) -> DataFrame:
+    """rep, size, n, text of the classes in the tries."""
+    own = documents.select(F.col("doc_id").cast("long").alias("rep"), text_key(F.col("text")).alias("rep_hash"), "text")
+    reps = trie.select("rep").distinct()
+    wanted = pin(classes.select("rep", "rep_hash", "size", "n").join(reps, "rep"))
+    if wanted.count() <= SENT:
+        own = own.join(F.broadcast(wanted.select("rep", "rep_hash")), ["rep", "rep_hash"], "left_semi")
+    return wanted.join(own, ["rep", "rep_hash"]).dropDuplicates(["rep"]).select("rep", "size", "n", "text")
+
+
+def _groups(trie: DataFrame, depth: int) -> DataFrame:
+    """rep and g, the group of the classes that share a prefix of ``depth`` values in some tree with another one."""
+    leaves = trie.where(F.col("shared") >= depth).select("rep", F.substring("label", 1, 2 * (depth + 1)).alias("prefix"))
+    nodes = pin(leaves.groupBy("prefix").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").select("prefix", "root"))
+    edges = leaves.join(nodes, "prefix").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct()
     return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
 
 
-def _verify(documents: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """rep, links (documents of other classes linked in this task), root (smallest rep connected in this task)."""
-    members = pin(groups.join(classes.select("rep", "rep_hash", "size", "n"), "rep"))
-    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("b"))
-    sizes = pin(sizes)
+def _verify(texts: DataFrame, groups: DataFrame, before: DataFrame | None, shingle: int, threshold: float) -> DataFrame:
+    """rep, links (documents of other classes linked in this task), root (smallest rep connected in this task), steps.
+
+    Only pairs that are together in ``groups`` but were not in ``before`` are
+    verified. ``steps`` counts a task's links by similarity, in one row a group.
+    """
+    members = groups.join(texts.select("rep", "size", "n"), "rep")
+    members = members.withColumn("old", F.col("rep")) if before is None else members.join(before, "rep", "left").withColumn("old", F.coalesce("old", "rep"))
+    members = pin(members)
+    sizes = members.groupBy("g").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("b"), F.min("old").alias("a"), F.max("old").alias("z")
+    )
+    sizes = pin(sizes.where("a <> z").select("g", "b"))
     lots = max(1, -(-members.count() // TOGETHER))
     dealt = members.join(sizes, "g").withColumn("x", F.expr("CAST(pmod(xxhash64(rep), b) AS INT)"))
     tasks = dealt.withColumn("y", F.explode(F.expr("sequence(0, b - 1)"))).select(
-        "rep", "rep_hash", "size", "g", "x",
+        "rep", "size", "old", "g", "x",
         F.when(F.col("b") == 1, F.pmod(F.xxhash64("g"), F.lit(lots))).otherwise(F.col("g")).alias("lot"),
         F.when(F.col("b") == 1, F.lit(-1)).otherwise(F.least("x", "y")).alias("i"),
         F.when(F.col("b") == 1, F.lit(-1)).otherwise(F.greatest("x", "y")).alias("j"),
     )
-    own = documents.select(F.col("doc_id").cast("long").alias("rep"), text_key(F.col("text")).alias("rep_hash"), "text")
-    rows = tasks.join(own, ["rep", "rep_hash"])
+    rows = tasks.join(texts.select("rep", "text"), "rep")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")
@@ -176,10 +262,18 @@ def _verify(documents: DataFrame, classes: DataFrame, groups: DataFrame, shingle
         for _, group in rows.groupby("g", sort=False):
             group = group.sort_values("rep")
             sets = shingle_sets(*utf8(pa.array(group["text"], pa.large_string())), size=shingle)
-            found = _linked(sets, threshold, group["x"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else None)
+            sides = [group["old"].to_numpy()]
+            if group["i"].iloc[0] != group["j"].iloc[0]:
+                sides.append(group["x"].to_numpy())
+            found, alike = _linked(sets, threshold, *sides)
             some = np.flatnonzero(found.any(axis=1))
+            if not len(some):
+                continue
             reps = group["rep"].to_numpy()
-            out.append(pd.DataFrame({"rep": reps[some], "links": (found @ group["size"].to_numpy())[some], "root": reps[_roots(found)][some]}))
-        return pd.concat(out)
+            step = np.floor((alike[found] - threshold) / (1 - threshold) * STEPS) if threshold < 1 else np.zeros(found.sum())
+            steps = np.bincount(step.clip(0, STEPS - 1).astype(int), minlength=STEPS)
+            rest = [None] * (len(some) - 1)
+            out.append(pd.DataFrame({"rep": reps[some], "links": (found @ group["size"].to_numpy())[some], "root": reps[_roots(found)][some], "steps": [steps, *rest]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["rep", "links", "root", "steps"], dtype=object)
 
-    return rows.groupBy("lot", "i", "j").applyInPandas(verify, "rep long, links long, root long")
+    return rows.groupBy("lot", "i", "j").applyInPandas(verify, "rep long, links long, root long, steps array<long>")

@@ -15,6 +15,7 @@ from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_fore
 from tallyhouse.llm.components import components
 from tallyhouse.llm.queries import ORACLE_SQL, QUERIES
 from tallyhouse.llm.suffix_array import suffix_array
+from tallyhouse.session import pin
 from tests.conftest import SMALL
 from tests.llm.conftest import hard_rows, sentence
 
@@ -236,6 +237,65 @@ def test_prefixes_are_shortened_to_the_target():
     assert minhash_forest.stop_depth(0.8, 0.999) == 5
     assert minhash_forest.stop_depth(0.8, 0.5) == 8
     assert minhash_forest.stop_depth(0.1, 0.999) == 1
+    nothing_found, low, high = np.zeros(20, int), np.zeros(20, int), np.zeros(20, int)
+    low[0], high[18] = 10_000, 10_000
+    for depth in (8, 7, 6, 5):
+        worst = 1 - (1 - 0.8**depth) ** 20
+        assert abs(minhash_forest.estimated_recall(nothing_found, 0.8, depth) - worst) < 1e-9
+        assert abs(minhash_forest.estimated_recall(low, 0.8, depth) - worst) < 1e-4
+        assert minhash_forest.estimated_recall(high, 0.8, depth) > 0.9999
+
+
+def sorted_classes(llm, rows):
+    frame = llm.createDataFrame(rows, "doc_id long, text string")
+    sketched = minhash_forest.sketches(frame, 5, 20, 8).where("n > 0")
+    return frame, pin(sketched.selectExpr("k1", "k2", "doc_id AS rep", "text_hash AS rep_hash", "1L AS size", "n", "labels"))
+
+
+def test_tries_hold_all_labels_with_a_near_neighbour(llm):
+    rng = random.Random(4)
+    base = sentence(rng, 120).split()
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"odd{i}" for w in base)) for i in range(40)] + [(i, sentence(rng, 50)) for i in range(40, 90)]
+    _, classes = sorted_classes(llm, rows)
+    labels = [(r.rep, bytes(x)) for r in classes.collect() for x in r.labels]
+    assert len(labels) == 90 * 20 and {x[:2] for _, x in labels} == {i.to_bytes(2, "big") for i in range(20)}
+    trie = pin(minhash_forest.tries(classes.repartition(4), 8, 3))
+    kept = {(r.rep, bytes(r.label)): r.shared for r in trie.collect()}
+    for depth in (3, 5, 8):
+        runs = defaultdict(set)
+        for rep, x in labels:
+            runs[x[: 2 * (depth + 1)]].add(rep)
+        assert all(kept[rep, x] >= depth for rep, x in labels if len(runs[x[: 2 * (depth + 1)]]) > 1)
+        root = {rep: rep for rep in range(90)}
+        for run in runs.values():
+            joined = {root[x] for x in run}
+            root = {x: min(joined) if r in joined else r for x, r in root.items()}
+        got = {r.rep: r.g for r in minhash_forest._groups(trie, depth).collect()}
+        assert got == {x: r for x, r in root.items() if list(root.values()).count(r) > 1}
+
+
+def test_a_lower_target_stops_at_longer_prefixes(llm):
+    """Many pairs close to the threshold: the depth follows the target, and the estimate holds against brute force."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for at in rng.sample(range(200), 4):
+            near[at] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    true = {(2 * i, 2 * i + 1) for i in range(400) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    frame, classes = sorted_classes(llm, rows)
+    depths, found = [], []
+    for recall in (0.9, 0.97, 0.999):
+        verified, depth = minhash_forest.search(frame, classes, 5, 0.8, recall, 20)
+        pairs = {(r.root, r.rep) for r in verified.collect() if r.rep != r.root}
+        assert pairs <= true and len(pairs) >= (recall - 0.03) * len(true)
+        depths.append(depth)
+        found.append(len(pairs))
+    assert depths == sorted(depths, reverse=True) and depths[0] > depths[-1] and found == sorted(found)
+    assert found[-1] >= 0.99 * len(true) > 100
 
 
 def test_components(llm):
