@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.session import pin
 
+#: Edges that ``contracted`` looks at together.
+CHUNK = 1 << 20
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -40,3 +47,55 @@ def components(edges: DataFrame) -> DataFrame:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, sorted, and the smallest node each is connected with by them."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return nodes, nodes[label]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges u, v with the same components, most of them in stars already: fewer rounds are left for ``components``.
+
+    Each task hangs the nodes of up to ``CHUNK`` edges at a time on the smallest
+    node they reach by them, first as the edges lie, then with the edges of a
+    node together. Edges with a null end are ignored.
+    """
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield hung(held)
+                held, rows = [], 0
+        if rows:
+            yield hung(held)
+
+    def hung(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, root = _roots(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+        below = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(root[below])], ["u", "v"])
+
+    own = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
+    return own.mapInArrow(hang, "u long, v long").repartition("u").mapInArrow(hang, "u long, v long")
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """The same as ``components``, after contraction: where that left only stars, they are the components and no round is made."""
+    stars = pin(contracted(edges))
+    ends = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    reached = pin(ends.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("other")))
+    if reached.where("component <> other").isEmpty():
+        return reached.select("node", "component")
+    return components(stars)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.components import components
+from tallyhouse.llm.components import joined
 from tallyhouse.llm.expressions import text_key
 from tallyhouse.llm.textwords import mixed, shingle_sets, utf8
 from tallyhouse.session import pin
@@ -185,7 +185,7 @@ def links(documents: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     )
     verified, _ = search(documents, classes, shingle, threshold, recall, trees)
     counted = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    reached = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    reached = joined(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = classes.join(counted, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     known = pin(known.select("k1", "k2", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")))
     own = sketched.select("doc_id", "n", "k1", "k2")
@@ -229,8 +229,8 @@ def _groups(trie: DataFrame, depth: int) -> DataFrame:
     """rep and g, the group of the classes that share a prefix of ``depth`` values in some tree with another one."""
     leaves = trie.where(F.col("shared") >= depth).select("rep", F.substring("label", 1, 2 * (depth + 1)).alias("prefix"))
     nodes = pin(leaves.groupBy("prefix").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").select("prefix", "root"))
-    edges = leaves.join(nodes, "prefix").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct()
-    return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
+    edges = leaves.join(nodes, "prefix").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    return joined(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
 
 
 def _verify(texts: DataFrame, groups: DataFrame, before: DataFrame | None, shingle: int, threshold: float) -> DataFrame:

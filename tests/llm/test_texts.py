@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -11,8 +12,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tallyhouse.llm import components as components_module
 from tallyhouse.llm import decontaminate, language_crf, line_dedup, minhash_forest, suffix_dedup
-from tallyhouse.llm.components import components
+from tallyhouse.llm.components import components, joined
 from tallyhouse.llm.queries import ORACLE_SQL, QUERIES
 from tallyhouse.llm.suffix_array import suffix_array
 from tallyhouse.session import pin
@@ -311,6 +313,23 @@ def test_components(llm):
     assert components(llm.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 1 << 20])
+def test_joined_components_are_those_of_all_edges(llm, request, monkeypatch, chunk):
+    """Small chunks leave paths and need rounds; in one chunk all is hung at once."""
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    request.addfinalizer(functools.partial(llm.conf.set, size, llm.conf.get(size)))
+    llm.conf.set(size, str(min(chunk, 10_000)))
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300, 420)] + [(7, i) for i in range(100, 160)] + [(rng.randint(500, 700), rng.randint(500, 700)) for _ in range(150)] + [(1, 1), (None, 3), (4, None)]
+    rng.shuffle(edges)
+    frame = llm.createDataFrame(edges, "u long, v long").repartition(5)
+    want = {r.node: r.component for r in components(frame).collect()}
+    got = joined(frame).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want) > 300
+    assert joined(frame.where("false")).count() == 0
+
+
 def test_marginals_are_those_of_forward_backward():
     rng, k = np.random.default_rng(0), 3
     transitions, lengths = rng.normal(size=(k, k)), np.array([1, 5, 130, 64, 65, 2])
