@@ -26,8 +26,13 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], more_than: int = 1) -> Dat
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than).drop("_n")
 
 
-def with_repeat_flag(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Mark rows whose key is repeated, without gathering a key's rows in one window."""
+def with_repeat_flag(df: DataFrame, keys: Sequence[str], flag: str, weight: str | None = None) -> DataFrame:
+    """Mark rows whose key is repeated, without gathering a key's rows in one window.
+
+    If ``weight`` is named, ``df`` has one row for each key, which stands for that many.
+    """
+    if weight:
+        return df.withColumn(flag, reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & (F.col(weight) > 1))
     repeated = repeated_keys(df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys)
     marked = repeated.withColumn(flag, F.lit(True))
     return df.join(marked, list(keys), "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

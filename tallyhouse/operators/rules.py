@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -70,6 +70,52 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule], entity_id: Column | str, ent
     return df.select(F.inline(fired))
 
 
+@dataclass(frozen=True)
+class Mark:
+    """Rules that need nothing of a row but ``keys`` and what is looked up by them.
+
+    ``add`` takes a frame and the name of its column of weights (None: each row
+    counts once) and adds the columns that are looked up.
+    """
+
+    keys: Sequence[str]
+    add: Callable[[DataFrame, str | None], DataFrame]
+    rules: Sequence[Rule]
+
+
+def flag_marked(df: DataFrame, marks: Sequence[Mark], rules: Sequence[Rule], entity_id: Column | str, entity_name: Column | str | None) -> DataFrame:
+    """Issue rows of rules on a row and of rules on what is looked up by its keys.
+
+    While issues are only counted, each look-up is done for the distinct keys
+    and the numbers of their rows, so the rows themselves are not exchanged.
+    """
+    if _COUNTING.get():
+        plain = [flag_rows(df, rules, entity_id, entity_name)] if rules else []
+        return stack(*plain, *[flag_rows(m.add(df.groupBy(*m.keys).agg(F.count(F.lit(1)).alias("_weight")), "_weight"), m.rules, None, None, "_weight") for m in marks])
+    marked = reduce(lambda frame, m: m.add(frame, None), marks, df)
+    return flag_rows(marked, [*rules, *[rule for m in marks for rule in m.rules]], entity_id, entity_name)
+
+
+#: Issues a row of numbers gives at once.
+REPEATS = 1000
+
+
+def flag_repeats(df: DataFrame, keys: Sequence[str], rule: Rule, entity_id: Column | str, entity_name: Column | str | None = None) -> DataFrame:
+    """An issue for each row whose keys are repeated; the rule may read nothing but the keys, and a NULL is no repeat.
+
+    Only the keys and the numbers of their rows are exchanged. The issues of a
+    key repeated very often are dealt to many tasks.
+    """
+    filled = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    repeated = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight")).where(F.col("_weight") > 1)
+    if _COUNTING.get():
+        return flag_rows(repeated, [rule], None, None, "_weight")
+    parts = F.sequence(F.lit(0).cast("bigint"), ((F.col("_weight") - 1) / REPEATS).cast("bigint"))
+    dealt = repeated.select(*keys, "_weight", F.explode(parts).alias("_part")).repartition(*keys, "_part")
+    size = F.least(F.lit(REPEATS), F.col("_weight") - F.col("_part") * REPEATS).cast("int")
+    return flag_rows(dealt.select(*keys, F.explode(F.array_repeat(F.lit(True), size)).alias("_issue")), [rule], entity_id, entity_name)
+
+
 def _numbers(df: DataFrame, rules: Sequence[Rule], weight: Column | str | None) -> DataFrame:
     each = F.lit(1).cast("bigint") if weight is None else as_col(weight).cast("bigint")
     row = df.agg(*[F.sum(F.when(rule.when, each)).alias(f"_{i}") for i, rule in enumerate(rules)])

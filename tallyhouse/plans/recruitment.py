@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import is_blank, percent, tally, whole
 from tallyhouse.operators.identity import surrogate_id
-from tallyhouse.operators.relational import latest_record, side_by_side, with_member_flag, with_repeat_flag
-from tallyhouse.operators.rules import flag_rows, stack
+from tallyhouse.operators.relational import latest_record, side_by_side, with_member_flag
+from tallyhouse.operators.rules import Mark, flag_marked, flag_repeats, flag_rows, stack
 from tallyhouse.plans.params import OPEN_REQUISITION, VOID_REQUISITION
 from tallyhouse.plans.texts import RECRUITMENT
 from tallyhouse.plans.warehouse import Warehouse, rule_from, view
@@ -24,14 +24,24 @@ def _requisitions(wh: Warehouse) -> DataFrame:
     )
 
 
-def _candidates(wh: Warehouse) -> DataFrame:
-    known = F.col("source").isin(*wh.rules.source_channels)
+def _raw_candidates(wh: Warehouse) -> DataFrame:
     return wh.table("candidates").select(
-        "candidate_id", "candidate_name", F.when(known, F.col("source")).otherwise("Other").alias("source"),
-        F.col("source").alias("raw_source"), "pipeline_stage", "requisition_id", "applied_date",
+        "candidate_id", "candidate_name", F.col("source").alias("raw_source"), "pipeline_stage", "requisition_id", "applied_date"
+    )
+
+
+def _with_source(wh: Warehouse, candidates: DataFrame) -> DataFrame:
+    known = F.col("raw_source").isin(*wh.rules.source_channels)
+    return candidates.select(
+        "candidate_id", "candidate_name", F.when(known, F.col("raw_source")).otherwise("Other").alias("source"),
+        "raw_source", "pipeline_stage", "requisition_id", "applied_date",
     )
 
 
+def _candidates(wh: Warehouse) -> DataFrame:
+    return _with_source(wh, _raw_candidates(wh))
+
+
 def _interviews(wh: Warehouse) -> DataFrame:
     return wh.table("interviews").select(
         "interview_id", "candidate_id", "interview_date", F.col("recruiter_id").alias("interviewer_id"), "rating", "outcome"
@@ -106,7 +116,7 @@ def candidate_canonical(wh: Warehouse) -> DataFrame:
     """Latest application per candidate; ties follow the record order."""
     later = [F.desc_nulls_last("applied_date")]
     later += [F.desc_nulls_first(c) for c in ("candidate_name", "requisition_id", "raw_source", "pipeline_stage")]
-    return latest_record(_candidates(wh), ["candidate_id"], later)
+    return _with_source(wh, latest_record(_raw_candidates(wh), ["candidate_id"], later))
 
 
 @view("base_candidate_pipeline_current")
@@ -116,18 +126,32 @@ def candidate_pipeline_current(wh: Warehouse) -> DataFrame:
     return applied.join(current, "requisition_id").select(*applied.columns)
 
 
+def _applications(wh: Warehouse) -> DataFrame:
+    """Canonical applications for current requisitions, in the few columns that others are joined to, stored once."""
+
+    def build() -> DataFrame:
+        candidates = wh.view("base_candidate_canonical").select("candidate_id", "requisition_id", "applied_date")
+        current = wh.view("base_recruitment_requisitions_current").select(
+            "requisition_id", "approval_date", F.col("department").alias("req_department"), F.col("project").alias("req_project")
+        )
+        return candidates.join(current, "requisition_id")
+
+    return wh.stored("current applications", build)
+
+
 def _linked(wh: Warehouse, records: DataFrame) -> DataFrame:
     """Records of candidates whose canonical application is for a current requisition."""
-    candidates = wh.view("base_candidate_canonical").select("candidate_id", "requisition_id")
-    current = wh.view("base_recruitment_requisitions_current").select(
-        "requisition_id", "approval_date", F.col("department").alias("req_department"), F.col("project").alias("req_project")
-    )
-    return records.join(candidates, "candidate_id").join(current, "requisition_id")
+    return records.join(_applications(wh).drop("applied_date"), "candidate_id")
+
+
+def _in_pipeline(wh: Warehouse) -> DataFrame:
+    """The rows of the candidate pipeline in the columns of the applications."""
+    return _applications(wh).where(F.col("applied_date") <= F.lit(wh.hiring_month.end))
 
 
 def _store_shared(wh: Warehouse) -> None:
     """Frames that most branches of the KPI row and the rules read are stored once."""
-    for name in ("base_candidate_canonical", "base_recruitment_requisitions_current", "base_candidate_pipeline_current"):
+    for name in ("base_candidate_canonical", "base_recruitment_requisitions_current"):
         wh.settle(name)
 
 
@@ -178,14 +202,11 @@ def recruitment_exceptions(wh: Warehouse) -> DataFrame:
         return rule_from(RECRUITMENT, issue, when, **slots)
 
     source = _requisitions(wh)
-    pipeline = wh.view("base_candidate_pipeline_current").select("requisition_id")
+    pipeline = _in_pipeline(wh).select("requisition_id")
     current = with_member_flag(wh.view("base_recruitment_requisitions_current"), "requisition_id", pipeline, "has_candidates")
-    applications = with_member_flag(
-        with_repeat_flag(_candidates(wh), ["candidate_id"], "repeated"), "requisition_id", source.select("requisition_id"), "known_requisition"
-    )
+    candidates = _raw_candidates(wh)
     offers = with_member_flag(_offers(wh), "candidate_id", _onboarding(wh).select("candidate_id"), "onboarded")
     master = wh.table("employees").select("employee_id")
-    onboarding = with_member_flag(_onboarding(wh), "employee_id", master, "known_employee")
     channel = ~F.col("raw_source").isin(*wh.rules.source_channels)
     if wh.rules.null_channel_is_unknown:
         channel = channel | F.col("raw_source").isNull()
@@ -211,16 +232,24 @@ def recruitment_exceptions(wh: Warehouse) -> DataFrame:
         flag_rows(
             wh.view("base_candidate_canonical"), [rule("Missing Pipeline Stage", is_blank("pipeline_stage"))], "candidate_id", None
         ),
-        flag_rows(
-            applications,
+        # Three passes, each with the columns it needs: the rows of a candidate are not exchanged to be told apart.
+        flag_marked(
+            candidates,
             [
-                rule("Unknown Requisition Link", F.col("requisition_id").isNotNull() & ~F.col("known_requisition")),
-                rule("Duplicate Candidate ID", F.col("repeated")),
-                rule("Unknown Source Channel", channel, raw_source=F.coalesce("raw_source", F.lit("NULL"))),
+                Mark(
+                    ["requisition_id"],
+                    lambda rows, _: with_member_flag(rows, "requisition_id", source.select("requisition_id"), "known_requisition"),
+                    [rule("Unknown Requisition Link", F.col("requisition_id").isNotNull() & ~F.col("known_requisition"))],
+                )
             ],
+            [],
             "candidate_id",
             None,
         ),
+        flag_repeats(candidates, ["candidate_id"], rule("Duplicate Candidate ID", F.lit(True)), "candidate_id"),
+        flag_rows(
+            candidates, [rule("Unknown Source Channel", channel, raw_source=F.coalesce("raw_source", F.lit("NULL")))], "candidate_id", None
+        ),
         flag_rows(
             _interviews(wh),
             [rule("Missing Interviewer", is_blank("interviewer_id")), rule("Missing Interview Date", F.col("interview_date").isNull())],
@@ -236,12 +265,20 @@ def recruitment_exceptions(wh: Warehouse) -> DataFrame:
             "offer_id",
             None,
         ),
-        flag_rows(
-            onboarding, [rule("Unknown Employee ID", F.col("employee_id").isNotNull() & ~F.col("known_employee"))], "onboarding_id", None
-        ),
-        flag_rows(
-            with_repeat_flag(source, ["requisition_id"], "repeated"), [rule("Duplicate Requisition ID", F.col("repeated"))], "requisition_id", None
+        flag_marked(
+            _onboarding(wh),
+            [
+                Mark(
+                    ["employee_id"],
+                    lambda rows, _: with_member_flag(rows, "employee_id", master, "known_employee"),
+                    [rule("Unknown Employee ID", F.col("employee_id").isNotNull() & ~F.col("known_employee"))],
+                )
+            ],
+            [],
+            "onboarding_id",
+            None,
         ),
+        flag_repeats(source, ["requisition_id"], rule("Duplicate Requisition ID", F.lit(True)), "requisition_id"),
         flag_rows(
             _plan_with_actual(wh),
             [
@@ -283,7 +320,7 @@ def recruitment_kpis(wh: Warehouse) -> DataFrame:
             tally(_open() & (end > F.col("effective_target_hire_date"))).alias("overdue_requisitions"),
         ),
         wh.view("base_vacancy_population").agg(whole("quantity").alias("approved_vacancies")),
-        wh.view("base_candidate_pipeline_current").agg(F.count(F.lit(1)).alias("candidates_in_pipeline")),
+        _in_pipeline(wh).agg(F.count(F.lit(1)).alias("candidates_in_pipeline")),
         wh.view("base_interview_activity_current").agg(F.count(F.lit(1)).alias("interviews_scheduled")),
         offers,
         wh.view("base_onboarding_current").agg(F.count(F.lit(1)).alias("hires_this_month")),
@@ -316,14 +353,16 @@ def recruitment_trends(wh: Warehouse) -> DataFrame:
     """
     end = F.lit(wh.hiring_month.end)
     requisitions = _requisitions(wh).where((F.col("approval_date") <= end) & ~F.col("status").isin(*VOID_REQUISITION))
-    hires = _onboarding(wh).select("candidate_id", "hire_date")
-    per_candidate = hires.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
-    candidates = wh.view("base_candidate_canonical").select("candidate_id", "requisition_id")
-    lines = (
-        candidates.join(per_candidate, "candidate_id", "left")
-        .groupBy("requisition_id")
-        .agg(F.sum(F.coalesce("n", F.lit(1))).alias("lines"))
+    # Read by the lines of a requisition and by the hires: a candidate with several hires has a row for each, one without has one.
+    chain = wh.stored(
+        "hires of candidates",
+        lambda: wh.view("base_candidate_canonical")
+        .select("candidate_id", "requisition_id")
+        .join(_onboarding(wh).select("candidate_id", "hire_date"), "candidate_id", "left")
+        .groupBy("requisition_id", "hire_date")
+        .agg(F.count(F.lit(1)).alias("n")),
     )
+    lines = chain.groupBy("requisition_id").agg(F.sum("n").alias("lines"))
     opened = (
         requisitions.join(lines, "requisition_id", "left")
         .groupBy(F.date_format("approval_date", "yyyy-MM").alias("period"))
@@ -331,12 +370,11 @@ def recruitment_trends(wh: Warehouse) -> DataFrame:
     )
     month_start, month_end = F.trunc("hire_date", "month"), F.last_day("hire_date")
     hired = (
-        hires.where(F.col("hire_date") <= end)
-        .join(candidates, "candidate_id")
+        chain.where(F.col("hire_date") <= end)
         .join(requisitions, "requisition_id")
         .where(_alive(month_start, month_end))
         .groupBy(F.date_format("hire_date", "yyyy-MM").alias("period"))
-        .agg(F.lit(0).cast("bigint").alias("opened"), F.count(F.lit(1)).alias("hired"))
+        .agg(F.lit(0).cast("bigint").alias("opened"), F.sum("n").alias("hired"))
     )
     return (
         opened.unionByName(hired)
