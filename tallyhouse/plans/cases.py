@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import is_blank, percent, tally
 from tallyhouse.operators.identity import surrogate_id
 from tallyhouse.operators.relational import side_by_side, with_repeat_flag
-from tallyhouse.operators.rules import flag_rows
+from tallyhouse.operators.rules import Mark, flag_marked
 from tallyhouse.operators.temporal import aging_band, aging_days, sla_status
 from tallyhouse.plans.compliance import employee_class
 from tallyhouse.plans.params import OPEN_CASE
@@ -19,42 +19,48 @@ from tallyhouse.plans.warehouse import Warehouse, rule_from, view
 CASE_ORDER = ("case_id", "employee_id", "created_date", "case_type", "priority", "case_number")
 
 
-def _cases(wh: Warehouse) -> DataFrame:
-    """Cases open in, or touched in, the report month, with the subject's attributes and SLA clock.
-
-    The clock needs only columns of the case, so it is computed on the row
-    instead of through a join on a row number.
-    """
+def _relevant(wh: Warehouse) -> DataFrame:
+    """Cases open in, or touched in, the report month, in the columns of their source."""
     start, end = F.lit(wh.case_month.start), F.lit(wh.case_month.end)
     cases = wh.table("employee_relations")
     closed = F.col("closed_date")
     relevant = (F.col("created_date") <= end) & (
         closed.isNull() | (closed >= start) | F.col("created_date").between(start, end)
     )
+    return cases.where(relevant)
+
+
+def _with_subject(wh: Warehouse, rows: DataFrame) -> DataFrame:
+    """The attributes of the employee in ``employee_id``; one row each."""
     people = wh.view("base_employees_deduplicated").select(
         F.col("employee_id").alias("_id"), "employee_name",
         F.coalesce("project", F.lit("Unassigned")).alias("_project"),
         F.coalesce("department", F.lit("Unassigned")).alias("_department"),
         "manager_id", "company", "nationality", "job_title", "cost_center", F.col("status").alias("_status"),
     )
+    return rows.join(people, F.col("employee_id") == F.col("_id"), "left").select(
+        *rows.columns, "employee_name",
+        F.coalesce("_project", F.lit("Unassigned")).alias("project"),
+        F.coalesce("_department", F.lit("Unassigned")).alias("department"),
+        "manager_id", "company", "nationality", "job_title", "cost_center",
+        employee_class(F.col("_id"), F.col("_status")).alias("subject_classification"),
+    )
+
+
+def _with_clock(wh: Warehouse, cases: DataFrame) -> DataFrame:
+    """The SLA clock needs only columns of the case, so it is computed on the row instead of through a join on a row number."""
+    end, closed = F.lit(wh.case_month.end), F.col("closed_date")
     days = F.lit(wh.rules.default_sla_days)
     for kind, limit in wh.rules.case_sla_days.items():
         days = F.when(F.col("case_type") == kind, F.lit(limit)).otherwise(days)
     due = F.coalesce("target_due_date", F.date_add("created_date", days))
-    return (
-        cases.where(relevant)
-        .join(people, F.col("employee_id") == F.col("_id"), "left")
-        .select(
-            *cases.columns, "employee_name",
-            F.coalesce("_project", F.lit("Unassigned")).alias("project"),
-            F.coalesce("_department", F.lit("Unassigned")).alias("department"),
-            "manager_id", "company", "nationality", "job_title", "cost_center",
-            employee_class(F.col("_id"), F.col("_status")).alias("subject_classification"),
-            aging_days(F.col("created_date"), closed, end).alias("aging_days"),
-            due.alias("effective_target_due_date"),
-        )
-        .withColumn("sla_status", sla_status(F.col("created_date"), closed, F.col("effective_target_due_date"), end))
-    )
+    clocked = cases.select(*cases.columns, aging_days(F.col("created_date"), closed, end).alias("aging_days"), due.alias("effective_target_due_date"))
+    return clocked.withColumn("sla_status", sla_status(F.col("created_date"), closed, F.col("effective_target_due_date"), end))
+
+
+def _cases(wh: Warehouse) -> DataFrame:
+    """Cases of the report month with the subject's attributes and SLA clock."""
+    return _with_clock(wh, _with_subject(wh, _relevant(wh)))
 
 
 CLOCK = ("aging_days", "sla_status", "effective_target_due_date")
@@ -72,7 +78,9 @@ def _with_owner(wh: Warehouse, cases: DataFrame) -> DataFrame:
 
 def _numbered(wh: Warehouse) -> DataFrame:
     if "_numbered_cases" not in wh._views:
-        wh._views["_numbered_cases"] = surrogate_id(_cases(wh), CASE_ORDER, "er_case_record_id")
+        # Numbered in the columns of their source: what is looked up or computed is not sorted and stored with them.
+        numbered = surrogate_id(_relevant(wh), CASE_ORDER, "er_case_record_id")
+        wh._views["_numbered_cases"] = _with_clock(wh, _with_subject(wh, numbered))
     return wh._views["_numbered_cases"]
 
 
@@ -145,27 +153,45 @@ def er_exceptions(wh: Warehouse) -> DataFrame:
     def rule(issue, when, **slots):
         return rule_from(CASES, issue, when, **slots)
 
-    cases = with_repeat_flag(_with_owner(wh, _cases(wh)), ["case_id"], "repeated")
     owner, subject = F.col("owner_classification"), F.col("subject_classification")
-    return flag_rows(
-        cases,
+    return flag_marked(
+        _with_clock(wh, _relevant(wh)),
+        [
+            # Repeats are sought among the cases as they are, before people are joined to them.
+            Mark(
+                ["case_id"],
+                lambda rows, weight: with_repeat_flag(rows, ["case_id"], "repeated", weight),
+                [rule("Duplicate Case ID", F.col("repeated"))],
+            ),
+            Mark(
+                ["employee_id", "case_status"],
+                lambda rows, _: _with_subject(wh, rows),
+                [
+                    rule("Missing Project", _open() & (F.col("project") == "Unassigned")),
+                    rule("Missing Department", _open() & (F.col("department") == "Unassigned")),
+                    rule("Inactive Case Subject", subject.isin("Inactive Employee", "Terminated Employee")),
+                ],
+            ),
+            Mark(
+                ["owner_id"],
+                lambda rows, _: _with_owner(wh, rows),
+                [
+                    rule(
+                        "Inactive Case Owner",
+                        owner.isin("Inactive Employee", "Terminated Employee", "Unknown Employee"),
+                        entity_name="owner_employee_name",
+                    )
+                ],
+            ),
+        ],
         [
             rule("Missing Case Owner", _open() & is_blank("owner_id")),
-            rule("Missing Project", _open() & (F.col("project") == "Unassigned")),
-            rule("Missing Department", _open() & (F.col("department") == "Unassigned")),
             rule("Missing Case Type", _open() & is_blank("case_type")),
             rule("Missing Priority", _open() & is_blank("priority")),
             rule("Missing Target Due Date", _open() & F.col("target_due_date").isNull()),
             rule("Overdue Open Case", _open() & (end > F.col("effective_target_due_date")), due="effective_target_due_date"),
             rule("Missing Closure Date", (F.col("case_status") == "Closed") & F.col("closed_date").isNull()),
             rule("Invalid Date Range", F.col("closed_date") < F.col("created_date")),
-            rule(
-                "Inactive Case Owner",
-                owner.isin("Inactive Employee", "Terminated Employee", "Unknown Employee"),
-                entity_name="owner_employee_name",
-            ),
-            rule("Inactive Case Subject", subject.isin("Inactive Employee", "Terminated Employee")),
-            rule("Duplicate Case ID", F.col("repeated")),
             rule("Missing SLA Status", F.col("sla_status") == "Not Eligible"),
             rule("Missing Escalation Reason", F.col("escalated") & is_blank("escalation_reason")),
             rule("Missing Legal Reference", (F.col("case_type") == "Labor Case") & (is_blank("legal_reference") | is_blank("case_number"))),
