@@ -284,6 +284,8 @@ def talent(wh: Warehouse) -> DataFrame:
 
 
 def command_center(wh: Warehouse) -> DataFrame:
+    from tallyhouse.plans.command_center import number_listed
+
     row = side_by_side(
         wh.view("command_center_overview_data").drop("last_data_refresh"),
         wh.view("mart_workforce_kpis").select(F.col("active_headcount").alias("hc")),
@@ -293,7 +295,7 @@ def command_center(wh: Warehouse) -> DataFrame:
         wh.view("mart_er_kpis").select(F.col("total_open_er_cases").alias("er")),
         wh.view("mart_recruitment_kpis").select(F.col("open_requisitions").alias("req")),
         wh.view("mart_talent_kpis").select(F.col("review_completion_pct").alias("rev")),
-        _rows(wh, "base_command_center_exception_sources", "issues"),
+        number_listed(wh, "issues"),
         _rows(wh, "base_command_center_module_registry", "modules"),
         _rows(wh, "mart_command_center_data_freshness", "fresh"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +50,16 @@ def module_registry(wh: Warehouse) -> DataFrame:
     )
 
 
+def _issues_of(key: str, source: str) -> str:
+    """The view with a module's issues."""
+    return "data_quality" if key == "data-quality" else source
+
+
 def _define_feed(name: str, key: str, label: str, route: str, source: str) -> None:
     @view(name)
     def feed(wh: Warehouse) -> DataFrame:
-        # The modules' issues are read by counts, alerts, health and the overview:
-        # they are stored once per refresh and the eight rule sets run only once.
-        issues = wh.settle("data_quality" if key == "data-quality" else source)
-        return conform(issues, key, label, source, route)
+        # Not stored: one module's issues are read once, and counts have no need of them.
+        return conform(wh.view(_issues_of(key, source)), key, label, source, route)
 
 
 FEEDS = []
@@ -69,15 +74,29 @@ for _key, _label, _route, _, _, _source in MODULES:
 def exception_sources(wh: Warehouse) -> DataFrame:
     # Every module's rules read the two employee populations.
     wh.settle_all(["base_active_workforce", "base_employees_deduplicated"])
-    wh.settle_all([s for *_, s in MODULES if s and s != "mart_data_quality_exceptions"] + ["data_quality"])
-    return stack(*[wh.view(name) for name in FEEDS]).withColumn("severity", normal_severity("severity"))
+    modules = [(key, label, route, source) for key, label, route, _, _, source in MODULES if source]
+    # Stored one by one: all rule sets in one plan would be too much to plan at once.
+    wh.settle_all([_issues_of(key, source) for key, _, _, source in modules])
+    feeds = [conform(wh.view(_issues_of(key, source)), key, label, source, route) for key, label, route, source in modules]
+    return stack(*feeds).withColumn("severity", normal_severity("severity"))
+
+
+def number_listed(wh: Warehouse, alias: str) -> DataFrame:
+    """The number of rows of all feeds: each feed is gone through and only its number stored."""
+    wh.settle_all(["base_active_workforce", "base_employees_deduplicated"])
+
+    def number(name: str) -> DataFrame:
+        return wh.stored(f"rows of {name}", lambda: wh.view(name).agg(F.count(F.lit(1)).alias("n")))
+
+    with ThreadPoolExecutor(4) as pool:  # short jobs share the executors
+        return stack(*pool.map(number, FEEDS)).agg(F.sum("n").alias(alias))
 
 
 def _counted(wh: Warehouse) -> DataFrame:
     """All modules' rules with the number n of their issues, in the columns of the feeds."""
     wh.settle_all(["base_active_workforce", "base_employees_deduplicated"])
     modules = [(key, label, route, source) for key, label, route, _, _, source in MODULES if source]
-    named = {source: "data_quality" if key == "data-quality" else source for key, _, _, source in modules}
+    named = {source: _issues_of(key, source) for key, _, _, source in modules}
     counts = wh.issue_counts(list(named.values()))
     feeds = [
         counts[named[source]].select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.rules import count_issues, counting
 from tallyhouse.plans.params import Month, Rules
-from tallyhouse.session import pin
+from tallyhouse.session import pin, size_joins
 from tallyhouse.sources.derived_hr import derive
 from tallyhouse.sources.intake import empty
 from tallyhouse.sources.schemas import SCHEMAS
@@ -38,7 +38,7 @@ class Warehouse:
     """
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | Callable[[str], DataFrame], rules: Rules | None = None):
-        self.spark = spark
+        self.spark = size_joins(spark)
         self.rules = rules or Rules()
         self._tables = tables
         self._views: dict[str, DataFrame] = {}
@@ -78,7 +78,8 @@ class Warehouse:
             return count_issues(VIEWS[name](self))
 
     def number_of_issues(self, name: str, alias: str) -> DataFrame:
-        return self.counted(name).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(alias))
+        """The number of all issues of an exception view, from its stored counts: the rules run once for all who ask."""
+        return self.issue_counts([name])[name].agg(F.coalesce(F.sum("n"), F.lit(0)).alias(alias))
 
     def issue_counts(self, names: Sequence[str], at_once: int = 4) -> dict[str, DataFrame]:
         """Counts of several exception views, stored once: a row for each rule."""
