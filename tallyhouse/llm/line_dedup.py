@@ -36,8 +36,13 @@ def _hashed(documents: DataFrame, min_chars: int) -> DataFrame:
 
 def frequent_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The hashes of keys found in at least ``min_docs`` documents, and that number. Rows with one doc_id are one document."""
+    return _frequent(pin(_hashed(documents, min_chars)), min_docs)
+
+
+def _frequent(hashed: DataFrame, min_docs: int) -> DataFrame:
+    """``frequent_keys`` from stored hashes: dealing by range reads them twice, once for the bounds."""
     order = ["h", "g", "doc_id", "text_hash", "pos"]
-    ranged = _hashed(documents, min_chars).repartitionByRange("h", "g", "doc_id").sortWithinPartitions(*order)
+    ranged = hashed.repartitionByRange("h", "g", "doc_id").sortWithinPartitions(*order)
     first = F.row_number().over(Window.partitionBy("h", "g", "doc_id").orderBy("text_hash", "pos")) == 1
     return ranged.withColumn("first", first).where("first").groupBy("h", "g").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
@@ -56,15 +61,16 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     document like any other; a null text has one empty line and keeps it.
     With ``spare_copies`` the first occurrence of each key stays where it is.
     """
-    frequent = pin(frequent_keys(documents, min_chars, min_docs).select("h", "g"))
+    hashed = pin(_hashed(documents, min_chars))  # the texts are split and hashed once
+    frequent = pin(_frequent(hashed, min_docs).select("h", "g"))
     bit, word = F.expr("shiftleft(1L, pos % 64)"), F.expr("CAST(pos DIV 64 AS INT)").alias("word")
     if spare_copies:
-        dropped = pin(_hashed(documents, min_chars).join(frequent, ["h", "g"]).dropDuplicates(["doc_id", "text_hash", "pos"]))
+        dropped = pin(hashed.join(frequent, ["h", "g"]).dropDuplicates(["doc_id", "text_hash", "pos"]))
         marked = dropped.select("doc_id", "text_hash", word, bit.alias("hit"), F.lit(0).cast("long").alias("stays"))
         marked = marked.unionByName(_spared(dropped).select("doc_id", "text_hash", word, F.lit(0).cast("long").alias("hit"), bit.alias("stays")))
         words = marked.groupBy("doc_id", "text_hash", "word").agg(F.bit_or("hit").bitwiseAND(F.bitwise_not(F.bit_or("stays"))).alias("gone")).where("gone <> 0")
     else:
-        words = _hashed(documents, min_chars).join(frequent, ["h", "g"]).groupBy("doc_id", "text_hash", word).agg(F.bit_or(bit).alias("gone"))
+        words = hashed.join(frequent, ["h", "g"]).groupBy("doc_id", "text_hash", word).agg(F.bit_or(bit).alias("gone"))
     return words.groupBy("doc_id", "text_hash").agg(
         F.sum(F.bit_count("gone")).alias("n_dropped"),
         F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("keep")))).alias("keep_words"),

@@ -396,3 +396,11 @@ def test_all_letters_of_a_long_run_count(llm, model):
     rows = [(1, run["de"][:12] + run["fr"] + run["de"][-12:]), (2, run["de"][:12] + run["de"] + run["de"][-12:])]
     got = {r.doc_id: r for r in language_crf.predict(llm.createDataFrame(rows, "doc_id long, text string"), fitted).collect()}
     assert (got[1].lang_pred, got[2].lang_pred) == ("fr", "de") and got[1].n_words > 10
+
+
+def test_lines_are_hashed_once(llm):
+    """Dealing by range reads its rows twice; what it reads are stored hashes, not texts."""
+    docs = llm.createDataFrame([(i, "a\nb") for i in range(12)], "doc_id long, text string")
+    found = line_dedup.frequent_keys(docs)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found.count() == 2
