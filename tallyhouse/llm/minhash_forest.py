@@ -199,19 +199,20 @@ def links(documents: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
 def search(documents: DataFrame, classes: DataFrame, shingle: int, threshold: float, recall: float, trees: int) -> tuple[DataFrame, int]:
     """Verified links (see ``_verify``) between classes of unlike sets, and the depth to which prefixes were shortened."""
     least = stop_depth(threshold, recall, trees)
+    levels = range(DEPTH, least - 1, -1)
     trie = pin(tries(classes, DEPTH, least))
     texts = pin(_candidates(documents, classes, trie))
-    before, tally, verified = None, np.zeros(STEPS, dtype=np.int64), None
-    for depth in range(DEPTH, least - 1, -1):
-        groups = pin(_groups(trie, depth))
-        found = pin(_verify(texts, groups, before, shingle, threshold))
+    dealt = pin(_dealt(texts, _groups(trie, *levels)))
+    members = dealt.agg(*[F.count(F.when(F.col("depth") == d, 1)) for d in levels]).first()
+    tally, verified = np.zeros(STEPS, dtype=np.int64), None
+    for depth, n in zip(levels, members):
+        found = pin(_verify(texts, dealt.where(F.col("depth") == depth), n, shingle, threshold))
         verified = found if verified is None else verified.unionByName(found)
-        # At most STEPS rows; every pair stands twice in its matrix.
-        for step, n in found.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col")).collect():
-            tally[step] += n // 2
+        # Every pair stands twice in its matrix.
+        steps = found.agg(*[F.coalesce(F.sum(F.col("steps")[i]), F.lit(0)) for i in range(STEPS)]).first()
+        tally += np.array(steps, dtype=np.int64) // 2
         if estimated_recall(tally, threshold, depth, trees) >= recall:
             break
-        before = groups.select("rep", F.col("g").alias("old"))
     return verified, depth
 
 
@@ -219,42 +220,55 @@ def _candidates(documents: DataFrame, classes: DataFrame, trie: DataFrame) -> Da
     """rep, size, n, text of the classes in the tries."""
     own = documents.select(F.col("doc_id").cast("long").alias("rep"), text_key(F.col("text")).alias("rep_hash"), "text")
     reps = trie.select("rep").distinct()
-    wanted = pin(classes.select("rep", "rep_hash", "size", "n").join(reps, "rep"))
+    wanted = pin(classes.select("rep", "rep_hash", "size", "n").join(reps, "rep").dropDuplicates(["rep"]))
     if wanted.count() <= SENT:
         own = own.join(F.broadcast(wanted.select("rep", "rep_hash")), ["rep", "rep_hash"], "left_semi")
-    return wanted.join(own, ["rep", "rep_hash"]).dropDuplicates(["rep"]).select("rep", "size", "n", "text")
+    # By the keys of the join: texts that were exchanged for it are not exchanged again.
+    return wanted.join(own, ["rep", "rep_hash"]).dropDuplicates(["rep", "rep_hash"]).select("rep", "size", "n", "text")
 
 
-def _groups(trie: DataFrame, depth: int) -> DataFrame:
-    """rep and g, the group of the classes that share a prefix of ``depth`` values in some tree with another one."""
-    leaves = trie.where(F.col("shared") >= depth).select("rep", F.substring("label", 1, 2 * (depth + 1)).alias("prefix"))
+def _groups(trie: DataFrame, *depths: int) -> DataFrame:
+    """depth, rep and g: for each of ``depths`` the group of the classes that share a prefix of so many values in some tree with another one."""
+    levels = F.filter(F.array(*map(F.lit, depths)), lambda d: d <= F.col("shared"))
+    leaves = trie.select("rep", "label", F.explode(levels).alias("depth")).selectExpr("depth", "rep", "substring(label, 1, 2 * (depth + 1)) AS prefix")
+    # Prefixes of unlike depths are of unlike lengths. Stored nodes let the leaves of a common one be split among tasks.
     nodes = pin(leaves.groupBy("prefix").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").select("prefix", "root"))
-    edges = leaves.join(nodes, "prefix").where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-    return joined(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
+    edges = leaves.join(nodes, "prefix").where("rep <> root").select("depth", F.col("rep").alias("u"), F.col("root").alias("v"))
+    return joined(edges, "depth").select("depth", F.col("node").alias("rep"), F.col("component").alias("g"))
 
 
-def _verify(texts: DataFrame, groups: DataFrame, before: DataFrame | None, shingle: int, threshold: float) -> DataFrame:
+def _dealt(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """depth, g, rep, size, old (the member's group one level deeper, or rep) and b (blocks) of the groups that are new at their depth."""
+    nested = groups.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("depth", "g"))).alias("groups"))
+    own = texts.select("rep", "size", "n").join(nested, "rep").select("*", F.explode("groups").alias("depth", "g"))
+    members = pin(own.select("depth", "g", "rep", "size", "n", F.coalesce(F.try_element_at("groups", F.col("depth") + 1), "rep").alias("old")))
+    sizes = members.groupBy("depth", "g").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("b"), F.min("old").alias("a"), F.max("old").alias("z")
+    )
+    # Stored, so that the members of a large group can be split among tasks.
+    sizes = pin(sizes.where("a <> z").select("depth", "g", "b"))
+    return members.join(sizes, ["depth", "g"]).drop("n")
+
+
+def _verify(texts: DataFrame, dealt: DataFrame, members: int, shingle: int, threshold: float) -> DataFrame:
     """rep, links (documents of other classes linked in this task), root (smallest rep connected in this task), steps.
 
-    Only pairs that are together in ``groups`` but were not in ``before`` are
-    verified. ``steps`` counts a task's links by similarity, in one row a group.
+    Only pairs that are together in a group of ``dealt`` (of one depth, with
+    ``members`` rows) but have not the same ``old`` one are verified. ``steps``
+    counts a task's links by similarity, in one row a group.
     """
-    members = groups.join(texts.select("rep", "size", "n"), "rep")
-    members = members.withColumn("old", F.col("rep")) if before is None else members.join(before, "rep", "left").withColumn("old", F.coalesce("old", "rep"))
-    members = pin(members)
-    sizes = members.groupBy("g").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("b"), F.min("old").alias("a"), F.max("old").alias("z")
-    )
-    sizes = pin(sizes.where("a <> z").select("g", "b"))
-    lots = max(1, -(-members.count() // TOGETHER))
-    dealt = members.join(sizes, "g").withColumn("x", F.expr("CAST(pmod(xxhash64(rep), b) AS INT)"))
+    lots = max(1, -(-members // TOGETHER))
+    dealt = dealt.withColumn("x", F.expr("CAST(pmod(xxhash64(rep), b) AS INT)"))
     tasks = dealt.withColumn("y", F.explode(F.expr("sequence(0, b - 1)"))).select(
         "rep", "size", "old", "g", "x",
         F.when(F.col("b") == 1, F.pmod(F.xxhash64("g"), F.lit(lots))).otherwise(F.col("g")).alias("lot"),
         F.when(F.col("b") == 1, F.lit(-1)).otherwise(F.least("x", "y")).alias("i"),
         F.when(F.col("b") == 1, F.lit(-1)).otherwise(F.greatest("x", "y")).alias("j"),
     )
-    rows = tasks.join(texts.select("rep", "text"), "rep")
+    own = texts.select("rep", "text")
+    if members <= SENT:
+        own = own.join(F.broadcast(dealt.select("rep")), "rep", "left_semi")
+    rows = tasks.join(own, "rep")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")

@@ -330,6 +330,61 @@ def test_joined_components_are_those_of_all_edges(llm, request, monkeypatch, chu
     assert joined(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 20])
+def test_graphs_side_by_side_are_joined_apart(llm, request, monkeypatch, chunk):
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    request.addfinalizer(functools.partial(llm.conf.set, size, llm.conf.get(size)))
+    llm.conf.set(size, str(min(chunk, 10_000)))
+    rng = random.Random(9)
+    edges = [(k, rng.randint(0, 60), rng.randint(0, 60)) for k, n in ((5, 60), (6, 30), (7, 10)) for _ in range(n)] + [(8, i, i + 1) for i in range(20)] + [(5, None, 1)]
+    frame = llm.createDataFrame(edges, "depth int, u long, v long").repartition(4)
+    want = {(k, r.node): r.component for k in (5, 6, 7, 8) for r in components(frame.where(f"depth = {k}").drop("depth")).collect()}
+    for found in (components(frame, "depth"), joined(frame, "depth")):
+        got = found.collect()
+        assert {(r.depth, r.node): r.component for r in got} == want and len(got) == len(want)
+    assert joined(frame.where("false"), "depth").count() == 0
+
+
+def test_torn_stars_are_joined_without_rounds(llm, request, monkeypatch):
+    """Nodes that hang on several roots join these; the rounds over all edges are not needed."""
+    monkeypatch.setattr(components_module, "CHUNK", 1)
+    monkeypatch.setattr(components_module, "components", None)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    request.addfinalizer(functools.partial(llm.conf.set, size, llm.conf.get(size)))
+    llm.conf.set(size, "1")
+    frame = llm.createDataFrame([(i, root) for i in range(100, 120) for root in (1, 2, 3)], "u long, v long")
+    assert {r.node: r.component for r in joined(frame).collect()} == dict.fromkeys([1, 2, 3, *range(100, 120)], 1)
+
+
+def test_a_further_level_stores_one_table(llm, monkeypatch):
+    """Groups of all levels are made at once; a level adds its verified links only."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for at in rng.sample(range(200), 4):
+            near[at] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    frame, classes = sorted_classes(llm, rows)
+    stored = []
+
+    def counted(df):
+        stored[-1] += 1
+        return pin(df)
+
+    for module in (minhash_forest, components_module):
+        monkeypatch.setattr(module, "pin", counted)
+    depths = []
+    for recall in (0.9, 0.999):
+        stored.append(0)
+        # The same trie for both targets.
+        monkeypatch.setattr(minhash_forest, "stop_depth", lambda *_: 5)
+        depths.append(minhash_forest.search(frame, classes, 5, 0.8, recall, 20)[1])
+    assert depths[0] > depths[1] and stored[1] - stored[0] == depths[0] - depths[1]
+
+
 def test_marginals_are_those_of_forward_backward():
     rng, k = np.random.default_rng(0), 3
     transitions, lengths = rng.normal(size=(k, k)), np.array([1, 5, 130, 64, 65, 2])
